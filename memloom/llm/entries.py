@@ -4,11 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import bpe_round_trip
+from .mpeg import media_round_trip
 from .packing import pack_documents
+from .secrets import scan_secrets
+from .sharding import extendible_shards
 from .token_counts import token_counts
+from .tool_calls import link_tool_calls
+
+
+#: Bytes of text a shard holds at most.
+SHARD_BYTES = 8 * 1024 * 1024
+
+
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return extendible_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+lv AS (SELECT h, n_bytes, unnest(range(0, 40)) AS lev FROM d),
+big AS (SELECT lev, h >> (60 - lev) AS p FROM lv GROUP BY ALL HAVING sum(n_bytes) > {SHARD_BYTES} AND count(*) > 1),
+deep AS (SELECT d.doc_id, d.n_bytes, d.h, count(big.lev) AS depth
+         FROM d LEFT JOIN big ON big.p = d.h >> (60 - big.lev) GROUP BY ALL)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, 's' || substr(lpad(bin(h), 60, '0'), 1, CAST(depth AS INTEGER)) AS shard FROM deep
+"""
+
+
+def op3_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +60,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op8_token_counts, op9_byte_bpe)}
-ORACLES: dict[str, str] = {}
+#: The tools that the conversations' turns are taken to call, and their argument schemas.
+TOOLS = {
+    "search": '{"type":"object","properties":{"query":{"type":"string","minLength":1,"maxLength":60},"limit":{"type":"integer","minimum":1,"maximum":40}},"required":["query","limit"],"additionalProperties":false}',
+    "lookup": '{"type":"object","properties":{"key":{"type":"string","minLength":3},"exact":{"type":"boolean"}},"required":["key"],"additionalProperties":false}',
+    "summarise": '{"type":"object","properties":{"n_words":{"type":"integer","maximum":400},"style":{"enum":["short","long"]}},"required":["n_words","style"]}',
+}
+
+
+def conversation_calls(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results derived from (conv_id, turn, role, text): each assistant turn calls a tool, a user turn answers the one before it."""
+    name = F.expr("element_at(array('search', 'lookup', 'summarise'), cast(pmod(conv_id + turn, 3) + 1 as int))")
+    words = F.size(F.split("text", " "))
+    args = (
+        F.when(name == "search", F.to_json(F.struct(F.substring("text", 1, 60).alias("query"), (F.length("text") % 50).alias("limit"))))
+        .when(name == "lookup", F.to_json(F.struct(F.split("text", " ")[0].alias("key"), (F.length("text") % 2 == 0).alias("exact"))))
+        .otherwise(F.to_json(F.struct(words.alias("n_words"), F.when(words < 20, "short").when(words < 200, "long").otherwise("full").alias("style"))))
+    )
+    call_id = F.concat_ws("_", F.lit("call"), "conv_id", "turn")
+    before = F.concat_ws("_", F.lit("call"), "conv_id", F.col("turn") - 2)
+    calls = conv.filter("role = 'assistant'").select("conv_id", call_id.alias("call_id"), "turn", name.alias("name"), args.alias("arguments"), F.when(F.col("turn") > 2, F.array(before)).otherwise(F.array().cast("array<string>")).alias("depends"))
+    answers = conv.filter("role = 'user' and turn > 0").select("conv_id", F.concat_ws("_", F.lit("call"), "conv_id", F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, answers
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, answers = conversation_calls(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op6_best_fit_packing, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
+ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
