@@ -10,6 +10,7 @@ from ..session import table
 from .bpe import bpe_round_trip
 from .mpeg import media_round_trip
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import extendible_shards
 from .token_counts import token_counts
@@ -46,6 +47,11 @@ def op3_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), good).drop("text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -89,5 +95,5 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op6_best_fit_packing, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op6_best_fit_packing, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
 ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
