@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import bpe_round_trip
+from .jaccard_join import near_duplicates
 from .mpeg import media_round_trip
+from .neighbours import vote_quality
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
@@ -52,10 +54,18 @@ def op4_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), good).drop("text")
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op7_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vote_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
@@ -95,5 +105,5 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op6_best_fit_packing, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
 ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
