@@ -102,7 +102,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     model = weights(docs, trusted)
     d = docs.withColumn("_w", words(text)).withColumn("_g", F.transform("_w", lambda x: F.xxhash64(x))).withColumn("_h", windows("_g"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
-    return d.select(
+    d = d.select(
         *docs.columns,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -110,4 +110,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words("_h").alias("n_repeat_words"),
         log_ratio("_g", model).alias("llr"),
-    ).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*docs.columns, *new)
+    ).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    # always true, but not to be computed twice: a filter on kept that were pushed below would repeat the arrays within each other's lambdas
+    once = F.monotonically_increasing_id() >= 0
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & once).select(*docs.columns, *new)
