@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ..session import table
+from . import graph_queries, memory_queries, notes_queries, search_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in (notes_queries, graph_queries, search_queries, memory_queries):
+    QUERIES |= _m.Q
+    ORACLES |= _m.O
 
-
-def FLAGSHIP(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+FLAGSHIP = search_queries.context_budget
