@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import struct
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -21,31 +22,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrow import with_columns
+from .chunks import SPACES, ChunkEncoder
 
-#: The characters with the Unicode property White_Space.
-SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE = 300_000
+#: A worker forgets its encoded words when it holds this many.
+WORDS = 500_000
 LONG = 64
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Token ids of each word, by applying merges in rank order to all words at once."""
-    piece: list[bytes | None] = []
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """What two neighbouring tokens merge to, by their ids in one number (first id * 2**20 + second id)."""
+    out = {}
+    for token, r in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                out[a << 20 | b] = r
+    return out
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[list[int]]:
+    """Token ids of each word, by applying merges in rank order to all words at once.
+
+    A merged token's id is its rank; a word that is a token itself is that one token.
+    """
+    merges = (pair_ranks(ranks) if pairs is None else pairs).get
+    single = [ranks[bytes([i])] for i in range(256)].__getitem__
+    tok: list[int] = []
     nxt: list[int] = []
     prv: list[int] = []
-    wid: list[int] = []
-    starts = []
+    starts: list[int] = []
     index: defaultdict[int, list[int]] = defaultdict(list)
-    single = [bytes([i]) for i in range(256)]
-    for w, word in enumerate(words):
-        base, n = len(piece), len(word)
+    for word in words:
+        base, n = len(tok), len(word)
         starts.append(base)
-        piece += [single[b] for b in word]
-        nxt += [*range(base + 1, base + n), -1]
-        prv += [-1, *range(base, base + n - 1)]
-        wid += [w] * n
+        if word in ranks:
+            tok.append(ranks[word])
+            nxt.append(-1)
+            prv.append(-1)
+            continue
+        ids = list(map(single, word))
+        tok += ids
+        nxt += range(base + 1, base + n)
+        prv += range(base - 1, base + n - 1)
+        if n:
+            nxt.append(-1)
+            prv[base] = -1
         for i in range(n - 1):
-            r = ranks.get(word[i : i + 2])
+            r = merges(ids[i] << 20 | ids[i + 1])
             if r is not None:
                 index[r].append(base + i)
     heap = list(index)
@@ -55,87 +78,79 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         places = index.pop(r, None)
         if places is None:
             continue
-        waiting: set[int] = set()
         places.sort()
+        again: list[int] = []
+        stop = -1  # a place before which the word of a lower rank goes on
         for i in places:
-            a = piece[i]
-            j = nxt[i]
-            if a is None or j < 0:
-                continue
-            both = a + piece[j]
-            if ranks.get(both) != r:
+            a, j = tok[i], nxt[i]
+            if a < 0 or j < 0 or merges(a << 20 | tok[j]) != r:
                 continue
-            if wid[i] in waiting:
-                if r not in index:
-                    heapq.heappush(heap, r)
-                index[r].append(i)
+            if i < stop:
+                again.append(i)
                 continue
-            k = nxt[j]
-            piece[i], piece[j], nxt[i] = both, None, k
+            k, h = nxt[j], prv[i]
+            tok[i], tok[j], nxt[i] = r, -1, k
+            low = False
             if k >= 0:
                 prv[k] = i
-            h = prv[i]
-            for left, pair in ((h, piece[h] + both if h >= 0 else None), (i, both + piece[k] if k >= 0 else None)):
-                if pair is None:
-                    continue
-                made = ranks.get(pair)
-                if made is None:
-                    continue
-                if made < r:
-                    waiting.add(wid[i])
-                if made not in index:
-                    heapq.heappush(heap, made)
-                index[made].append(left)
+                made = merges(r << 20 | tok[k])
+                if made is not None:
+                    low = made < r
+                    if made not in index:
+                        heapq.heappush(heap, made)
+                    index[made].append(i)
+            if h >= 0:
+                made = merges(tok[h] << 20 | r)
+                if made is not None:
+                    low = low or made < r
+                    if made not in index:
+                        heapq.heappush(heap, made)
+                    index[made].append(h)
+            if low:
+                stop = starts[bisect_right(starts, i)] if i < starts[-1] else len(tok)
+        if again:
+            if r not in index:
+                heapq.heappush(heap, r)
+            index[r] += again
     out = []
-    for word, s in zip(words, starts, strict=True):
+    for word, i in zip(words, starts, strict=True):
         ids = []
-        i = s if word else -1
+        i = i if word else -1
         while i >= 0:
-            ids.append(ranks[piece[i]])
+            ids.append(tok[i])
             i = nxt[i]
         out.append(ids)
     return out
 
 
 class Codec:
-    """Encoder and decoder for a rank file; keeps a bounded cache of encoded chunks."""
+    """Encoder and decoder for a rank file; keeps bounded caches of encoded chunks and words."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pairs = pair_ranks(self.ranks)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for k, v in self.ranks.items():
             self.bytes_of[v] = k
         self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]")).findall
-        self.odd = regex.compile(f" (?=[{SPACES}])|(?<=[{SPACES}]) | $").search
-        self.cache: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """Strings that can be encoded apart: no word reaches over a space between two other characters."""
-        if not text:
-            return []
-        if self.odd(text):
-            return self.words(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        cut = [self.chunks(t) for t in texts]
-        need = [c for c in set().union(*cut) if c not in cache]
-        split = [self.words(c) for c in need]
-        distinct = list(set().union(*split))
-        ids = {w: struct.pack(f"<{len(x)}I", *x) for w, x in zip(distinct, replay([w.encode() for w in distinct], self.ranks), strict=True)}
-        cache.update(zip(need, (b"".join([ids[w] for w in s]) for s in split), strict=True))
-        out = [b"".join(map(cache.__getitem__, c)) for c in cut]
-        for c in need:
-            if len(c) > LONG:
-                del cache[c]
+        self.known: dict[str, bytes] = {}
+        self.encode = ChunkEncoder(self.by_words, self.by_words)
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; all texts' new words are merged together."""
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+        split = [self.words(t) for t in texts]
+        new = [w for w in set().union(*split) if w not in known]
+        known.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(new, replay([w.encode() for w in new], self.ranks, self.pairs), strict=True))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
         return out
 
     def decode(self, ids: bytes) -> bytes:
