@@ -31,9 +31,8 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .arrow import pieces
+from .chunks import ChunkEncoder
 
-LONG = 64
-CACHE = 300_000
 #: Items of one length are ranked in this many parts, so that a length with a third of all rows is no single task.
 RANK_PARTS = 64
 
@@ -42,50 +41,32 @@ RANK_PARTS = 64
 
 
 @lru_cache(1)
-def _tokenizer(path: str):
+def encoder(path: str) -> ChunkEncoder:
+    """A function from texts to little-endian uint32 ids of a byte-level BPE tokenizer file."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t, {}
-
-
-def encoder(path: str):
-    """A function from texts to little-endian uint32 ids of a byte-level BPE tokenizer, one chunk between spaces at a time.
-
-    Such a tokenizer cuts text before a space that stands between two other
-    characters, so chunks encode apart; texts with other white space around a
-    space are encoded whole.
-    """
-    import re
-
-    from .bpe import SPACES
-
-    tok, cache = _tokenizer(path)
-    odd = re.compile(f" (?=[{SPACES}])|(?<=[{SPACES}]) | $").search
-
-    def chunks(t: str) -> list[str]:
-        if not t:
-            return []
-        if odd(t):
-            return [t]
-        first, *rest = t.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
-        cut = [chunks(t) for t in texts]
-        need = [c for c in set().union(*cut) if c not in cache]
-        cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(need, tok.encode_batch_fast(need, add_special_tokens=False), strict=True))
-        out = [b"".join(map(cache.__getitem__, c)) for c in cut]
-        for c in need:
-            if len(c) > LONG:
-                del cache[c]
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    size = np.zeros(tok.get_vocab_size(), np.int64)
+    for token, i in tok.get_vocab().items():
+        size[i] = len(token)  # a byte-level token has one character for each byte
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(texts: list[str]) -> list[bytes]:
+        """All chunks in one text, cut apart again where their bytes end."""
+        ids = np.array(tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        cuts = np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 1
+        raw, at, out = ids.tobytes(), 0, []
+        for c in (4 * cuts).tolist():
+            out.append(raw[at:c])
+            at = c
         return out
 
-    return encode
+    return ChunkEncoder(lambda texts: apart(texts) if texts else [], whole)
 
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
