@@ -45,7 +45,9 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> Column:
     """
 
     raw = ngram_counts(docs, n)
-    good = ngram_counts(docs.filter("doc_id is not null").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi"), n)
+    # always by shuffle: the trusted ids grow with the corpus, so a broadcast that works on small tables is none here
+    ids = trusted.select("doc_id").distinct().hint("shuffle_hash")
+    good = ngram_counts(docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi"), n)
     r, g = sum(raw.values()) + n, sum(good.values()) + n
     ratio = [round(math.log((good.get(b, 0) + 1) / g) - math.log((raw.get(b, 0) + 1) / r), 4) for b in range(n)]
     # a JSON text folds into one array constant; a column of n values would be copied with every row
