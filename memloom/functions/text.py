@@ -15,6 +15,11 @@ NEGATIONS = ["not ", "no ", "never ", "cannot ", "isn't ", "doesn't ", "won't "]
 SUFFIXES = ["ing", "ies", "ied", "ed", "es", "s"]
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f (or a lambda within it) uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _group(x: Column, pattern: str, i: int) -> Column:
     g = F.trim(F.regexp_extract(x, pattern, i))
     return F.when(g != "", g)
@@ -31,8 +36,7 @@ def typed_links(content: Column) -> Column:
 
 def plain_links(content: Column) -> Column:
     """Wiki-links that no typed link covers, in the same form, with relation wikilink."""
-    typed = F.regexp_extract_all(content, F.lit(TYPED), 0)
-    raws = F.filter(F.regexp_extract_all(content, F.lit(PLAIN), 0), lambda x: ~F.array_contains(typed, x))
+    raws = let(F.regexp_extract_all(content, F.lit(TYPED), 0), lambda typed: F.filter(F.regexp_extract_all(content, F.lit(PLAIN), 0), lambda x: ~F.array_contains(typed, x)))
     return F.transform(
         raws,
         lambda x: F.struct(x.alias("raw"), F.trim(F.regexp_extract(x, PLAIN, 1)).alias("target"), _group(x, PLAIN, 3).alias("alias"), _group(x, PLAIN, 2).alias("section"), F.lit("wikilink").alias("relation")),
@@ -145,20 +149,26 @@ def evidence_tokens(normal: Column) -> Column:
 
 def trigrams(normal: Column) -> Column:
     """Distinct runs of three characters."""
-    c = F.split(normal, "")
-    n = F.length(normal)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.element_at(c, i), F.get(c, i), F.get(c, i + 1)))))
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    return let(F.split(normal, ""), lambda c: F.when((F.size(c) < 3), F.array().cast("array<string>")).otherwise(F.array_distinct(runs(c))))
 
 
 def verify_overlap(claim: Column, source: Column, passing: float = 0.55) -> Column:
     """(score, literal, token, trigram, method, passed): how far a source span bears a claim out."""
-    c, s = normalize(claim), normalize(source)
-    literal = F.when(F.contains(s, c), 1.0).when(F.contains(c, s) & (s != ""), 0.75).otherwise(0.0)
-    token = jaccard(evidence_tokens(c), evidence_tokens(s))
-    gram = jaccard(trigrams(c), trigrams(s))
-    best = F.greatest(literal, token * 0.85, gram * 0.70)
-    method = F.when((literal >= token * 0.85) & (literal >= gram * 0.70), "literal").when(token * 0.85 >= gram * 0.70, "token").otherwise("trigram")
-    return F.struct(best.alias("score"), literal.alias("literal"), token.alias("token"), gram.alias("trigram"), method.alias("method"), (best >= passing).alias("passed"))
+
+    def judge(v: Column) -> Column:
+        c, s, token, gram = v["c"], v["s"], v["token"], v["gram"]
+        literal = F.when(F.contains(s, c), 1.0).when(F.contains(c, s) & (s != ""), 0.75).otherwise(0.0)
+        best = F.greatest(literal, token * 0.85, gram * 0.70)
+        method = F.when((literal >= token * 0.85) & (literal >= gram * 0.70), "literal").when(token * 0.85 >= gram * 0.70, "token").otherwise("trigram")
+        return F.struct(best.alias("score"), literal.alias("literal"), token.alias("token"), gram.alias("trigram"), method.alias("method"), (best >= passing).alias("passed"))
+
+    def compare(p: Column) -> Column:
+        token = let(F.struct(evidence_tokens(p["c"]).alias("a"), evidence_tokens(p["s"]).alias("b")), lambda t: jaccard(t["a"], t["b"]))
+        gram = let(F.struct(trigrams(p["c"]).alias("a"), trigrams(p["s"]).alias("b")), lambda t: jaccard(t["a"], t["b"]))
+        return let(F.struct(p["c"].alias("c"), p["s"].alias("s"), token.alias("token"), gram.alias("gram")), judge)
+
+    return let(F.struct(normalize(claim).alias("c"), normalize(source).alias("s")), compare)
 
 
 def sanitize_filename(name: Column) -> Column:

@@ -13,8 +13,9 @@ from .pairs import jaccard_pairs
 def attach_claims(claims: DataFrame) -> DataFrame:
     """Claims (id, claim, source_text, ...) with score, method and passed; those that do not pass are to be rejected."""
     v = X.verify_overlap(F.coalesce("claim", F.lit("")), F.coalesce("source_text", F.lit("")))
-    out = claims.withColumn("_v", v)
-    return out.select(*claims.columns, F.round("_v.score", 6).alias("score"), F.col("_v.method").alias("method"), F.col("_v.passed").alias("passed"))
+    # a generator row, not a column: its fields would each compute the whole comparison again
+    out = claims.select(*claims.columns, F.inline(F.array(v)))
+    return out.select(*claims.columns, F.round("score", 6).alias("score"), "method", "passed")
 
 
 def new_sources(sources: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def consolidation_pass(spark, sf):
 
 
 LEAST = 0.35
-_SIM = f"""v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE ** 2))) AS n FROM embeddings),
-p AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), z -> z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.id < b.id), s AS (SELECT * FROM p WHERE similarity >= {LEAST})"""
+_SIM = f"""v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.id < b.id), s AS (SELECT * FROM p WHERE similarity >= {LEAST})"""
 
 
 @query(f"WITH {_SIM} SELECT * FROM s")
@@ -140,11 +140,11 @@ def clusters(spark, sf):
     return C.clusters(C.similar_pairs(D.vectors(spark, sf), LEAST))
 
 
-@query(f"{_CLUSTERS}, x AS (SELECT cluster, unnest(e) AS x, unnest(range(len(e))) AS i, c.id FROM c JOIN v USING (id)), m AS (SELECT cluster, i, round(avg(x::DOUBLE), 4) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT cluster, n AS members, CAST(i AS INTEGER) AS i, m FROM m")
+@query(f"{_CLUSTERS}, x AS (SELECT cluster, unnest(e) AS x, unnest(range(len(e))) AS i, c.id FROM c JOIN v USING (id)), m AS (SELECT cluster, i, round(avg(x::DOUBLE), 6) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT cluster, n AS members, CAST(i AS INTEGER) AS i, m FROM m")
 def cluster_centroid(spark, sf):
     v = D.vectors(spark, sf)
     c = C.centroids(C.clusters(C.similar_pairs(v, LEAST)), v)
-    return c.select("cluster", "members", F.posexplode("centroid").alias("i", "m")).withColumn("m", F.round("m", 4))
+    return c.select("cluster", "members", F.posexplode("centroid").alias("i", "m"))
 
 
 @query(f"{_CLUSTERS}, a AS (SELECT id AS a, cluster FROM c), b AS (SELECT id AS b, cluster AS other FROM c) SELECT cluster, round(avg(similarity), 6) AS mean_similarity FROM s JOIN a USING (a) JOIN b USING (b) WHERE cluster = other GROUP BY cluster")
@@ -161,8 +161,8 @@ def nearest_schema(spark, sf):
     return C.nearest_schema(C.centroids(C.clusters(C.similar_pairs(v, LEAST)), v), schemas, least=LEAST)
 
 
-@query("""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> strlen(x) >= 3) AS t FROM benchmark)
-SELECT item_id AS query_id, doc_id AS id, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_filter(t, x -> contains(lower(text), x))) / len(t) END, 6) AS grounded FROM documents JOIN q ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
+@query("""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 3) AS t FROM benchmark)
+SELECT item_id AS query_id, doc_id AS id, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_filter(t, lambda x: contains(lower(text), x))) / len(t) END, 6) AS grounded FROM documents JOIN q ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def proxy_gate(spark, sf):
     """How far each document bears out one benchmark item as a query."""
     b = D.table(spark, sf, "benchmark")

@@ -28,7 +28,7 @@ def _notes(spark, sf):
 
 
 #: The longest beginning of a text of at most n bytes: the longest in characters that fits.
-_CUT = "left(content, list_max(list_filter(range(0, 201), k -> strlen(left(content, k)) <= 200)))"
+_CUT = "left(content, list_max(list_filter(range(0, 201), lambda k: strlen(left(content, k)) <= 200)))"
 _PREVIEW = f"CASE WHEN strlen(content) <= 200 THEN content ELSE {_CUT} || '...' END"
 
 
@@ -105,7 +105,7 @@ def frontmatter_tags(spark, sf):
     return _notes(spark, sf).select("id", F.explode(X.yaml_list(X.front_field(F.col("content"), "tags"))).alias("tag"))
 
 
-@query(f"{with_views('notes')} SELECT id, len(list_filter(regexp_split_to_array(regexp_replace(content, '^---\\ntags: [^\\n]*\\n---\\n', ''), '\\s+'), x -> x <> '')) AS words FROM notes")
+@query(f"{with_views('notes')} SELECT id, len(list_filter(regexp_split_to_array(regexp_replace(content, '^---\\ntags: [^\\n]*\\n---\\n', ''), '\\s+'), lambda x: x <> '')) AS words FROM notes")
 def word_count(spark, sf):
     return _notes(spark, sf).select("id", X.word_count(F.col("content")).alias("words"))
 

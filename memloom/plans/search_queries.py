@@ -34,7 +34,7 @@ def _phrases(spark, sf):
     return D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(w, 1, 2), " ").alias("phrase"))
 
 
-_TOK = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+_TOK = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _FTS = f"""d AS (SELECT doc_id AS id, {_TOK.format("'Doc ' || doc_id")} AS tt, {_TOK.format('text')} AS tc FROM documents),
 q AS (SELECT item_id AS query_id, list_slice({_TOK.format('text')}, 1, 2) AS w FROM benchmark), st AS (SELECT avg(len(tt) + len(tc)) AS avgdl, count(*) AS n FROM d),
 p AS (SELECT id, 't' AS f, unnest(tt) AS term, unnest(range(len(tt))) AS pos FROM d UNION ALL SELECT id, 'c', unnest(tc), unnest(range(len(tc))) FROM d),
@@ -42,7 +42,7 @@ tf AS (SELECT query_id, a.id, count(*) AS tf FROM q JOIN p a ON a.term = w[1] JO
 df AS (SELECT query_id, count(*) AS df FROM tf GROUP BY ALL),
 hits AS (SELECT query_id, tf.id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(tt) + len(tc)) / avgdl)), 6) AS score FROM tf JOIN df USING (query_id) JOIN d ON d.id = tf.id, st),
 fts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits)"""
-_KNN = """v AS (SELECT vec_id AS id, embedding AS e FROM embeddings), knn_all AS (SELECT a.id AS query_id, b.id, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), z -> (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 6) AS score FROM v a, v b WHERE {0}),
+_KNN = """v AS (SELECT vec_id AS id, embedding AS e FROM embeddings), knn_all AS (SELECT a.id AS query_id, b.id, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 6) AS score FROM v a, v b WHERE {0}),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM knn_all)"""
 
 
@@ -70,8 +70,8 @@ def knn_l2(spark, sf):
     return S.nearest(D.vectors(spark, sf), _query_vectors(spark, sf), 10)
 
 
-@query("""WITH v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE ** 2))) AS n FROM embeddings),
-s AS (SELECT a.id AS query_id, b.id, round(list_sum(list_transform(list_zip(a.e, b.e), z -> z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS score FROM v a, v b WHERE a.id % 100 = 0)
+@query("""WITH v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings),
+s AS (SELECT a.id AS query_id, b.id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS score FROM v a, v b WHERE a.id % 100 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def knn_cosine(spark, sf):
     return S.nearest(D.vectors(spark, sf), _query_vectors(spark, sf), 10, metric="cosine")
@@ -144,8 +144,8 @@ def token_jaccard(spark, sf):
 _NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _STOP = "['" + "','".join(X.STOPWORDS) + "']"
 _STEM = "CASE " + " ".join(f"WHEN strlen(x) > {len(s) + 2} AND suffix(x, '{s}') THEN left(x, length(x) - {len(s)})" for s in X.SUFFIXES) + " ELSE x END"
-_EVID = f"list_distinct(list_transform(list_filter(string_split({{0}}, ' '), x -> x <> '' AND NOT list_contains({_STOP}, x)), x -> {_STEM}))"
-_TRI = "CASE WHEN length({0}) < 3 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({0}) - 1), k -> substr({0}, k, 3))) END"
+_EVID = f"list_distinct(list_transform(list_filter(string_split({{0}}, ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x)), lambda x: {_STEM}))"
+_TRI = "CASE WHEN length({0}) < 3 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({0}) - 1), lambda k: substr({0}, k, 3))) END"
 _JAC = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
 _CLAIMS = f"""{with_views('claims')}, n AS (SELECT id, note_id, source_id, {_NORM.format('claim')} AS c, {_NORM.format('source_text')} AS s FROM claims),
 t AS (SELECT *, {_EVID.format('c')} AS ec, {_EVID.format('s')} AS es, {_TRI.format('c')} AS gc, {_TRI.format('s')} AS gs FROM n),
@@ -190,7 +190,7 @@ def contradictions(spark, sf):
     return find(_dated(spark, sf), attach_claims(D.claims(spark, sf)).filter("passed"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> strlen(x) > 3)"
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: strlen(x) > 3)"
 
 
 @query(f"{with_views('links')}, {_PAIRS.format(tok=_WORDS)} SELECT a AS source, b AS target, round(least(jaccard, 0.85), 6) AS confidence FROM j WHERE jaccard > 0.15 AND NOT EXISTS (SELECT 1 FROM links l WHERE (l.src = a AND l.dst = b) OR (l.src = b AND l.dst = a))")
