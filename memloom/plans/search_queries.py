@@ -164,7 +164,8 @@ def overlap_verify(spark, sf):
 @query(f"{_CLAIMS} SELECT id, round(gram, 6) AS trigram FROM m")
 def trigram_jaccard(spark, sf):
     c = D.claims(spark, sf).select("id", X.normalize(F.coalesce("claim", F.lit(""))).alias("c"), X.normalize(F.coalesce("source_text", F.lit(""))).alias("s"))
-    return c.select("id", F.round(X.jaccard(X.trigrams(F.col("c")), X.trigrams(F.col("s"))), 6).alias("trigram"))
+    both = F.struct(X.trigrams(F.col("c")).alias("a"), X.trigrams(F.col("s")).alias("b"))
+    return c.select("id", F.round(X.let(both, lambda t: X.jaccard(t["a"], t["b"])), 6).alias("trigram"))
 
 
 @query(f"{_CLAIMS} SELECT note_id, round(avg(score), 6) AS authority, count(DISTINCT source_id) AS sources FROM ov WHERE passed GROUP BY note_id")
