@@ -31,6 +31,8 @@ from .arrow import pieces
 HOT = 100_000
 #: An n-gram counts as frequent from this many occurrences on, as counted within blocks of documents.
 HOT_LEAST = 24
+#: Sets that link share at least one in so many n-grams among their first ones, which are that many more.
+SHARE = 20
 #: Sets in one block at most (and as many again where two parts of a large group meet).
 BLOCK = 256
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -88,9 +90,14 @@ def class_id(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(grams.tobytes()).digest()[:8], "little", signed=True)
 
 
+def least_shared(n: int) -> int:
+    """How many of their first n-grams two sets that link must share, by the size of the smaller one."""
+    return max(1, n // SHARE)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's first n-grams must hold one of any set that it links with."""
-    return n - -(-percent * n // 100) + 1
+    """How many of a set's first n-grams must hold that many of any set that it links with."""
+    return n - -(-percent * n // 100) + least_shared(n)
 
 
 def links(shared: int, n: int, m: int, percent: int) -> bool:
@@ -277,9 +284,30 @@ def join_blocks(members: DataFrame, size: int, percent: int, hot) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def grouped(grams: DataFrame) -> DataFrame:
+    """Rows (gram, cid, n) whose n-gram another set has too, with hub, the least set that has it.
+
+    Rare n-grams are dealt once for both the groups and the join; the frequent ones are
+    reduced first, and their groups, HOT rows at most, are broadcast.
+    """
+
+    def groups(d: DataFrame) -> DataFrame:
+        return d.groupBy("gram").agg(F.min("cid").alias("hub"), F.max("cid").alias("other")).filter("hub <> other").select("gram", "hub")
+
+    rare, common = grams.filter("gram >= 0").repartition("gram"), grams.filter("gram < 0")
+    return rare.join(groups(rare), "gram").unionByName(common.join(F.broadcast(groups(common)), "gram"))
+
+
+def enough(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of the sets that share as many first n-grams as a link needs: a partner may be smaller, but by ``percent`` at most."""
+    need = F.greatest(F.lit(1), F.floor((F.col("n") * percent / 100) / SHARE) - 1)
+    return rows.join(rows.groupBy("cid", "n").count().filter(F.col("count") >= need).select("cid"), "cid", "left_semi")
+
+
 def hub_blocks(near: DataFrame) -> DataFrame:
     """(block, cid, label): each set with the hub that it shares most with, in parts of about BLOCK that all hold the hub."""
-    best = near.filter("cid <> hub").groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    times = near.filter("cid <> hub").groupBy("cid", "hub").count()
+    best = times.groupBy("cid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = best.join(parts, "hub").select("cid", "hub", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
     blocks = dealt.select("hub", "part", "cid").union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct())
@@ -287,28 +315,28 @@ def hub_blocks(near: DataFrame) -> DataFrame:
 
 
 def cross_blocks(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(block, cid, label) for the groups that hold more than one component.
+    """(block, cid, label): sets of two components that may link, in parts of about BLOCK of either.
 
-    A group is parted by size class (sets link only within a class or with the next) and
-    component: a component with many sets has parts of its own, small ones share parts.
-    Each two parts that can link are a block; two parts of one large component are none.
+    A set may link with one of another component only if it shares enough first n-grams
+    with sets of that component; so the components of each n-gram, not its sets, are
+    paired, and only sets that pass are dealt to the blocks of two components.
     """
-    member = near.select("hub", "cid", "n").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = member.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("hub")
-    member = member.join(mixed, "hub", "left_semi").withColumn("c", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
-    member = materialize(member)
-    each = member.groupBy("hub", "c", "label").count()
-    big = each.filter(F.col("count") > BLOCK).select("hub", "c", "label", F.ceil(F.col("count") / BLOCK).alias("parts"))
-    small = each.filter(F.col("count") <= BLOCK).groupBy("hub", "c").agg(F.ceil(F.sum("count") / BLOCK).alias("bins"))
-    dealt = member.join(big, ["hub", "c", "label"], "left").join(small, ["hub", "c"], "left")
-    one = F.col("parts").isNotNull()
-    dealt = materialize(dealt.select("hub", "c", "cid", "label", F.when(one, F.col("label")).alias("only"), F.when(one, F.pmod(F.xxhash64("cid"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("label"), F.col("bins"))).alias("part")))
-    parts = dealt.select("hub", "c", "only", "part").distinct().withColumn("p", F.xxhash64("c", F.coalesce("only", F.lit(0)), F.col("only").isNull(), "part"))
-    other = parts.select("hub", *(F.col(k).alias(f"{k}2") for k in ("c", "only", "p")))
-    pairs = parts.join(other, "hub").filter("p <= p2 and abs(c - c2) <= 1 and (only is null or only2 is null or only <> only2)")
-    pairs = pairs.select("hub", F.xxhash64("hub", "p", "p2").alias("block"), F.explode(F.array_distinct(F.array("p", "p2"))).alias("p"))
-    dealt = dealt.withColumn("p", F.xxhash64("c", F.coalesce("only", F.lit(0)), F.col("only").isNull(), "part"))
-    return dealt.join(pairs, ["hub", "p"]).select("block", "cid", "label").distinct()
+    rows = near.select("gram", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = rows.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
+    rows = materialize(rows.join(mixed, "gram", "left_semi"))
+    other = rows.select("gram", F.col("label").alias("other")).distinct()
+    need = F.greatest(F.lit(1), F.floor((F.col("n") * percent / 100) / SHARE) - 1)
+    near_to = rows.join(other, "gram").filter("label <> other").groupBy("cid", "n", "label", "other").count().filter(F.col("count") >= need)
+    side = near_to.select("cid", "label", F.least("label", "other").alias("lo"), F.greatest("label", "other").alias("hi"))
+    side = materialize(side)
+    size = side.groupBy("lo", "hi").agg(F.sum((F.col("label") == F.col("lo")).cast("int")).alias("nl"), F.sum((F.col("label") == F.col("hi")).cast("int")).alias("nh"))
+    both = side.join(size.filter("nl > 0 and nh > 0"), ["lo", "hi"])
+    pl, ph = F.ceil(F.col("nl") / BLOCK), F.ceil(F.col("nh") / BLOCK)
+    low = F.col("label") == F.col("lo")
+    # a part of one component meets each part of the other
+    parts = both.select("cid", "label", "lo", "hi", F.pmod(F.xxhash64("cid"), F.when(low, pl).otherwise(ph)).alias("own"), F.explode(F.sequence(F.lit(0), F.when(low, ph).otherwise(pl) - 1)).alias("met"))
+    i, j = (F.when(F.col("label") == F.col("lo"), F.col(x)).otherwise(F.col(y)) for x, y in (("own", "met"), ("met", "own")))
+    return parts.select(F.xxhash64("lo", "hi", i, j).alias("block"), "cid", "label")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -330,14 +358,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = rows.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(prefixes(docs, size, percent, hot).join(classes, ["cid", "doc_id"], "left_semi"))
 
-    # which sets share one of their first n-grams: those of a rare one meet by shuffle, the bounded number of frequent ones by broadcast
-    grams = first.select("cid", "n", F.explode("prefix").alias("gram"))
-    rare = grams.filter("gram >= 0").repartition("gram")
-    group = rare.groupBy("gram").agg(F.min("cid").alias("hub"), F.max("cid").alias("other")).filter("hub <> other").select("gram", "hub")
-    common = grams.filter("gram < 0")
-    shared = common.groupBy("gram").agg(F.min("cid").alias("hub"), F.max("cid").alias("other")).filter("hub <> other").select("gram", "hub")  # HOT rows at most
-    near = rare.join(group, "gram").union(common.join(F.broadcast(shared), "gram")).select("cid", "n", "hub")
-    near = materialize(near.groupBy("cid", "n", "hub").count().withColumnRenamed("count", "times"))
+    # sets meet where they share enough of their first n-grams; those of single sets go first, then the sets that are left with too few
+    near = materialize(grouped(first.select("cid", "n", F.explode("prefix").alias("gram"))).drop("hub"))
+    for _ in range(2):
+        near = materialize(grouped(enough(near, percent)).drop("hub"))
+    near = materialize(grouped(enough(near, percent)))
     ids = classes.join(near.select("cid").distinct(), "cid", "left_semi")
     texts = materialize(docs.join(ids, "doc_id").select("cid", "text"))
 
