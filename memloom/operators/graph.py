@@ -53,23 +53,42 @@ def neighbors(links: DataFrame, seeds: DataFrame, depth: int, limit: int) -> Dat
     return found.orderBy("depth", "id").limit(limit)
 
 
-def shortest_paths(links: DataFrame, pairs: DataFrame, max_depth: int = 6, types: str | None = None) -> DataFrame:
+def shortest_paths(links: DataFrame, pairs: DataFrame, max_depth: int | None = None, types: str | None = None) -> DataFrame:
     """(source, target, path) for pairs, along edge directions: the least path by order of ids among the shortest.
 
-    A pair of equal ids has the path of itself; a pair without a path within
-    ``max_depth`` steps has an empty one. Each round keeps one path for each source and node.
+    A pair of equal ids has the path of itself; a pair without a path has an empty one
+    (with ``max_depth``, also one whose path is longer). The search goes on from both
+    ends, each round from the end with fewer nodes to go on from, until every pair has
+    met or has an end that reaches nothing new. Each round keeps one path for each end and node.
     """
-    edges = of_types(links, types).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    pairs = pairs.select("source", "target").distinct()
-    front = pairs.select("source", F.col("source").alias("id"), F.array("source").alias("path")).distinct()
-    seen = front
-    for _ in range(max_depth):
-        step = front.join(edges, F.col("id") == F.col("a")).select("source", F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path"))
-        front = materialize(step.groupBy("source", "id").agg(F.min("path").alias("path")).join(seen.select("source", "id"), ["source", "id"], "left_anti"))
-        if front.isEmpty():
+    edges = materialize(of_types(links, types).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    pairs = materialize(pairs.select("source", "target").distinct())
+    ends = ("source", "target")
+    front = [materialize(pairs.select(e, F.col(e).alias("id"), F.array(e).alias("path")).distinct()) for e in ends]
+    seen = [f.select(e, "id") for e, f in zip(ends, front)]
+    left, found, depth = pairs, None, 0
+    while True:
+        # The ends are as far from each other as both have gone: a node that both reached last is on a shortest path.
+        met = left.join(front[0], "source").join(front[1].withColumnRenamed("path", "rest"), ["target", "id"])
+        whole = F.concat("path", F.slice("rest", 2, F.size("rest")))
+        met = materialize(met.groupBy("source", "target").agg(F.min(whole).alias("path")))
+        found = met if found is None else found.unionByName(met)
+        if depth == max_depth:
             break
-        seen = seen.unionByName(front)
-    out = pairs.join(seen.withColumnRenamed("id", "target"), ["source", "target"], "left")
+        left = left.join(met, ["source", "target"], "left_anti")
+        for e, f in zip(ends, front):
+            left = left.join(f.select(e).distinct(), e, "left_semi")
+        left = materialize(left.select("source", "target"))
+        if left.isEmpty():
+            break
+        i = int(front[1].count() < front[0].count())
+        e, here, there = ends[i], *(("a", "b") if i == 0 else ("b", "a"))
+        path = F.array_append("path", F.col(there)) if i == 0 else F.array_prepend("path", F.col(there))
+        step = front[i].join(left.select(e).distinct(), e, "left_semi").join(edges, F.col("id") == F.col(here)).select(e, F.col(there).alias("id"), path.alias("path"))
+        front[i] = materialize(step.join(seen[i], [e, "id"], "left_anti").groupBy(e, "id").agg(F.min("path").alias("path")))
+        seen[i] = seen[i].unionByName(front[i].select(e, "id"))
+        depth += 1
+    out = pairs.join(found, list(ends), "left")
     return out.select("source", "target", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
 
 

@@ -89,7 +89,7 @@ w AS (SELECT DISTINCT source, source AS id, [source] AS path FROM p UNION ALL SE
 SELECT p.source, p.target, coalesce((SELECT array_to_string(path, '>') FROM w WHERE w.source = p.source AND w.id = p.target ORDER BY len(path), path LIMIT 1), '') AS path FROM p""")
 def shortest_path(spark, sf):
     pairs = D.table(spark, sf, "benchmark").selectExpr("item_id as source", "item_id * 3 + 2 as target")
-    return G.shortest_paths(D.links(spark, sf), pairs, max_depth=4).select("source", "target", F.array_join("path", ">").alias("path"))
+    return G.shortest_paths(D.links(spark, sf), pairs).select("source", "target", F.array_join("path", ">").alias("path"))
 
 
 @query(with_views("links") + ", k AS (SELECT * FROM links)" + _BFS2.format(l="k").replace("SELECT seed, id, 1 AS depth", ", x AS (SELECT seed, id, 1 AS depth", 1) + "), nodes AS (SELECT id FROM x UNION SELECT item_id FROM benchmark) SELECT src, dst, link_type FROM links WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")

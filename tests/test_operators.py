@@ -77,6 +77,36 @@ def test_bfs_and_paths(spark):
     assert {r["id"]: r["degree"] for r in G.degrees(edges).collect()}[5] == 2
 
 
+def test_paths_of_any_length(spark):
+    """Against a plain search: longer than any fixed depth, least among equals, none where there is none."""
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(30)] + [(int(a), int(b)) for a, b in rng.integers(40, 70, (45, 2))] + [(30, 40)]
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+
+    def least(s, t):
+        level, known = [[s]], {s}
+        while level:
+            if hit := [p for p in level if p[-1] == t]:
+                return min(hit)
+            new = {}
+            for p in sorted(level):
+                for b in out.get(p[-1], ()):
+                    if b not in known:
+                        new.setdefault(b, [*p, b])
+            known |= set(new)
+            level = list(new.values())
+        return []
+
+    pairs = [(0, 30), (0, 9), (30, 0), (12, 12), *((int(a), int(b)) for a, b in rng.integers(0, 70, (30, 2)))]
+    edges = spark.createDataFrame(links, "src long, dst long").withColumn("link_type", F.lit("wikilink"))
+    got = {(r[0], r[1]): r[2] for r in G.shortest_paths(edges, spark.createDataFrame(pairs, "source long, target long")).collect()}
+    assert got == {p: least(*p) for p in pairs} and len(got[0, 30]) == 31
+    short = {(r[0], r[1]): r[2] for r in G.shortest_paths(edges, spark.createDataFrame(pairs, "source long, target long"), max_depth=9).collect()}
+    assert short == {p: v if len(v) <= 10 else [] for p, v in got.items()}
+
+
 def test_memory(spark):
     t = datetime(2024, 1, 1)
     log = spark.createDataFrame([(1, "a", "n", "k", 1.0, t, 10), (2, "a", "n", "k", 2.0, t + timedelta(1), None), (3, "a", "n", "k", 3.0, t + timedelta(2), 5)], "seq long, agent_id string, namespace string, key string, value double, written_at timestamp, ttl_seconds int")
