@@ -138,20 +138,29 @@ def read_table(frame: bytes, h: tuple) -> dict | None:
     return None
 
 
+def tiled(data: bytes, at: int, like: tuple) -> bool:
+    """Whether agreeing frames fill the bytes from ``at`` exactly."""
+    while (h := header(data[at : at + 4])) is not None and h[2:5] == like[2:5]:
+        at += h[0]
+    return at == len(data)
+
+
 def scan(data: bytes) -> dict:
-    """What a stream holds; offsets are from its first byte and leave the table frame out."""
+    """What a stream holds; offsets are from its first byte and leave the table frame out.
+
+    ``TAG`` 128 bytes before the end begins an ID3v1 tag unless frames reach past it and fill the stream to its end.
+    """
     at, tags = read_id3(data)
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        for name, a, n in (("TIT2", 3, 30), ("TPE1", 33, 30), ("TALB", 63, 30)):
-            if v := data[end + a : end + a + n].split(b"\0")[0].decode("latin-1").strip():
-                tags.setdefault(name, v)
     out = {"tags": tags, "offsets": [], "samples": 0, "seconds": Fraction(0), "junk": 0, "crc_ok": 0, "crc_bad": 0, "table": None, "version": None, "layer": None, "rate": None, "kbps_min": None, "kbps_max": None, "resyncs": 0}
     like, first, kb = None, True, set()
     seconds: dict[int, int] = {}
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if h is not None and end < at + h[0] <= len(data) and tiled(data, at, h):
+            end = len(data)
         ok = h is not None and at + h[0] <= end
         if ok and (like is None or h[2:5] != like):
             after = at + h[0]
@@ -180,6 +189,10 @@ def scan(data: bytes) -> dict:
             kb.add(kbps)
         at += n
     out["junk"] += max(0, end - at)
+    if end < len(data):
+        for name, a, n in (("TIT2", 3, 30), ("TPE1", 33, 30), ("TALB", 63, 30)):
+            if v := data[end + a : end + a + n].split(b"\0")[0].decode("latin-1").strip():
+                tags.setdefault(name, v)
     out["seconds"] = sum((Fraction(n, r) for r, n in seconds.items()), Fraction(0))
     out["kbps_min"], out["kbps_max"] = (min(kb), max(kb)) if kb else (None, None)
     return out

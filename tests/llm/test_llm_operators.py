@@ -156,6 +156,18 @@ def test_mpeg_round_trip_and_resync():
     assert mpeg.scan(b"")["offsets"] == [] and mpeg.scan(b"no audio")["junk"] == 8
 
 
+@pytest.mark.parametrize("units", [1, 3])
+def test_mpeg_payload_with_tag_at_505(units):
+    text = b"x" * (mpeg.UNIT * (units - 1) + 505) + b"TAG" + b"Title" * 4
+    payload = mpeg.pad(text)
+    data = mpeg.carry(payload, str(len(text)))
+    assert data[-128:-125] == b"TAG"
+    s = mpeg.scan(data)
+    assert mpeg.carried(data, s["offsets"]) == payload and s["tags"] == {"TXXX:n_bytes": str(len(text))} and s["junk"] == 0
+    tagged = mpeg.scan(data + b"TAG" + b"Song".ljust(125, b"\0"))
+    assert mpeg.carried(data, tagged["offsets"]) == payload and tagged["tags"]["TIT2"] == "Song" and tagged["junk"] == 0
+
+
 def test_mpeg_headers():
     assert mpeg.header(b"\xff\xfb\x90\x00")[:3] == (417, 1152, 44100)  # MPEG 1, Layer III, 128 kbit/s
     assert mpeg.header(b"\xff\xfb\x92\x00")[0] == 418
