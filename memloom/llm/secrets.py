@@ -14,7 +14,7 @@ import hashlib
 import math
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
@@ -34,7 +34,8 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: Distinct credentials of each kind, and ordinary tokens, from which the automata are made at most.
 SAMPLE = 600
-DEPTH = 48
+#: Longest word whose score is kept for the next token; longer ones are scored each time.
+CACHED = 64
 ORDINARY = "ordinary"
 
 
@@ -46,19 +47,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of candidate tokens that touch no base span."""
+def uncovered(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts) of candidate tokens that base spans do not cover whole, with the parts that none covers."""
     starts = [s for s, _, _ in base]
     ends = list(accumulate((e for _, _, e in base), max))
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        i = bisect_left(starts, e)
-        if not i or ends[i - 1] <= s:
-            out.append((s, e))
+        at, parts = s, []
+        for start, _, end in base[bisect_right(ends, s) : bisect_left(starts, e)]:
+            if start > at:
+                parts.append((at, start))
+            at = max(at, end)
+        if at < e:
+            parts.append((at, e))
+        if parts:
+            out.append((s, e, parts))
     return out
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of candidate tokens that touch no base span."""
+    return [(s, e) for s, e, parts in uncovered(text, base) if parts == [(s, e)]]
+
+
 # ---- inference ----------------------------------------------------------------------------------------------
 
 
@@ -170,14 +182,14 @@ def infer_automata(samples: dict[str, list[str]]) -> dict[str, Automaton]:
     for kind, tokens in samples.items():
         tree = Automaton()
         for t in sorted(tokens):
-            tree.add(symbols(t)[:DEPTH])
+            tree.add(symbols(t))
         out[kind] = tree.infer()
     return out
 
 
 def format_score(token: str, automata: dict[str, Automaton]) -> float:
     """Log likelihood a symbol of the best credential kind, less that of ordinary tokens."""
-    word = symbols(token)[:DEPTH]
+    word = symbols(token)
     best = max((a.log_likelihood(word) for k, a in automata.items() if k != ORDINARY), default=-math.inf)
     return (best - automata[ORDINARY].log_likelihood(word)) / (len(word) + 1) if ORDINARY in automata and best > -math.inf else -math.inf
 
@@ -195,10 +207,10 @@ def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str,
         out = []
         for t in texts:
             base = base_spans(t)
-            found = {(KINDS[k], (ASSIGN.match(t, s).group(2) if k == 0 else t[s:e])[:256]) for s, k, e in base}
+            found = {(KINDS[k], (ASSIGN.match(t, s).group(2) if k == 0 else t[s:e])) for s, k, e in base}
             for s, e in candidates(t, base):
                 if zlib.crc32(token := t[s:e].encode()) % 16 == 0:
-                    found.add((ORDINARY, token.decode()[:256]))
+                    found.add((ORDINARY, token.decode()))
             out.append(([{"kind": k, "token": v} for k, v in sorted(found)],))
         return out
 
@@ -209,21 +221,31 @@ def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str,
 
 
 def scanner(automata: dict[str, Automaton], threshold: float):
-    """A function from a text to its base spans and the spans of all kinds, as (start, kind, end)."""
+    """A function from a text to its base spans and the spans of all kinds, as (start, kind, end).
+
+    A candidate that base spans cover in part is scored whole; if it does not pass, its
+    uncovered parts of 12 characters or more are scored one by one.
+    """
     scores: dict[str, float] = {}
 
+    def score(token: str) -> float:
+        word = symbols(token)
+        if len(word) > CACHED:
+            return format_score(token, automata)
+        if word not in scores:
+            scores[word] = format_score(token, automata)
+        return scores[word]
+
     def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = base_spans(text)
         more = []
         if len(scores) > 200_000:
             scores.clear()
-        for s, e in candidates(text, base):
-            token = text[s:e]
-            word = symbols(token)[:DEPTH]
-            if word not in scores:
-                scores[word] = format_score(token, automata)
-            if scores[word] >= threshold:
+        for s, e, parts in uncovered(text, base):
+            if score(text[s:e]) >= threshold:
                 more.append((s, len(KINDS), e))
+            elif parts != [(s, e)]:
+                more += [(a, len(KINDS), b) for a, b in parts if b - a >= 12 and score(text[a:b]) >= threshold]
         return base, sorted(base + more)
 
     return scan
