@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.porter import stemmed
+from ..session import materialize
+from .graph import bfs
 
 K1, B = 1.2, 0.75
 #: Query vectors that go to every task at once.
@@ -117,6 +119,25 @@ def salience_boost(hits: DataFrame, scores: DataFrame, weight: float = 0.2) -> D
     return top(out, 2**31 - 1)
 
 
+def expand_context(seeds: DataFrame, notes: DataFrame, links: DataFrame, top_k: int = 10, depth: int = 1) -> DataFrame:
+    """(query_id, id, score, match_type): search hits, their neighbours in the graph, and the schemas of both.
+
+    ``notes``: id, parent_schema_id. Of the notes within ``depth`` open links of a query's
+    hits the first max(top_k / 2, 1) by depth and id join it (graph, score 0), then each
+    parent schema that is not there yet (schema, score 1). Ids without a note join nothing.
+    """
+    known = notes.select("id", "parent_schema_id")
+    hits = materialize(seeds.select("query_id", "id", "score", "match_type").join(known.select("id"), "id", "left_semi").select("query_id", "id", "score", "match_type"))
+    near = bfs(links.filter("valid_until is null"), hits.select("id"), depth).join(hits.select("query_id", F.col("id").alias("seed")), "seed")
+    near = near.groupBy("query_id", "id").agg(F.min("depth").alias("depth")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("depth", "id")
+    near = near.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(top_k // 2, 1)).join(known.select("id"), "id", "left_semi")
+    both = materialize(hits.unionByName(near.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("graph").alias("match_type"))))
+    up = both.join(known.filter("parent_schema_id is not null"), "id").select("query_id", F.col("parent_schema_id").alias("id")).distinct()
+    up = up.join(both.select("query_id", "id"), ["query_id", "id"], "left_anti").join(known.select("id"), "id", "left_semi")
+    return both.unionByName(up.select("query_id", "id", F.lit(1.0).alias("score"), F.lit("schema").alias("match_type")))
+
+
 def retrieve_context(seeds: DataFrame, notes: DataFrame, max_tokens: int = 4096) -> DataFrame:
     """(query_id, position, id, match_type, composite, block_chars, chars_before, used) from candidates (query_id, id, score, match_type).
 

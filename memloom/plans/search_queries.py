@@ -117,9 +117,10 @@ s AS (SELECT *, CAST(coalesce(sum(block_chars) OVER (PARTITION BY query_id ORDER
 e AS (SELECT *, CASE WHEN block_chars <= 16384 - chars_before THEN block_chars WHEN 16384 - chars_before > 200 THEN 16384 - chars_before END AS used FROM s)
 SELECT query_id, position, id, match_type, composite, block_chars, chars_before, used FROM e WHERE used IS NOT NULL""")
 def context_budget(spark, sf):
-    notes = _plain(spark, sf).withColumn("consolidation_score", F.length("content") % 100 / 100)
+    """Hybrid hits, graph neighbours and schemas within a budget; each twentieth note stands for the schema of the odd ones after it."""
+    notes = _plain(spark, sf).withColumns({"consolidation_score": F.length("content") % 100 / 100, "parent_schema_id": F.expr("case when id % 2 = 1 then id - id % 20 end")})
     seeds = _hybrid(spark, sf).select("query_id", "id", "score", F.col("match_source").alias("match_type"))
-    return S.retrieve_context(seeds, notes, 4096)
+    return S.retrieve_context(S.expand_context(seeds, notes, D.links(spark, sf)), notes, 4096)
 
 
 @query(f"""WITH {_FTS}, a AS (SELECT DISTINCT query_id, id FROM fts WHERE rank <= 40 AND id % 3 = 0), j AS (SELECT a.query_id, a.id, f.rank FROM a LEFT JOIN fts f ON f.query_id = a.query_id AND f.id = a.id AND f.rank <= 10),

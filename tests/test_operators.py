@@ -141,6 +141,28 @@ def test_pairs(spark, sets, threshold):
     assert {(r["a"], r["b"]) for r in P.jaccard_pairs(df, threshold).collect()} == want
 
 
+def test_context_expansion(spark):
+    parent = {1: 50, 2: 50, 4: 51, 6: 2, 7: 99}
+    notes = spark.createDataFrame([(i, f"N{i}", "x" * 30, 0.5, parent.get(i)) for i in [*range(1, 13), 50, 51]], "id long, title string, content string, consolidation_score double, parent_schema_id long")
+    ended = datetime(2024, 1, 1)
+    links = spark.createDataFrame([(1, 2, None), (4, 1, None), (1, 5, ended), (2, 6, None), (4, 7, None), (1, 90, None), (8, 9, None), (8, 10, None), (8, 11, None)], "src long, dst long, valid_until timestamp")
+    seeds = spark.createDataFrame([(1, 1, 0.6, "fts"), (1, 2, 0.4, "both"), (2, 8, 0.6, "fts")], "query_id long, id long, score double, match_type string")
+    got = S.expand_context(seeds, notes, links, top_k=5)
+    want = {(1, 1, 0.6, "fts"), (1, 2, 0.4, "both"), (1, 4, 0.0, "graph"), (1, 6, 0.0, "graph"), (1, 50, 1.0, "schema"), (1, 51, 1.0, "schema"), (2, 8, 0.6, "fts"), (2, 9, 0.0, "graph"), (2, 10, 0.0, "graph")}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    context = S.retrieve_context(got, notes).filter("query_id = 1").orderBy("position").collect()
+    assert [(r["id"], r["match_type"]) for r in context] == [(50, "schema"), (51, "schema"), (1, "fts"), (2, "both"), (4, "graph"), (6, "graph")]
+    deeper = {r["id"] for r in S.expand_context(seeds, notes, links, top_k=10, depth=2).filter("query_id = 1").collect()}
+    assert deeper == {1, 2, 4, 6, 7, 50, 51}
+
+
+def test_context_in_query(spark):
+    from memloom.plans.registry import QUERIES
+
+    kinds = {r[0] for r in QUERIES["context_budget"](spark, "/root/testdata/sf0.001").select("match_type").distinct().collect()}
+    assert {"graph", "schema"} <= kinds
+
+
 def test_knn_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 8))
