@@ -15,6 +15,8 @@ from .graph import bfs
 K1, B = 1.2, 0.75
 #: Query vectors that go to every task at once.
 QUERY_BLOCK = 4096
+#: Vectors of each of the two blocks that meet in a task when all are compared with all.
+MEETING_BLOCK = 2048
 
 
 def postings(notes: DataFrame, stem: bool = True) -> DataFrame:
@@ -57,6 +59,7 @@ def top(hits: DataFrame, k: int, offset: int = 0, by: str = "query_id", ascendin
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest of (id, embedding) to each of (query_id, vector), exactly.
 
+    For a bounded set of queries, which all pass through the driver; ``nearest_each`` compares a table with itself.
     Queries go out in blocks of QUERY_BLOCK; each task keeps its best ``k`` (all that tie
     with the last one) for each query, so what is shuffled does not depend on the number
     of vectors. Vectors of another width, and null ones, are never near. Distances are
@@ -102,6 +105,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
     return top(out.filter("query_id <> id") if exclude_self else out, k, ascending=near)
 
 
+def nearest_each(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest others by L2 distance of each of (id, embedding), exactly.
+
+    Vectors are dealt to blocks by hash, each two blocks meet in one task, and each
+    vector keeps its best ``k`` (by distance, then id) of the other block; nothing passes through the driver.
+    Only vectors of the same width are near, null ones never.
+    """
+    v = vectors.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+    n = max(1, -(-v.count() // MEETING_BLOCK))
+    v = v.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)))
+    dealt = v.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "id", "embedding")
+
+    def best(s: np.ndarray, names: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+        last = np.partition(s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), np.inf)
+        a, c = np.nonzero((s <= last[:, None]) & (s < np.inf))
+        order = np.lexsort((others[c], s[a, c], a))
+        a, c = a[order], c[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, c = a[keep], c[keep]
+        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(others[c], pa.int64()), pa.array(s[a, c], pa.float64())], names=["query_id", "id", "score"])
+
+    def compare(rows: list[tuple]):
+        p, q = rows[0][:2]
+        sides = [{}, {}]
+        for _, _, g, name, e in rows:
+            sides[int(g != p)].setdefault(len(e), []).append((name, e))
+        for width, left in sides[0].items():
+            right = left if p == q else sides[1].get(width)
+            if not right or not width:
+                continue
+            a, b = np.array([r[0] for r in left]), np.array([r[0] for r in right])
+            x, y = np.array([r[1] for r in left], float), np.array([r[1] for r in right], float)
+            s = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * (x @ y.T), 0)).round(6)
+            s[a[:, None] == b] = np.inf
+            yield best(s, a, b)
+            if p != q:
+                yield best(s.T, b, a)
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:2] != now:
+                    if rows:
+                        yield from compare(rows)
+                    now, rows = r[:2], []
+                rows.append(r)
+        if rows:
+            yield from compare(rows)
+
+    hits = dealt.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "query_id long, id long, score double")
+    return top(hits, k, ascending=True)
+
+
 def reciprocal_rank_fusion(fts: DataFrame, semantic: DataFrame, limit: int = 10, fts_weight: float = 0.5, k: int = 60) -> DataFrame:
     """(query_id, id, score, match_source, rank) from two ranked lists, each cut at twice the limit."""
     a = fts.filter(F.col("rank") <= 2 * limit).select("query_id", "id", (fts_weight / (k + F.col("rank"))).alias("s"), F.lit(1).alias("src"))

@@ -81,8 +81,7 @@ def knn_cosine(spark, sf):
 SELECT query_id AS src, id AS dst, round(1 - score / 2, 6) AS similarity FROM top t WHERE 1 - score / 2 >= 0.4 AND NOT EXISTS (SELECT 1 FROM links l WHERE l.src = t.query_id AND l.dst = t.id)""")
 def link_suggestions(spark, sf):
     """Each vector's ten nearest as links, unless there is one, by the similarity 1 - distance / 2."""
-    v = D.vectors(spark, sf)
-    near = S.nearest(v, v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 10, exclude_self=True)
+    near = S.nearest_each(D.vectors(spark, sf), 10)
     near = near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.round(1 - F.col("score") / 2, 6).alias("similarity")).filter("similarity >= 0.4")
     return near.join(D.links(spark, sf).select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 

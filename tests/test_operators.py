@@ -175,6 +175,25 @@ def test_knn_blocks(spark, monkeypatch):
         assert [got[i, k] for k in (1, 2, 3)] == want
 
 
+def test_nearest_each(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.vstack([rng.normal(size=(50, 6)), np.ones((20, 6))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(98, [1.0]), (99, None)], "id long, embedding array<double>")
+    monkeypatch.setattr(S, "MEETING_BLOCK", 15)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in S.nearest_each(df, 4).collect()}
+    assert len(got) == 70 * 4
+    for i in range(70):
+        want = sorted((j for j in range(70) if j != i), key=lambda j: (round(float(np.linalg.norm(v[i] - v[j])), 6), j))[:4]
+        assert [got[i, r] for r in (1, 2, 3, 4)] == want
+
+
+def test_link_suggestions_pass_no_vectors_through_the_driver(spark, monkeypatch):
+    from memloom.plans.registry import QUERIES
+
+    monkeypatch.setattr(S, "nearest", lambda *a, **b: pytest.fail("collects the queries"))
+    assert QUERIES["link_suggestions"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_scores(spark):
     row = spark.range(1).select(C.score(F.lit(0.0), F.lit(0), F.lit(0.0)).alias("zero"), C.cosine(F.array(F.lit(1.0)), F.array(F.lit(0.0))).alias("none")).first()
     assert row["zero"] == 0.5 and row["none"] == 0.0
