@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
@@ -200,7 +199,9 @@ def format_score(token: str, automata: dict[str, Automaton]) -> float:
 def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str, list[str]]:
     """Labelled tokens of the whole corpus: for each kind the ``sample`` distinct ones with the smallest hashes.
 
-    What comes to the driver is bounded by ``sample`` for each of four kinds.
+    What comes to the driver is bounded by ``sample`` tokens for each of four kinds. Of the
+    distinct ordinary tokens a sixteenth is taken at most, and 16 of them at least: a
+    credential that no pattern labels is one of them, and what is learned is not found.
     """
 
     def find(texts: list[str]) -> list[tuple]:
@@ -208,16 +209,15 @@ def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str,
         for t in texts:
             base = base_spans(t)
             found = {(KINDS[k], (ASSIGN.match(t, s).group(2) if k == 0 else t[s:e])) for s, k, e in base}
-            for s, e in candidates(t, base):
-                if zlib.crc32(token := t[s:e].encode()) % 16 == 0:
-                    found.add((ORDINARY, token.decode()))
+            found |= {(ORDINARY, t[s:e]) for s, e in candidates(t, base)}
             out.append(([{"kind": k, "token": v} for k, v in sorted(found)],))
         return out
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("token", T.StringType())]))
     found = with_columns(df.select(F.col(col).cast("string").alias("text")), "text", [("found", kind)], lambda: find, drop=True)
     tokens = materialize(found.select(F.inline("found")).distinct().withColumn("h", F.xxhash64("token")))
-    return {k: [r["token"] for r in tokens.filter(F.col("kind") == k).orderBy("h", "token").limit(sample).select("token").collect()] for k in (*KINDS, ORDINARY)}
+    few = min(sample, max(16, -(-tokens.filter(F.col("kind") == ORDINARY).count() // 16)))
+    return {k: [r["token"] for r in tokens.filter(F.col("kind") == k).orderBy("h", "token").limit(few if k == ORDINARY else sample).select("token").collect()] for k in (*KINDS, ORDINARY)}
 
 
 def scanner(automata: dict[str, Automaton], threshold: float):

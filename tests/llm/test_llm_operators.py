@@ -224,6 +224,12 @@ def test_whole_candidates_are_scored():
     assert len(scan(b)[1]) == 0 and len(scan(a)[1]) == 1
 
 
+def test_few_ordinary_tokens_are_learned(spark):
+    tokens = [t for t in (f"ordinary-word-{c * 3}" for c in "abcdefgh") if zlib.crc32(t.encode()) % 16]
+    found = secrets.harvest(rows(spark, [f"see {t} here" for t in tokens] + ["token=abcdefghijklmnop"]))
+    assert set(found[secrets.ORDINARY]) == set(tokens) and found["assign"] == ["abcdefghijklmnop"]
+
+
 def test_partly_covered_candidates_are_scored():
     key = "Ab0Gz9Gz" + "0123456789abcdef" + "Gz9Ab0Gz"
     base = secrets.base_spans(key)
