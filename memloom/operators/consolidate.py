@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate_bytes
+from ..session import materialize
 from .graph import degrees
 from .pairs import components
+from .search import phrase_search
 
 
 def context_diversity(accesses: DataFrame, full: int = 8) -> DataFrame:
@@ -145,6 +148,43 @@ def groundedness(query: Column, context: Column) -> Column:
     return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda x: F.contains(F.lower(context), x))) / F.size(t))
 
 
+def extractive_proposals(members: DataFrame, notes: DataFrame, similarity: DataFrame) -> DataFrame:
+    """(cluster, title, content): the text of a schema over each cluster's notes (id, title, content), in order of ids; 240 bytes of each."""
+    e = members.join(notes.select("id", "title", "content"), "id").select("cluster", F.struct("id", "title", truncate_bytes(F.col("content"), 240).alias("excerpt")).alias("e"))
+    g = e.groupBy("cluster").agg(F.array_sort(F.collect_list("e")).alias("e")).join(similarity.select("cluster", "mean_similarity"), "cluster")
+    more = F.when(F.size("e") > 1, F.concat(F.lit(" (+"), F.size("e") - 1, F.lit(" more)"))).otherwise("")
+    lines = F.array_join(F.transform("e", lambda x: F.concat(F.lit("- "), x["title"], F.lit(": "), x["excerpt"])), "\n")
+    content = F.concat(F.format_string("Extractive schema over %d episodes (mean cosine %.2f).\n\n", F.size("e"), F.col("mean_similarity")), lines)
+    return g.select("cluster", F.concat(F.lit("Schema: "), F.col("e")[0]["title"], more).alias("title"), content.alias("content"))
+
+
+def proxy_gate(proposals: DataFrame, members: DataFrame, accesses: DataFrame, notes: DataFrame, sample: int = 8, top_k: int = 3, least: float = 0.05, stem: bool = True) -> DataFrame:
+    """(cluster, queries, mean_delta, decision): whether a schema (cluster, title, content) would help the queries of its sources.
+
+    ``members``: id, cluster. Held out are the ``sample`` last used query contexts of each
+    cluster's notes, ties by name. Each is scored half by groundedness and half by the share of sources
+    found, with the ``top_k`` notes of the phrase search and with the schema before them, which covers all
+    sources. A mean gain over ``least`` is accepted, another one rejected; without queries the gate is unavailable.
+    """
+    log = accesses.filter(F.trim(F.coalesce("query_context", F.lit(""))) != "").select(F.col("note_id").alias("id"), "query_context", "accessed_at")
+    used = log.join(members.select("id", "cluster"), "id").groupBy("cluster", F.col("query_context").alias("query_id")).agg(F.max("accessed_at").alias("at"))
+    w = Window.partitionBy("cluster").orderBy(F.desc("at"), "query_id")
+    held = materialize(used.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample).select("cluster", "query_id"))
+    hits = materialize(phrase_search(notes, held.select("query_id", F.col("query_id").alias("phrase")).distinct(), top_k, stem=stem).select("query_id", "id", "rank"))
+    text = F.struct("rank", F.concat("title", F.lit("\n"), "content", F.lit("\n")).alias("text"))
+    found = hits.join(notes.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content")), "id")
+    context = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda x: x["text"]), "").alias("context"))
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sources"))
+    covered = held.join(hits, "query_id").join(members.select("id", "cluster"), ["id", "cluster"]).groupBy("cluster", "query_id").agg(F.count(F.lit(1)).alias("covered"))
+    q = held.join(context, "query_id", "left").join(covered, ["cluster", "query_id"], "left").join(size, "cluster").join(proposals.select("cluster", "title", "content"), "cluster")
+    without = F.coalesce("context", F.lit(""))
+    gain = groundedness(F.col("query_id"), F.concat("title", F.lit("\n"), "content", F.lit("\n"), without)) - groundedness(F.col("query_id"), without)
+    delta = 0.5 * gain + 0.5 * (1 - F.coalesce("covered", F.lit(0)) / F.col("sources"))
+    means = q.select("cluster", delta.alias("delta")).groupBy("cluster").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+    decision = F.when(F.col("mean_delta").isNull(), "unavailable").when(F.col("mean_delta") > least, "accept").otherwise("reject")
+    return proposals.select("cluster").join(means, "cluster", "left").select("cluster", F.coalesce("queries", F.lit(0)).alias("queries"), "mean_delta", decision.alias("decision"))
+
+
 def trending_tags(tags_at: DataFrame, now: Column, days: int = 7, limit: int = 10, rising: int = 3) -> DataFrame:
     """(tag, uses, trend) of the last days from (tag, at): rising over ``rising`` uses, else stable."""
     recent = tags_at.filter((F.col("at") > now - F.make_dt_interval(F.lit(days))) & (F.col("at") <= now))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cascade, consolidate as C, integrity as I, memory as M, transactions as T
+from ..session import materialize
 from ..sources import testdata as D
 from ..sources.testdata import with_views
 from .search_queries import _CLAIMS
@@ -164,13 +165,22 @@ def nearest_schema(spark, sf):
 @query("""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 3) AS t FROM benchmark)
 SELECT item_id AS query_id, doc_id AS id, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_filter(t, lambda x: contains(lower(text), x))) / len(t) END, 6) AS grounded FROM documents JOIN q ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def proxy_gate(spark, sf):
-    """How far each document bears out one benchmark item as a query."""
+    """How far each document bears out one benchmark item as a query: the gate's measure alone; the gate is ``schema_proxy_gate``."""
     b = D.table(spark, sf, "benchmark")
     d = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % b.count()).alias("query_id"))
     j = d.join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
     return j.select("query_id", "id", F.round(C.groundedness(F.col("q"), F.col("text")), 6).alias("grounded"))
 
 
+@query()
+def schema_proxy_gate(spark, sf):
+    """The gate over extractive schemas of the vectors' clusters, by the query contexts of their notes."""
+    p = materialize(C.similar_pairs(D.vectors(spark, sf), LEAST))
+    n = D.notes(spark, sf)
+    members = materialize(C.clusters(p).join(n.select("id"), "id", "left_semi"))
+    return C.proxy_gate(C.extractive_proposals(members, n, C.mean_similarity(members, p)), members, D.access_log(spark, sf), n)
+
+
 @query(f"""{with_views('notes', 'note_tags')}, n AS (SELECT max(created_at) AS now FROM notes)
 SELECT tag, count(*) AS uses, CASE WHEN count(*) > 3 THEN 'rising' ELSE 'stable' END AS trend FROM note_tags JOIN notes USING (id), n WHERE created_at > now - INTERVAL 7 DAY AND created_at <= now GROUP BY tag ORDER BY uses DESC, tag LIMIT 10""")
 def trending_tags(spark, sf):

@@ -199,6 +199,23 @@ def test_scores(spark):
     assert row["zero"] == 0.5 and row["none"] == 0.0
 
 
+def test_proxy_gate(spark):
+    notes = spark.createDataFrame([(1, "A", "aspirin dose one"), (2, "B", "red fox"), (3, "C", "blue fox"), (4, "D", "grey owl"), (5, "E", "grey owl"), (6, "F", "grey owl"), (7, "G", "x"), (8, "H", "y"), (9, "I", "z")], "id long, title string, content string")
+    members = spark.createDataFrame([(i, (i - 1) // 3) for i in range(1, 10)], "id long, cluster long")
+    t = datetime(2024, 1, 1)
+    log = [(1, "fox", t), (2, "fox", t + timedelta(1)), (3, "aspirin dose", t), (1, " ", t), (2, None, t), (4, "grey owl", t)]
+    accesses = spark.createDataFrame(log, "note_id long, query_context string, accessed_at timestamp")
+    similarity = members.select("cluster", F.lit(0.9).alias("mean_similarity")).distinct()
+    proposals = C.extractive_proposals(members, notes, similarity)
+    first = {r["cluster"]: r for r in proposals.collect()}[0]
+    assert (first["title"], first["content"]) == ("Schema: A (+2 more)", "Extractive schema over 3 episodes (mean cosine 0.90).\n\n- A: aspirin dose one\n- B: red fox\n- C: blue fox")
+    got = {r["cluster"]: tuple(r)[1:] for r in C.proxy_gate(proposals, members, accesses, notes).collect()}
+    # fox finds two of three sources, aspirin dose one; grey owl finds all three, so that nothing is gained.
+    assert got == {0: (2, 0.25, "accept"), 1: (1, 0.0, "reject"), 2: (0, None, "unavailable")}
+    newest = {r["cluster"]: tuple(r)[1:] for r in C.proxy_gate(proposals, members, accesses, notes, sample=1).collect()}
+    assert newest[0] == (1, round(0.5 / 3, 6), "accept")
+
+
 def test_publish(spark, tmp_path):
     df = spark.range(3)
     assert T.publish({"t": df}, str(tmp_path)) == 1 and T.publish({"t": spark.range(5)}, str(tmp_path)) == 2
