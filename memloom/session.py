@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +26,32 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.addPyFile(_package())
     return spark
 
 
+def _package() -> str:
+    """The package as an archive, so that Python workers find it wherever the program was started."""
+    here = Path(__file__).resolve().parent
+    return shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-memloom-')}/memloom", "zip", here.parent, here.name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path is only ever opened by Spark's readers."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the cluster names none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what the context was given.
+
+    Where neither is set, a local folder serves a local master (tests); a cluster is refused,
+    as its hosts could not read each other's files.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         named = tempfile.mkdtemp(prefix="spark-memloom-")
         sc.setCheckpointDir(named)
     return named
@@ -48,7 +63,29 @@ def materialize(df: DataFrame) -> DataFrame:
     Written files outlive lost executors, and the read knows its true size, so
     adaptive execution can pick a broadcast only where the rows are really few.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, "table")
+
+
+class Scratch:
+    """Named tables that a job writes to the shared folder and drops when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table. An older table of that name goes once the new one is there."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        old, self.at[name] = self.at.get(name), path
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables; no DataFrame that still is to run may read them."""
+        for name in names:
+            self._delete(self.at.pop(name))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
