@@ -1,16 +1,18 @@
 """N-gram Jaccard join with prefix trees.
 
 Documents are sets of hashed word n-grams in one global order: n-grams that many
-documents share last, else by hash. Two sets that are similar enough share an n-gram
-in their first few, so only sets that do so meet. They meet in bounded blocks; in each,
-the ordered sets are stored in a trie, and a set is looked up in it by one descent that
-shares the overlap of common beginnings and leaves out subtrees whose set sizes and
+documents share last, else by hash. Two sets that are similar enough share n-grams
+among their first few, so only sets that do so meet. Each shared n-gram has a hub, the
+set among its holders that shares most, and all sets that share an n-gram with a hub are
+its neighbourhood: two sets that link are in one. Neighbourhoods are dealt in bounded
+blocks; in each, the ordered sets are stored in a trie, and all sets descend it together,
+sharing the overlap of common beginnings and leaving subtrees whose set sizes and
 remaining lengths can't reach the threshold.
 
 Texts with equal sets are one class, so copies cost nothing here. Components need not
-all links but all that join two components: a first round of blocks around common
-hubs finds most; the second looks at every block that still holds more than one
-component, and compares there across components only. No link between components is lost.
+all links but all that join two components: the parts of a large neighbourhood are first
+compared each for itself, together with the hub; then sets of different components
+across the parts. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .arrow import pieces
+from ..session import Scratch
 
 #: N-grams that are ordered last: the most frequent ones of the corpus, this many at most.
 HOT = 100_000
@@ -33,47 +34,115 @@ HOT = 100_000
 HOT_LEAST = 24
 #: Sets that link share at least one in so many n-grams among their first ones, which are that many more.
 SHARE = 20
-#: Sets in one block at most (and as many again where two parts of a large group meet).
-BLOCK = 256
+#: Sets in one part of a block at most, as dealt by hash (two parts of a large neighbourhood meet in a block) ...
+BLOCK = 512
+#: ... and n-grams in them at most (a larger set is a part of its own).
+BLOCK_GRAMS = 400_000
+#: Cells of the table in which sets descend a trie at most; more sets descend in turns.
+CELLS = 4_000_000
+#: Bytes of text that are hashed at once.
+HASHED = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+_BASE = 0xD1342543DE82EF95
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------
 
 
 @lru_cache(1)
-def _words() -> dict[bytes, int]:
-    return {}
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, the same for A-Z as for a-z, and which bytes part words."""
+    value = np.frombuffer(b"".join(hashlib.md5(bytes([c])).digest()[:8] for c in range(256)), np.uint64).copy()
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return value, space
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base from 0 to ``n``, and those of its inverse, modulo 2**64."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n + 1, np.uint64(base))
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def _hash_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a piece of text, and their first places; a word ends where a text begins."""
+    value, space = _bytes()
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = ~space[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begins] = True
+    edge[0] = edge[-1] = True
+    first = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
+    last = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]])))
+    up, down = _powers(max(HASHED, 1 << int(len(data)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
+    h = (sums[last + 1] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _MULTIPLIERS[0]
+    h = (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[1]
+    return h ^ (h >> np.uint64(29)), first
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes of one text's words, a bounded piece of it at a time; a piece ends at white space."""
+    space, out, at = _bytes()[1], [], 0
+    while at < len(data):
+        end = min(at + HASHED, len(data))
+        while end < len(data) and not (found := np.flatnonzero(space[data[at:end]])).size:
+            end = min(end + HASHED, len(data))  # one long word
+        if end < len(data):
+            end = at + int(found[-1]) + 1
+        out.append(_hash_words(data[at:end], np.zeros(1, np.int64))[0])
+        at = end
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
+
+
+def _windows(w: np.ndarray, k: int) -> np.ndarray:
+    """63-bit hashes of all runs of ``k`` words."""
+    n = len(w) - k + 1
+    x = np.full(max(n, 0), np.uint64(k))
+    for i in range(k):
+        x = (x ^ w[i : n + i]) * _MULTIPLIERS[i % 8] if n > 0 else x
+        x ^= x >> np.uint64(29)
+    return x >> np.uint64(1)
+
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words; A-Z count as a-z."""
-    from xxhash import xxh3_64_intdigest as h
 
-    known = _words()
-    if len(known) > 1_000_000:
-        known.clear()
-    words = text.encode().lower().split()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = h(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _set(w: np.ndarray, size: int) -> np.ndarray:
+    return _distinct(_windows(w, min(size, len(w)))) if len(w) else w
 
 
 def ngrams(text: str, size: int) -> np.ndarray:
-    """63-bit hashes of the distinct n-grams, sorted; fewer words than ``size`` are one n-gram, no words none."""
-    w = word_hashes(text)
-    if not len(w):
-        return np.zeros(0, np.uint64)
-    k = min(size, len(w))
-    x = np.full(len(w) - k + 1, np.uint64(k))
-    for i in range(k):
-        x = (x ^ w[i : len(w) - k + 1 + i]) * _MULTIPLIERS[i % 8]
-        x ^= x >> np.uint64(29)
-    return np.unique(x >> np.uint64(1))
+    """63-bit hashes of the distinct n-grams, sorted; fewer words than ``size`` are one n-gram, no words none. A-Z count as a-z."""
+    return _set(_word_hashes(np.frombuffer(text.encode(), np.uint8)), size)
+
+
+def ngram_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """``ngrams`` of each text of a column (null: empty); the texts of a piece of about HASHED bytes are hashed together."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + HASHED, side="right")) - 1)
+        piece, begins = data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        if to == at + 1:
+            yield _set(_word_hashes(piece), size)
+        else:
+            w, first = _hash_words(piece, begins)
+            x, cuts = _windows(w, size), np.searchsorted(first, begins)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield _distinct(x[a : b - size + 1]) if b - a >= size else _set(w[a:b], size)
+        at = to
 
 
 def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -107,79 +176,115 @@ def links(shared: int, n: int, m: int, percent: int) -> bool:
 # ---- prefix trees -------------------------------------------------------------------------------------------
 
 
-def trie_join(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Pairs (of places in ``sets``) that link sets of different components; ``labels`` are the components known before.
-
-    Pairs whose components have been joined by earlier pairs are left out. Equal sets must have been made one.
-    """
-    keys = [s.astype(">u8").tobytes() for s in sets]
-    order = sorted(range(len(sets)), key=keys.__getitem__)
-    s = [sets[i] for i in order]
-    n = len(s)
+def _tree(s: list[np.ndarray]) -> list[tuple[int, int, int, int, list[int]]]:
+    """The trie of sorted sequences, as nodes: first and last sequence below, where its own values begin and end, its children."""
     common = []
     for a, b in zip(s, s[1:], strict=False):
         k = min(len(a), len(b))
         differ = np.flatnonzero(a[:k] != b[:k])
         common.append(int(differ[0]) if len(differ) else k)
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    lab = [labels[i] for i in order]
-    # a node: first and last set below it, where its own n-grams begin and end, least and most set size, one label or None, its children
-    nodes: list[list] = []
-    stack = [(0, n, 0, -1)]
+    nodes: list[tuple[int, int, int, int, list[int]]] = []
+    stack = [(0, len(s), 0, -1)]
     while stack:
         lo, hi, depth, parent = stack.pop()
         end = min(common[lo : hi - 1], default=len(s[lo]))
-        sizes = [len(x) for x in s[lo:hi]]
-        below = set(lab[lo:hi])
         me = len(nodes)
-        nodes.append([lo, hi, depth, end, min(sizes), max(sizes), below.pop() if len(below) == 1 else None, []])
+        nodes.append((lo, hi, depth, end, []))
         if parent >= 0:
-            nodes[parent][7].append(me)
-        first = lo + (len(s[lo]) == end)
-        start = first
-        for i in range(first, hi):
+            nodes[parent][4].append(me)
+        start = lo
+        while start < hi and len(s[start]) == end:  # these end in the node itself
+            start += 1
+        for i in range(start, hi):
             if i + 1 == hi or common[i] <= end:
                 stack.append((start, i + 1, end, me))
                 start = i + 1
+    return nodes
+
+
+def trie_join(sets: list[np.ndarray], labels: list[int], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs (of places in ``sets``) that link sets of different components; ``labels`` are the components known before.
+
+    Pairs whose components have been joined by earlier pairs are left out. With ``sides``, sets of one side
+    (0 or more) have been compared before. Equal sets must have been made one. Only n-grams that two of the
+    sets have are stored in the trie, since no other can be shared; bounds use the whole sets' sizes.
+    """
+    n = len(sets)
+    grams, at, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    v = int((times > 1).sum())
+    cuts = np.cumsum([0, *map(len, sets)])
+    short = [place[k[times[k] > 1]] for k in (at[cuts[i] : cuts[i + 1]] for i in range(n))]
+    keys = [x.astype(">u4").tobytes() for x in short]
+    order = sorted(range(n), key=keys.__getitem__)
+    s = [short[i] for i in order]
+    size, lab = np.array([len(sets[i]) for i in order]), np.array([labels[i] for i in order])
+    side = np.array([sides[i] if sides else -1 for i in order])
+    rest = np.array([len(x) for x in s])
+    nodes = _tree(s)
+    bounds = []  # least and most set size, longest sequence, and the one label and side below, if there is one
+    for lo, hi, *_ in nodes:
+        one, same = lab[lo] if (lab[lo:hi] == lab[lo]).all() else None, side[lo] if side[lo] >= 0 and (side[lo:hi] == side[lo]).all() else None
+        bounds.append((size[lo:hi].min(), size[lo:hi].max(), rest[lo:hi].max(), one, same))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     out = []
-    for q in range(n):
-        x = s[q]
-        size, mine = len(x), lab[q]
-        todo = [(0, 0, 0)]
+    turn = max(1, CELLS // (v + 1))
+    for begin in range(0, n, turn):
+        some = np.arange(begin, min(begin + turn, n))  # the sets that descend in this turn
+        has = np.zeros((v + 1, len(some)), np.uint8)
+        for j, q in enumerate(some):
+            has[s[q], j] = 1
+        left = np.cumsum(has[::-1], axis=0, dtype=np.int32)[::-1]  # n-grams that a set has from a place on
+        todo = [(0, some, np.zeros(len(some), np.int64))]
         while todo:
-            at, shared, used = todo.pop()
-            lo, hi, depth, end, least, most, label, children = nodes[at]
-            if hi <= q + 1 or label == mine or not links(min(size, most), size, least, percent) and not links(min(size, most), size, most, percent):
+            me, q, shared = todo.pop()
+            lo, hi, depth, end, children = nodes[me]
+            least, most, longest, one, same = bounds[me]
+            ok = (q < hi - 1) & (100 * np.minimum(size[q], most) >= percent * np.maximum(size[q], least))
+            if one is not None:
+                ok &= lab[q] != one
+            if same is not None:
+                ok &= side[q] != same
+            q, shared = q[ok], shared[ok]
+            if not len(q):
                 continue
             if end > depth:
                 own = s[lo][depth:end]
-                p = x.searchsorted(own)
-                shared += int((x[np.minimum(p, size - 1)] == own).sum())
-                used = int(x.searchsorted(own[-1], side="right"))
-            if not links(shared + min(size - used, most - end), size, least, percent):
-                continue
-            if len(s[lo]) == end and lo > q:
-                a, b = find(mine), find(lab[lo])
-                if a != b and links(shared, size, end, percent):
-                    root[a] = b
-                    out.append((order[q], order[lo]))
-            todo += [(c, shared, used) for c in children]
+                shared = shared + has[own].sum(0, dtype=np.int64)[q - begin]
+                remaining = left[own[-1] + 1, q - begin]
+            else:
+                remaining = left[s[lo][end - 1] + 1 if end else 0, q - begin]
+            ok = (100 + percent) * (shared + np.minimum(remaining, longest - end)) >= percent * (size[q] + least)
+            q, shared = q[ok], shared[ok]
+            at_node = lo
+            while at_node < hi and rest[at_node] == end and len(q):
+                y = at_node
+                hit = (q < y) & (lab[q] != lab[y]) & ((side[q] != side[y]) | (side[q] < 0)) & ((100 + percent) * shared >= percent * (size[q] + size[y]))
+                for x in q[hit].tolist():
+                    a, b = find(int(lab[x])), find(int(lab[y]))
+                    if a != b:
+                        root[a] = b
+                        out.append((order[x], order[y]))
+                at_node += 1
+            if len(q):
+                todo += [(c, q, shared) for c in children]
     return out
 
 
 # ---- components ---------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of edges (a, b): the least node of each one's component, by large and small stars."""
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) for the nodes of edges (a, b): the least node of each one's component, by large and small stars; written as ``name``."""
+    work = f"{name}_edges"
+    now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), work)
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -187,12 +292,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
+        now = scratch.write(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), work)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if sign == seen:
             break
         seen = sign
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct()).distinct()
+    out = scratch.write(now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct()).distinct(), name)
+    scratch.drop(work)
+    return out
 
 
 # ---- corpus -------------------------------------------------------------------------------------------------
@@ -212,10 +319,8 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams), pa.array(times.astype(np.int64))], names=names)
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             n, cid = [], []
-            for t in texts:
-                g = ngrams(t, size)
+            for g in ngram_sets(b.column(1), size):
                 n.append(len(g))
                 cid.append(class_id(g) if len(g) else None)
                 if cid[-1] not in seen:
@@ -225,77 +330,76 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                 if held > 4_000_000:
                     yield often()
                     kept, held, seen = [], 0, set()
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), none, none], names=names)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), none, none], names=names)
         yield often()
 
     return docs.mapInArrow(run, "doc_id long, n long, cid long, gram long, times long")
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
-    """(doc_id, cid, n, prefix) of each document with words: the first n-grams in the global order."""
+def ordered_sets(docs: DataFrame, size: int, hot, percent: int | None = None) -> DataFrame:
+    """(doc_id, cid, n, grams) of each document with words: its set in the global order, with ``percent`` only the first n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, at = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], 0
-            for part in pieces(texts):
-                rows = []
-                for d, t in zip(ids[at : at + len(part)], part, strict=True):
-                    g = ngrams(t, size)
-                    if len(g):
-                        rows.append((d, class_id(g), len(g), ordered(g, hot.value)[: prefix_length(len(g), percent)].view(np.int64)))
-                at += len(part)
+            rows, held = [], 0
+            ids = b.column(0).to_pylist()
+
+            def out() -> pa.RecordBatch:
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 values = np.concatenate([*cols[3], np.zeros(0, np.int64)])
                 ends = np.cumsum([0, *map(len, cols[3])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "cid", "n", "prefix"])
+                return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "cid", "n", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, cid long, n long, prefix array<long>")
+            for d, g in zip(ids, ngram_sets(b.column(1), size), strict=True):
+                if len(g):
+                    o = ordered(g, hot.value)[: None if percent is None else prefix_length(len(g), percent)].view(np.int64)
+                    rows.append((d, class_id(g), len(g), o))
+                    held += len(o)
+                if held > 1_000_000:
+                    yield out()
+                    rows, held = [], 0
+            yield out()
 
+    return docs.mapInArrow(run, "doc_id long, cid long, n long, grams array<long>")
 
-def join_blocks(members: DataFrame, size: int, percent: int, hot) -> DataFrame:
-    """Links (a, b) within blocks of (block, cid, label, text), each block in one task and bounded."""
 
-    def solve(rows: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-        found: dict[int, tuple[int, np.ndarray]] = {}
-        for cid, label, text in rows:
-            if cid not in found:
-                g = ngrams(text, size)
-                if len(g) and class_id(g) == cid:  # else another row with the same id
-                    found[cid] = (label, ordered(g, hot.value))
-        cids = list(found)
-        return [(cids[i], cids[j]) for i, j in trie_join([found[c][1] for c in cids], [found[c][0] for c in cids], percent)] if len(cids) > 1 else []
+def join_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within blocks of (block, cid, label, side, grams), each block in one task and bounded."""
+
+    def solve(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        found = {cid: (label, side, grams) for cid, label, side, grams in rows}
+        if len(found) < 2:
+            return []
+        cids, (labels, sides, sets) = list(found), zip(*found.values(), strict=True)
+        return [(cids[i], cids[j]) for i, j in trie_join(list(sets), list(labels), percent, list(sides))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
             out = []
-            for block, cid, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            grams = b.column(4)
+            ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+            for i, (block, cid, label, side) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
                 if block != now:
                     out += solve(rows)
                     now, rows = block, []
-                rows.append((cid, label, text or ""))
+                rows.append((cid, label, side, values[ends[i] : ends[i + 1]].copy()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
         if out := solve(rows):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    dealt = members.select("block", "cid", "label", "text").repartition("block").sortWithinPartitions("block")
+    dealt = members.select("block", "cid", "label", "side", "grams").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def grouped(grams: DataFrame) -> DataFrame:
-    """Rows (gram, cid, n) whose n-gram another set has too, with hub, the least set that has it.
-
-    Rare n-grams are dealt once for both the groups and the join; the frequent ones are
-    reduced first, and their groups, HOT rows at most, are broadcast.
-    """
-
-    def groups(d: DataFrame) -> DataFrame:
-        return d.groupBy("gram").agg(F.min("cid").alias("hub"), F.max("cid").alias("other")).filter("hub <> other").select("gram", "hub")
-
-    rare, common = grams.filter("gram >= 0").repartition("gram"), grams.filter("gram < 0")
-    return rare.join(groups(rare), "gram").unionByName(common.join(F.broadcast(groups(common)), "gram"))
+def shared_rows(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (gram, cid, n) whose n-gram another set has too; written as ``name``."""
+    twice = scratch.write(rows.groupBy("gram").count().filter("count > 1").select("gram"), "twice")
+    out = scratch.write(rows.join(twice, "gram", "left_semi"), name)
+    scratch.drop("twice")
+    return out
 
 
 def enough(rows: DataFrame, percent: int) -> DataFrame:
@@ -304,39 +408,47 @@ def enough(rows: DataFrame, percent: int) -> DataFrame:
     return rows.join(rows.groupBy("cid", "n").count().filter(F.col("count") >= need).select("cid"), "cid", "left_semi")
 
 
-def hub_blocks(near: DataFrame) -> DataFrame:
-    """(block, cid, label): each set with the hub that it shares most with, in parts of about BLOCK that all hold the hub."""
-    times = near.filter("cid <> hub").groupBy("cid", "hub").count()
-    best = times.groupBy("cid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = best.join(parts, "hub").select("cid", "hub", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
-    blocks = dealt.select("hub", "part", "cid").union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct())
-    return blocks.select(F.xxhash64("hub", "part").alias("block"), "cid", F.col("cid").alias("label"))
+def neighbourhoods(near: DataFrame) -> DataFrame:
+    """(hub, cid, n): for each n-gram of (gram, cid, n) its holders, with the one of them as hub that shares most.
+
+    What a set shares is the sum over its n-grams of the logarithm of their holders, in whole
+    numbers, so that a group of near copies has one hub for nearly all of its n-grams.
+    """
+    holders = near.groupBy("gram").agg((F.log2(F.count(F.lit(1))) * 16).cast("long").alias("w"))
+    weight = near.join(holders, "gram").groupBy("cid").agg(F.sum("w").alias("w"))
+    hubs = near.join(weight, "cid").groupBy("gram").agg(F.max_by("cid", F.struct("w", "cid")).alias("hub"))
+    return near.join(hubs, "gram").select("hub", "cid", "n").distinct()
+
 
+def _parts(count, grams):
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(grams / BLOCK_GRAMS)).cast("long")
 
-def cross_blocks(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(block, cid, label): sets of two components that may link, in parts of about BLOCK of either.
 
-    A set may link with one of another component only if it shares enough first n-grams
-    with sets of that component; so the components of each n-gram, not its sets, are
-    paired, and only sets that pass are dealt to the blocks of two components.
+def own_blocks(members: DataFrame) -> DataFrame:
+    """(block, cid, label, side): each neighbourhood in parts that all hold the hub, each part compared for itself."""
+    parts = members.groupBy("hub").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    dealt = members.join(parts, "hub").select("hub", "cid", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
+    blocks = dealt.union(dealt.select("hub", F.col("hub").alias("cid"), "part").distinct())
+    return blocks.select(F.xxhash64("hub", "part").alias("block"), "cid", F.col("cid").alias("label"), F.lit(-1).alias("side"))
+
+
+def cross_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, cid, label, side): the sets of a neighbourhood of several parts, dealt so that all of different components meet.
+
+    The sets of its most frequent component need not meet each other; so the parts of the
+    others meet them and each other. Two sets of equal sides in a block need not be compared.
     """
-    rows = near.select("gram", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
-    rows = materialize(rows.join(mixed, "gram", "left_semi"))
-    other = rows.select("gram", F.col("label").alias("other")).distinct()
-    need = F.greatest(F.lit(1), F.floor((F.col("n") * percent / 100) / SHARE) - 1)
-    near_to = rows.join(other, "gram").filter("label <> other").groupBy("cid", "n", "label", "other").count().filter(F.col("count") >= need)
-    side = near_to.select("cid", "label", F.least("label", "other").alias("lo"), F.greatest("label", "other").alias("hi"))
-    side = materialize(side)
-    size = side.groupBy("lo", "hi").agg(F.sum((F.col("label") == F.col("lo")).cast("int")).alias("nl"), F.sum((F.col("label") == F.col("hi")).cast("int")).alias("nh"))
-    both = side.join(size.filter("nl > 0 and nh > 0"), ["lo", "hi"])
-    pl, ph = F.ceil(F.col("nl") / BLOCK), F.ceil(F.col("nh") / BLOCK)
-    low = F.col("label") == F.col("lo")
-    # a part of one component meets each part of the other
-    parts = both.select("cid", "label", "lo", "hi", F.pmod(F.xxhash64("cid"), F.when(low, pl).otherwise(ph)).alias("own"), F.explode(F.sequence(F.lit(0), F.when(low, ph).otherwise(pl) - 1)).alias("met"))
-    i, j = (F.when(F.col("label") == F.col("lo"), F.col(x)).otherwise(F.col(y)) for x, y in (("own", "met"), ("met", "own")))
-    return parts.select(F.xxhash64("lo", "hi", i, j).alias("block"), "cid", "label")
+    large = members.groupBy("hub").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts")).filter("parts > 1").select("hub")
+    rows = members.join(large, "hub").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    sums = rows.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    split = sums.groupBy("hub").agg(F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > m.c")
+    plan = split.select("hub", F.col("m.label").alias("main"), _parts(F.col("m.c"), F.col("m.s")).alias("mains"), _parts(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("others"))
+    in_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("cid", F.lit(1)), F.when(in_main, F.col("mains")).otherwise(F.col("others"))) + F.when(in_main, 0).otherwise(F.col("mains"))
+    met = F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1))
+    pairs = rows.join(plan, "hub").select("hub", "cid", "label", own.alias("own"), met.alias("met"))
+    side = F.when(F.col("own") < F.col("met"), 0).when(F.col("own") > F.col("met"), 1).otherwise(-1)
+    return pairs.select(F.xxhash64("hub", F.least("own", "met"), F.greatest("own", "met")).alias("block"), "cid", "label", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -350,26 +462,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     N-grams are compared by 63-bit hashes, sets by 64 bits of a digest.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen = materialize(survey(docs, size))
+    seen = scratch.write(survey(docs, size), "seen")
     rows = seen.filter("gram is null").select("doc_id", "n", "cid")
     often = seen.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("t")).filter(F.col("t") >= HOT_LEAST).orderBy(F.desc("t"), "gram").limit(HOT)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in often.select("gram").collect()], np.int64).astype(np.uint64)))
+    hot = spark.sparkContext.broadcast(np.sort(often.select("gram").toArrow()["gram"].to_numpy().astype(np.uint64)))
     classes = rows.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    first = materialize(prefixes(docs, size, percent, hot).join(classes, ["cid", "doc_id"], "left_semi"))
+    first = scratch.write(ordered_sets(docs, size, hot, percent).join(classes, ["cid", "doc_id"], "left_semi").select("cid", "n", "grams"), "first")
 
     # sets meet where they share enough of their first n-grams; those of single sets go first, then the sets that are left with too few
-    near = materialize(grouped(first.select("cid", "n", F.explode("prefix").alias("gram"))).drop("hub"))
-    for _ in range(2):
-        near = materialize(grouped(enough(near, percent)).drop("hub"))
-    near = materialize(grouped(enough(near, percent)))
+    some = shared_rows(first.dropDuplicates(["cid"]).select("cid", "n", F.explode("grams").alias("gram")), scratch, "some")
+    near = shared_rows(enough(some, percent), scratch, "near")
+    scratch.drop("first", "some")
     ids = classes.join(near.select("cid").distinct(), "cid", "left_semi")
-    texts = materialize(docs.join(ids, "doc_id").select("cid", "text"))
-
-    found = materialize(join_blocks(hub_blocks(near).join(texts, "cid"), size, percent, hot))
-    labels = components(found)
-    more = materialize(join_blocks(cross_blocks(near, labels, percent).join(texts, "cid"), size, percent, hot))
-    labels = components(found.union(more))
+    sets = scratch.write(ordered_sets(docs.join(ids.select("doc_id"), "doc_id", "left_semi"), size, hot).join(ids, ["cid", "doc_id"], "left_semi").select("cid", "grams").dropDuplicates(["cid"]), "sets")
+    members = scratch.write(neighbourhoods(near), "members")
+    scratch.drop("near")
+
+    found = scratch.write(join_blocks(own_blocks(members).join(sets, "cid"), percent), "found")
+    labels = components(found, scratch, "own")
+    more = scratch.write(join_blocks(cross_blocks(members, labels).join(sets, "cid"), percent), "more")
+    scratch.drop("members", "sets")
+    labels = components(found.union(more), scratch, "labels")
+    scratch.drop("found", "more", "own")
     least = labels.join(classes.withColumnRenamed("cid", "node"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
     of = labels.join(least, "label").select(F.col("node").alias("cid"), "component")
     known = classes.join(of, "cid", "left").select("cid", F.coalesce("component", "doc_id").alias("component"))

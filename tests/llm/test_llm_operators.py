@@ -378,6 +378,62 @@ def test_trie_join():
         assert [find(i) for i in range(len(sets))] == _components([set(s.tolist()) for s in sets], 60)
 
 
+def test_hashed_sets_of_a_column(monkeypatch):
+    """The same sets whether texts are hashed alone, together or in pieces; cases fold, pieces end at white space."""
+    import pyarrow as pa
+
+    texts = ["a b c d e", None, "", "A B c D e f", " x", "one", "\x1c y \x0b z", "é É ß", "a b c", "word " * 400, "w" * 300 + " tail of it here now", "d e f"]
+    want = {}
+    for piece in (1 << 20, 64, 7):
+        monkeypatch.setattr(jaccard_join, "HASHED", piece)
+        for column in (pa.array(texts), pa.array(["cut off", *texts], pa.large_string())[1:]):
+            got = [g.tolist() for g in jaccard_join.ngram_sets(column, 4)]
+            assert got == [jaccard_join.ngrams(t or "", 4).tolist() for t in texts] == want.setdefault(0, got)
+    for t, g in zip(texts, want[0], strict=True):
+        assert len(g) == len(_shingles(t, 4))
+    assert want[0][0][0] in want[0][3] and len({tuple(g) for g in want[0]}) == len(texts) - 1
+
+
+def test_large_near_copy_group(spark):
+    """2,000 near copies on either side of the threshold: several parts of one neighbourhood, against brute force by numpy."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(2000):
+        d = list(base)
+        for k in r.sample(range(60), r.choice([0, 1, 1, 2, 3])):
+            d[k] = f"x{i}_{k}"
+        docs.append(" ".join(d))
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(rows(spark, docs), 4, 85).collect()}
+    sets = [_shingles(d, 4) for d in docs]
+    place = {g: i for i, g in enumerate(sorted({g for s in sets for g in s if "x" not in "".join(g)}))}
+    m = np.zeros((len(docs), len(place)), np.int32)
+    for i, s in enumerate(sets):
+        m[i, [place[g] for g in s if g in place]] = 1
+    sizes = np.array([len(s) for s in sets])
+    both = m @ m.T
+    same = {}
+    for i, s in enumerate(sets):
+        same.setdefault(frozenset(s), []).append(i)
+    near = 185 * both >= 85 * (sizes[:, None] + sizes[None, :])
+    for group in same.values():
+        near[np.ix_(group, group)] = True
+    label = np.arange(len(docs))
+    while True:
+        new = np.where(near, label[None, :], len(docs)).min(1)
+        new = np.minimum(new, label)
+        if (new == label).all():
+            break
+        label = new
+    assert got == dict(enumerate(label.tolist())) and 1 < len(set(got.values())) < 2000
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert jaccard_join.near_duplicates(rows(spark, [])).collect() == []
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, "c"), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 1, 1), (1, 1, 1), (None, 1, 1), (None, 1, None), (2, 0, 2)], key=repr)
+
+
 # ---- tool calls ----
 
 
