@@ -337,60 +337,65 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cid long, gram long, times long")
 
 
-def ordered_sets(docs: DataFrame, size: int, hot, percent: int | None = None) -> DataFrame:
-    """(doc_id, cid, n, grams) of each document with words: its set in the global order, with ``percent`` only the first n-grams."""
+def prefixes(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
+    """(doc_id, cid, n, grams) of each document with words: the first n-grams in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            values = np.concatenate([*cols[3], np.zeros(0, np.int64)])
+            ends = np.cumsum([0, *map(len, cols[3])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "cid", "n", "grams"])
+
         for b in batches:
             rows, held = [], 0
-            ids = b.column(0).to_pylist()
-
-            def out() -> pa.RecordBatch:
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                values = np.concatenate([*cols[3], np.zeros(0, np.int64)])
-                ends = np.cumsum([0, *map(len, cols[3])]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "cid", "n", "grams"])
-
-            for d, g in zip(ids, ngram_sets(b.column(1), size), strict=True):
+            for d, g in zip(b.column(0).to_pylist(), ngram_sets(b.column(1), size), strict=True):
                 if len(g):
-                    o = ordered(g, hot.value)[: None if percent is None else prefix_length(len(g), percent)].view(np.int64)
-                    rows.append((d, class_id(g), len(g), o))
-                    held += len(o)
+                    first = ordered(g, hot.value)[: prefix_length(len(g), percent)].view(np.int64)
+                    rows.append((d, class_id(g), len(g), first))
+                    held += len(first)
                 if held > 1_000_000:
-                    yield out()
+                    yield out(rows)
                     rows, held = [], 0
-            yield out()
+            yield out(rows)
 
     return docs.mapInArrow(run, "doc_id long, cid long, n long, grams array<long>")
 
 
-def join_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks of (block, cid, label, side, grams), each block in one task and bounded."""
+def join_blocks(members: DataFrame, size: int, percent: int, hot) -> DataFrame:
+    """Links (a, b) within blocks of (block, cid, label, side, text), each block in one task and bounded.
+
+    Texts, which compress, are dealt instead of sets; a text of another row with the same id is left out.
+    """
 
-    def solve(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        found = {cid: (label, side, grams) for cid, label, side, grams in rows}
+    def solve(parts: list[tuple[pa.Array, ...]]) -> list[tuple[int, int]]:
+        found: dict[int, tuple[int, int, np.ndarray]] = {}
+        for cids, labels, sides, texts in parts:
+            for cid, label, side, g in zip(cids.to_pylist(), labels.to_pylist(), sides.to_pylist(), ngram_sets(texts, size), strict=True):
+                if cid not in found and len(g) and class_id(g) == cid:
+                    found[cid] = (label, side, ordered(g, hot.value))
         if len(found) < 2:
             return []
         cids, (labels, sides, sets) = list(found), zip(*found.values(), strict=True)
         return [(cids[i], cids[j]) for i, j in trie_join(list(sets), list(labels), percent, list(sides))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, parts = None, []
         for b in batches:
             out = []
-            grams = b.column(4)
-            ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
-            for i, (block, cid, label, side) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
-                if block != now:
-                    out += solve(rows)
-                    now, rows = block, []
-                rows.append((cid, label, side, values[ends[i] : ends[i + 1]].copy()))
+            blocks = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if blocks[i] != now:
+                    out += solve(parts)
+                    now, parts = blocks[i], []
+                parts.append(tuple(b.column(c).slice(i, j - i) for c in range(1, 5)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-        if out := solve(rows):
+        if out := solve(parts):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    dealt = members.select("block", "cid", "label", "side", "grams").repartition("block").sortWithinPartitions("block")
+    dealt = members.select("block", "cid", "label", "side", "text").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -428,7 +433,8 @@ def own_blocks(members: DataFrame) -> DataFrame:
     """(block, cid, label, side): each neighbourhood in parts that all hold the hub, each part compared for itself."""
     parts = members.groupBy("hub").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     dealt = members.join(parts, "hub").select("hub", "cid", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
-    blocks = dealt.union(dealt.select("hub", F.col("hub").alias("cid"), "part").distinct())
+    hubs = dealt.filter("cid <> hub").select("hub", F.col("hub").alias("cid"), "part").distinct()
+    blocks = dealt.filter("cid <> hub").union(hubs)
     return blocks.select(F.xxhash64("hub", "part").alias("block"), "cid", F.col("cid").alias("label"), F.lit(-1).alias("side"))
 
 
@@ -469,21 +475,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     often = seen.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("t")).filter(F.col("t") >= HOT_LEAST).orderBy(F.desc("t"), "gram").limit(HOT)
     hot = spark.sparkContext.broadcast(np.sort(often.select("gram").toArrow()["gram"].to_numpy().astype(np.uint64)))
     classes = rows.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    first = scratch.write(ordered_sets(docs, size, hot, percent).join(classes, ["cid", "doc_id"], "left_semi").select("cid", "n", "grams"), "first")
+    first = scratch.write(prefixes(docs, size, percent, hot).join(classes, ["cid", "doc_id"], "left_semi").select("cid", "n", "grams"), "first")
 
     # sets meet where they share enough of their first n-grams; those of single sets go first, then the sets that are left with too few
     some = shared_rows(first.dropDuplicates(["cid"]).select("cid", "n", F.explode("grams").alias("gram")), scratch, "some")
     near = shared_rows(enough(some, percent), scratch, "near")
     scratch.drop("first", "some")
     ids = classes.join(near.select("cid").distinct(), "cid", "left_semi")
-    sets = scratch.write(ordered_sets(docs.join(ids.select("doc_id"), "doc_id", "left_semi"), size, hot).join(ids, ["cid", "doc_id"], "left_semi").select("cid", "grams").dropDuplicates(["cid"]), "sets")
+    texts = scratch.write(docs.join(ids, "doc_id").select("cid", "text"), "texts")
     members = scratch.write(neighbourhoods(near), "members")
     scratch.drop("near")
 
-    found = scratch.write(join_blocks(own_blocks(members).join(sets, "cid"), percent), "found")
+    found = scratch.write(join_blocks(own_blocks(members).join(texts, "cid"), size, percent, hot), "found")
     labels = components(found, scratch, "own")
-    more = scratch.write(join_blocks(cross_blocks(members, labels).join(sets, "cid"), percent), "more")
-    scratch.drop("members", "sets")
+    more = scratch.write(join_blocks(cross_blocks(members, labels).join(texts, "cid"), size, percent, hot), "more")
+    scratch.drop("members", "texts")
     labels = components(found.union(more), scratch, "labels")
     scratch.drop("found", "more", "own")
     least = labels.join(classes.withColumnRenamed("cid", "node"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
