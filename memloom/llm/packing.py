@@ -33,6 +33,8 @@ from ..session import materialize
 from .arrow import pieces
 from .chunks import ChunkEncoder
 
+#: Weight of the duals of the best bound when columns are priced, and how close to that bound the sequences have to come.
+SMOOTH, CLOSE = 0.9, 1e-3
 #: Items of one length are ranked in this many parts, so that a length with a third of all rows is no single task.
 RANK_PARTS = 64
 
@@ -133,44 +135,75 @@ def linear_groups(hist: dict[int, int], groups: int) -> list[tuple[int, list[tup
     return list(merged.items())
 
 
-def best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The multiset of sizes within the capacity with the highest total value (an unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    s = np.array(sizes)
-    order = np.argsort(s)
-    s, v = s[order], values[order]
-    for c in range(int(s[0]) if len(s) else capacity + 1, capacity + 1):
-        k = int(np.searchsorted(s, c, side="right"))
-        x = best[c - s[:k]] + v[:k]
-        i = int(x.argmax())
-        if x[i] > best[c - 1] + 1e-12:
-            best[c], pick[c] = x[i], i
-        else:
-            best[c] = best[c - 1]
-    counts = [0] * len(sizes)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0 or (c and best[c] == best[c - 1]):
-            c -= 1
-            continue
-        counts[order[pick[c]]] += 1
-        c -= int(s[pick[c]])
-    return float(best[capacity]), counts
-
-
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[int, list[int]]]:
-    """Whole numbers of sequences of each configuration: column generation on the few sizes, rounded down."""
-    k = len(sizes)
-    cols = [[(capacity // s) * (i == j) for i in range(k)] for j, s in enumerate(sizes)]
-    basis = np.array(cols, float).T
-    x = np.array(demand, float) / np.diag(basis)
-    for _ in range(rounds):
-        duals = np.linalg.solve(basis.T, np.ones(k))
-        worth, pattern = best_pattern(sizes, duals, capacity)
-        if worth <= 1 + 1e-7:
+class Knapsack:
+    """The multiset of sizes (ascending) within the capacity with the highest total value, for any values.
+
+    As many capacities as the least size has units are solved at once, since they only look at lower ones.
+    """
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity, self.blocks = sizes, capacity, []
+        step = int(sizes[0])
+        for c in range(step, capacity + 1, step):
+            now = np.arange(c, min(c + step, capacity + 1))
+            k = int(np.searchsorted(sizes, now[-1], side="right"))
+            room = now[:, None] - sizes[None, :k]
+            self.blocks.append((now, k, np.where(room >= 0, room, capacity + 1), np.arange(len(now))))
+
+    def best(self, values: np.ndarray) -> tuple[float, np.ndarray]:
+        best = np.zeros(self.capacity + 2)
+        best[-1] = -np.inf
+        pick = np.full(self.capacity + 1, -1)
+        for now, k, room, all_rows in self.blocks:
+            x = best[room] + values[:k]
+            i = x.argmax(1)
+            x = x[all_rows, i]
+            before = best[now[0] - 1]
+            top = np.maximum.accumulate(np.maximum(x, before))
+            pick[now] = np.where(x > np.concatenate([[before], top[:-1]]) + 1e-12, i, -1)
+            best[now] = top
+        counts = np.zeros(len(self.sizes))
+        c = self.capacity
+        while c > 0:
+            if pick[c] < 0:
+                c -= 1
+            else:
+                counts[pick[c]] += 1
+                c -= int(self.sizes[pick[c]])
+        return float(best[self.capacity]), counts
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 20_000) -> list[tuple[int, list[int]]]:
+    """Whole numbers of sequences of each configuration: column generation on the few sizes, rounded down.
+
+    Columns are priced by duals smoothed towards those of the best bound so far, which takes far fewer
+    rounds. The inverse of the basis is updated by each column, and made anew at times against rounding errors.
+    """
+    order = np.argsort(sizes)
+    s, need = np.array(sizes)[order], np.array(demand, float)[order]
+    k = len(s)
+    fill = Knapsack(s, capacity)
+    basis = np.diag((capacity // s).astype(float))
+    inverse = np.linalg.inv(basis)
+    x = inverse @ need
+    centre, bound = inverse.sum(0), 0.0
+    for r in range(rounds):
+        if r % 200 == 199:
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ need, 0)
+        duals = inverse.sum(0)
+        pattern = None
+        for weight in (SMOOTH, 0.0):
+            at = weight * centre + (1 - weight) * duals
+            worth, found = fill.best(at)
+            if at @ need / max(worth, 1.0) > bound:
+                centre, bound = at / max(worth, 1.0), at @ need / max(worth, 1.0)
+            if found @ duals > 1 + 1e-7:
+                pattern = found
+                break
+        if pattern is None or x.sum() <= bound * (1 + CLOSE):
             break
-        step = np.linalg.solve(basis, np.array(pattern, float))
+        step = inverse @ pattern
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -179,8 +212,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         x = np.maximum(x - t * step, 0)
         x[out] = t
         basis[:, out] = pattern
-        cols[out] = pattern
-    return [(int(n + 1e-9), p) for n, p in zip(x, cols, strict=True) if int(n + 1e-9) > 0]
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+    back = np.empty(k, int)
+    back[order] = np.arange(k)
+    return [(int(n + 1e-9), basis[back, j].astype(int).tolist()) for j, n in enumerate(x) if int(n + 1e-9) > 0]
 
 
 def substitute(configs: list[tuple[int, list[int]]], groups: list[tuple[int, list[tuple[int, int]]]]) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
@@ -254,41 +291,24 @@ def best_fit(runs: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capa
     return sorted(((n, h) for h, n in merged.items()), key=lambda r: r[1], reverse=True)
 
 
-def reopen(runs: list[tuple[int, tuple[int, ...]]], slack: int, capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
-    """Keep the sequences that actual lengths fill up to ``slack``; the lengths of the others are free again."""
-    kept, free = [], defaultdict(int)
-    for n, have in runs:
-        if capacity - sum(have) <= slack:
-            kept.append((n, have))
-        else:
-            for s in have:
-                free[s] += n
-    return kept, free
-
-
-def plan(hist: dict[int, int], capacity: int = 1024, groups: tuple[int, ...] = (24, 64), slacks: tuple[int, ...] = (4, 2, 1, 0), small: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
+def plan(hist: dict[int, int], capacity: int = 1024, groups: int = 256, small: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Runs (how many sequences, their lengths) that hold each length of ``hist`` as often as it says.
 
-    Rounding up leaves room in the configured sequences. Those with more than a slack
-    are opened again, and what they held goes best-fit with the small lengths; of the
-    given numbers of groups and slacks, the plan with the fewest sequences counts.
+    Lengths over ``small`` (by default an eighth of the capacity) are large: they are rounded up within the
+    groups and configured. Lengths of the whole capacity are sequences of their own. What rounding up leaves
+    of a configured sequence, small lengths fill.
     """
     small = capacity // 8 if small is None else small
-    large = {s: n for s, n in hist.items() if small < s and n > 0}
-    rest = {s: n for s, n in hist.items() if s <= small and n > 0}
-    if not large:
-        return best_fit([], rest, capacity)
-    found = []
-    for g in groups:
-        gs = linear_groups(large, g)
-        runs, left = substitute(configurations([s for s, _ in gs], [sum(c for _, c in items) for _, items in gs], capacity), gs)
-        for slack in slacks:
-            kept, free = reopen(runs, slack, capacity)
-            for more in (left, rest):
-                for s, n in more.items():
-                    free[s] += n
-            found.append(best_fit(kept, free, capacity))
-    return min(found, key=lambda r: sum(n for n, _ in r))
+    large = {s: n for s, n in hist.items() if small < s < capacity and n > 0}
+    left = {s: n for s, n in hist.items() if s <= small and n > 0}
+    runs = [(hist[capacity], (capacity,))] if hist.get(capacity) else []
+    if large:
+        gs = linear_groups(large, groups)
+        configured, rest = substitute(configurations([s for s, _ in gs], [sum(c for _, c in items) for _, items in gs], capacity), gs)
+        runs += configured
+        for s, n in rest.items():
+            left[s] = left.get(s, 0) + n
+    return best_fit(runs, left, capacity)
 
 
 # ---- documents to their places ------------------------------------------------------------------------------
