@@ -2,9 +2,17 @@
 
 One multinomial is of a trusted target (documents that are labelled good), the other
 of the raw corpus; both over hashed word n-grams, counted over all documents. A
-document's score is the mean log ratio over its n-grams, and one threshold
-decides for every document. All of it is DataFrame expressions: arrays stay inside the
-row, and the only rows that are exploded are reduced to the hash buckets before they are shuffled.
+document's score is the mean log ratio over its n-grams.
+
+The target is smoothed towards the raw corpus, so that n-grams a small target has not
+seen say little. It is counted in two halves, dealt by a hash of the text, and each
+document is scored by the half that its own text is not in: being trusted, or a copy of
+a trusted text, changes no score. One threshold decides for every document: it is the
+given one, or, if lower, the score that 99 in 100 trusted documents reach; so good
+documents outside the labels are rejected about as rarely as trusted ones at any size.
+
+All of it is DataFrame expressions: arrays stay inside the row, and the only rows that
+are exploded are reduced to the hash buckets before they are shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +23,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Hash buckets of the multinomials: the bound of what goes to every task.
 BUCKETS = 1 << 16
-#: A document with a lower mean log ratio is rejected.
+#: Counts that the raw corpus lends to the target: one a bucket.
+PRIOR = BUCKETS
+#: A document with a lower mean log ratio is rejected, unless too many trusted ones are as low.
 THRESHOLD = -0.1
+#: One in so many trusted documents may be under the threshold.
+TRUSTED_UNDER = 100
+#: Halves of the target.
+FOLDS = 2
 #: White space is the space and the characters 9 to 13.
 SPACE = "[ \\x09-\\x0D]+"
 WINDOW = 8
@@ -28,6 +44,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
 def ngram_counts(docs: DataFrame, n: int = BUCKETS) -> dict[int, int]:
     """How often each hash bucket of words and word pairs occurs in the texts of ``docs``."""
     w = docs.select(words(F.coalesce("text", F.lit(""))).alias("w")).select("w", F.posexplode("w").alias("i", "x"))
@@ -37,21 +57,51 @@ def ngram_counts(docs: DataFrame, n: int = BUCKETS) -> dict[int, int]:
     return dict(map(tuple, b.groupBy("b").count().collect()))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> Column:
-    """The array of ``n`` log ratios, target against raw, each smoothed by one count a bucket, as a constant.
+def buckets(g: str, n: int = BUCKETS) -> Column:
+    """The hash buckets of words and word pairs, from the array ``g`` of the words' hashes."""
+    return F.expr(f"""concat(transform({g}, x -> cast(pmod(x, {n}) as int)),
+        case when size({g}) > 1 then transform(sequence(0, size({g}) - 2), i -> cast(pmod(xxhash64({g}[i], {g}[i + 1]), {n}) as int)) else cast(array() as array<int>) end)""")
+
+
+def mean_ratio(b: str, half: Column, model: Column, n: int = BUCKETS) -> Column:
+    """The mean of the weights of the n-grams in the array ``b`` of buckets, by the model of one half; 0 without any."""
+    return F.aggregate(b, F.lit(0.0), lambda a, x: a + model[x + half * F.lit(n)], lambda a: a / F.greatest(F.size(b), F.lit(1)))
 
-    ``docs`` has doc_id and text; ``trusted`` has the doc_id of the target's documents.
-    All documents are counted; only the ``n`` sums come to the driver.
-    """
 
+def fit(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> tuple[Column, float]:
+    """The weights, ``n`` for each fold's documents, as a constant array, and the threshold.
+
+    ``docs`` has doc_id and text; ``trusted`` has the doc_id of the target's documents. All documents are counted.
+    The trusted ones are reached by a join of their bucket arrays, so no text is shuffled; the driver gets the
+    sums of the buckets and the trusted scores in steps of a thousandth, some ten thousand rows at most.
+    """
+    scratch = Scratch(docs.sparkSession)
     raw = ngram_counts(docs, n)
+    total = sum(raw.values()) + n
+    text = F.coalesce("text", F.lit(""))
     # always by shuffle: the trusted ids grow with the corpus, so a broadcast that works on small tables is none here
-    ids = trusted.select("doc_id").distinct().hint("shuffle_hash")
-    good = ngram_counts(docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi"), n)
-    r, g = sum(raw.values()) + n, sum(good.values()) + n
-    ratio = [round(math.log((good.get(b, 0) + 1) / g) - math.log((raw.get(b, 0) + 1) / r), 4) for b in range(n)]
-    # a JSON text folds into one array constant; a column of n values would be copied with every row
-    return F.from_json(F.lit(json.dumps(ratio)), "array<double>")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("id")).distinct().hint("shuffle_hash")
+    hashed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), fold(text).alias("f"), F.transform(words(text), lambda x: F.xxhash64(x)).alias("g"))
+    good = scratch.write(hashed.select("id", "f", buckets("g", n).alias("b")).join(ids, "id", "left_semi").select("f", "b"), "good")
+    half: dict[int, dict[int, int]] = {k: {} for k in range(FOLDS)}
+    for r in good.select("f", F.explode("b").alias("b")).groupBy("f", "b").count().collect():
+        half[r["f"]][r["b"]] = r["count"]
+    ratio = []
+    for k in range(FOLDS):
+        seen = [sum(half[j].get(b, 0) for j in range(FOLDS) if j != k) for b in range(n)]
+        size = sum(seen) + PRIOR
+        share = [(raw.get(b, 0) + 1) / total for b in range(n)]
+        ratio += [round(math.log((c + PRIOR * p) / size / p), 4) for c, p in zip(seen, share, strict=True)]
+    # a JSON text folds into one array constant; a column of that many values would be copied with every row
+    model = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
+    steps = good.filter("size(b) > 0").groupBy(F.round(mean_ratio("b", F.col("f"), model, n), 3).alias("s")).count().orderBy("s").collect()
+    scratch.drop("good")
+    under = sum(r["count"] for r in steps) // TRUSTED_UNDER
+    for r in steps:
+        under -= r["count"]
+        if under < 0:
+            return model, min(threshold, r["s"] - 0.0005)
+    return model, threshold
 
 
 def repeat_words(h: str) -> Column:
@@ -78,41 +128,32 @@ def windows(g: str) -> Column:
     return F.expr(f"case when size({g}) >= {WINDOW} then transform(sequence(0, size({g}) - {WINDOW}), i -> xxhash64({of})) else cast(array() as array<bigint>) end")
 
 
-def log_ratio(g: str, model: Column, n: int = BUCKETS) -> Column:
-    """The mean of the model's weights over the words and word pairs, from the array ``g`` of the words' hashes."""
-
-    def add(a: Column, x: Column) -> Column:
-        pair = F.when(a["w"].isNotNull(), model[F.pmod(F.xxhash64(a["w"], x), F.lit(n)).cast("int")]).otherwise(0.0)
-        return F.struct((a["s"] + model[F.pmod(x, F.lit(n)).cast("int")] + pair).alias("s"), x.alias("w"))
-
-    none = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("long").alias("w"))
-    return F.aggregate(g, none, add, lambda a: a["s"] / F.greatest(2 * F.size(g) - 1, F.lit(1)))
-
-
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (doc_id, text, any others) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     ``trusted`` holds the doc_id of the target's documents; ids that are null or not in
-    ``docs`` do nothing. Without any, both multinomials are smoothed ones and the
-    threshold still holds. Null and empty texts have no words, fail the base rules, and
-    have llr 0. Columns named like the new ones are replaced; ``text`` stays. Repeated
-    rows count each time.
+    ``docs`` do nothing. Without any, every llr is 0 and the base rules decide. Null and
+    empty texts have no words, fail the base rules, and have llr 0. Columns named like
+    the new ones are replaced; ``text`` stays. Repeated rows count each time; a row's
+    columns do not depend on its place or its neighbours. An empty table gives an empty one.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*new)
     text = F.coalesce("text", F.lit(""))
-    model = weights(docs, trusted)
-    d = docs.withColumn("_w", words(text)).withColumn("_g", F.transform("_w", lambda x: F.xxhash64(x))).withColumn("_h", windows("_g"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
+    model, least = fit(docs, trusted, threshold)
+    # the row itself is one column, so that none of its names can clash with those used here
+    d = docs.select(F.struct("*").alias("doc"), text.alias("text"), words(text).alias("w"))
+    d = d.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("g")).select("*", windows("g").alias("h"), buckets("g").alias("b"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
     d = d.select(
-        *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        "doc",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeat_words("_h").alias("n_repeat_words"),
-        log_ratio("_g", model).alias("llr"),
+        repeat_words("h").alias("n_repeat_words"),
+        mean_ratio("b", fold(F.col("text")), model).alias("llr"),
     ).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     # always true, but not to be computed twice: a filter on kept that were pushed below would repeat the arrays within each other's lambdas
     once = F.monotonically_increasing_id() >= 0
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & once).select(*docs.columns, *new)
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least) & once).select("doc.*", *new)
