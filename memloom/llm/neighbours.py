@@ -47,12 +47,13 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """idf and axes of the latent space, and unit vectors with labels in it."""
+    """idf and axes of the latent space, unit vectors with labels in it, and the score of texts without evidence."""
 
     idf: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    prior: float = 0.5
 
     def embed(self, block: np.ndarray) -> np.ndarray:
         v = (block * self.idf) @ self.axes
@@ -60,30 +61,32 @@ class Model:
         return np.divide(v, n, out=np.zeros_like(v), where=n > 1e-12)
 
     def score(self, block: np.ndarray) -> np.ndarray:
-        """The similarity-weighted share of label 1 among the nearest vectors; 0.5 where none is similar."""
+        """The similarity-weighted share of label 1 among the nearest vectors; the prior where none is similar."""
         if not len(self.labels):
-            return np.full(len(block), 0.5)
+            return np.full(len(block), self.prior)
         sims = self.embed(block) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         w = np.maximum(np.take_along_axis(sims, near, 1).astype(float), 0) ** 8
         total = w.sum(1)
-        return np.where(total > 0, (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1), 0.5)
+        return np.where(total > 0, (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.prior)
 
 
 def latent(x: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
-    """Fit the latent space on the rows of ``x`` (a randomised decomposition with a fixed seed)."""
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1)
-    a = x * idf
-    rank = min(rank, *a.shape) if len(a) else 0
-    q = np.random.default_rng(7).standard_normal((a.shape[1], rank + 16 if rank else 0), np.float32)
+    """Fit the latent space on the rows of ``x``, which are weighted in place (a randomised decomposition with a fixed seed)."""
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(1)
+    x *= idf
+    rank = min(rank, *x.shape) if len(x) else 0
+    if not rank:
+        return Model(idf, np.zeros((x.shape[1], 0), np.float32), np.zeros((len(x), 0), np.float32), labels)
+    q = np.random.default_rng(7).standard_normal((x.shape[1], rank + 16), np.float32)
     for _ in range(4):
-        q, _ = np.linalg.qr(a.T @ (a @ q)) if rank else (q, None)
-    b = a @ q
-    _, _, vt = np.linalg.svd(b, full_matrices=False) if rank else (None, None, np.zeros((0, 0), np.float32))
-    m = Model(idf, (q @ vt.T[:, :rank]).astype(np.float32) if rank else np.zeros((a.shape[1], 0), np.float32), np.zeros((0, rank), np.float32), labels)
-    m.vectors = m.embed(x)
-    return m
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    axes = (q @ vt.T[:, :rank]).astype(np.float32)
+    v = x @ axes
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return Model(idf, axes, np.divide(v, n, out=np.zeros_like(v), where=n > 1e-12), labels)
 
 
 def fold() -> Column:
@@ -94,8 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """A model from labelled documents outside the held-out fold; ``rows`` of each label at most.
 
     Only ids and labels choose the sample. What comes to the driver is 2 * ``rows`` sparse
-    vectors of DIMS + 2 at most. Rows without text, id or label are left out; of repeated ids
-    one counts. Without any labelled row every score is 0.5.
+    vectors of DIMS + 2 at most, as Arrow arrays. Rows without text, id or label are left out; of
+    repeated ids the one with the least vector counts. Texts without evidence get the smoothed share of
+    label 1 among the NEIGHBOURS shortest of these texts. Without any labelled row every score is 0.5.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     known = known.filter(fold() != 0).withColumn("h", F.xxhash64("doc_id"))
@@ -109,24 +113,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         for t in texts:
             x = features(t)
             at = np.flatnonzero(x)
-            out.append((at.tolist(), x[at].tolist()))
+            out.append((at.tolist(), x[at].tolist(), len(t.encode())))
         return out
 
-    fields = [("at", T.ArrayType(T.IntegerType())), ("x", T.ArrayType(T.FloatType()))]
-    got = {r["doc_id"]: r for r in with_columns(some, "text", fields, lambda: sparse, drop=True).collect()}
-    x = np.zeros((len(got), DIMS + 2), np.float32)
-    y = np.zeros(len(got))
-    for i, d in enumerate(sorted(got)):
-        x[i, got[d]["at"]] = got[d]["x"]
-        y[i] = got[d]["y"]
-    return latent(x, y)
+    fields = [("at", T.ArrayType(T.IntegerType())), ("x", T.ArrayType(T.FloatType())), ("bytes", T.LongType())]
+    got = with_columns(some, "text", fields, lambda: sparse, drop=True).toArrow().combine_chunks()
+    ends, at, value = (got["at"].chunk(0).offsets.to_numpy(), got["at"].chunk(0).values.to_numpy(), got["x"].chunk(0).values.to_numpy()) if len(got) else (np.zeros(1, int), *[np.zeros(0)] * 2)
+    vectors = {}
+    for i, d in enumerate(got["doc_id"].to_pylist()):
+        key = (at[ends[i] : ends[i + 1]].tobytes(), value[ends[i] : ends[i + 1]].tobytes())
+        vectors[d] = min(vectors.get(d, (key, i)), (key, i))
+    keep = [vectors[d][1] for d in sorted(vectors)]
+    y, size = got["y"].to_numpy().astype(float)[keep], got["bytes"].to_numpy()[keep]
+    del vectors
+    x = np.zeros((len(keep), DIMS + 2), np.float32)
+    for row, i in enumerate(keep):
+        x[row, at[ends[i] : ends[i + 1]]] = value[ends[i] : ends[i + 1]]
+    model = latent(x, y)
+    shortest = y[np.argsort(size, kind="stable")[:NEIGHBOURS]]
+    model.prior = float((shortest.sum() + 1) / (len(shortest) + 2))
+    return model
 
 
 def vote_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` (doc_id, text, any others) without text, plus held_out, score and predicted.
 
-    Every whole text is scored by text alone; null texts count as empty and score 0.5,
-    as do texts under three bytes. held_out is null for a null doc_id. Repeated rows are
+    Every whole text is scored by text alone; null texts count as empty and score the prior that
+    ``fit`` learns from the shortest labelled texts, as do texts under three bytes. held_out is null for a null doc_id. Repeated rows are
     scored alike; columns named like the new ones are replaced, others pass through. No shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
