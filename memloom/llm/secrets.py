@@ -5,7 +5,9 @@ sample of distinct ones for each kind, and of ordinary long tokens, a prefix tre
 built over character classes and its statistically compatible states are merged
 (Hoeffding bounds on the end and symbol frequencies), which gives a probabilistic
 automaton for each kind. Every candidate token of every text is then scored by the
-likelihood of its format: best kind against ordinary tokens.
+likelihood of its format: best kind against ordinary tokens. The sample of ordinary tokens
+holds some of each shape that recurs, so that a rare but regular format, as of network
+addresses, is known as ordinary.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import Scratch
 from .arrow import with_columns
 
 KINDS = ("assign", "access", "hex")
@@ -36,6 +38,8 @@ SAMPLE = 600
 #: Longest word whose score is kept for the next token; longer ones are scored each time.
 CACHED = 64
 ORDINARY = "ordinary"
+#: A shape recurs if so many distinct ordinary tokens have it; as many of each are learned, SAMPLE at most in all.
+RECURS = 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,6 +85,14 @@ def symbols(token: str) -> str:
 _CLASSES = {ord(c): k for k, cs in (("a", "abcdef"), ("g", "ghijklmnopqrstuvwxyz"), ("A", "ABCDEF"), ("G", "GHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789")) for c in cs}
 
 
+def shape(token: str) -> str:
+    """The character classes with runs of one class made one."""
+    return _RUN.sub(r"\1", symbols(token))
+
+
+_RUN = re.compile(r"(.)\1+")
+
+
 class Automaton:
     """A probabilistic automaton: for each state its visits, its ends, and symbol -> [next state, times]."""
 
@@ -174,6 +186,10 @@ class Automaton:
                 s = edge[0]
         return total + math.log((self.ends[s] + smooth) / (self.visits[s] + smooth * alphabet))
 
+    def likelihood(self, word: str) -> float:
+        """``log_likelihood`` a symbol, the end included."""
+        return self.log_likelihood(word) / (len(word) + 1)
+
 
 def infer_automata(samples: dict[str, list[str]]) -> dict[str, Automaton]:
     """An automaton for each kind that has labelled tokens, and one for ordinary tokens."""
@@ -189,8 +205,8 @@ def infer_automata(samples: dict[str, list[str]]) -> dict[str, Automaton]:
 def format_score(token: str, automata: dict[str, Automaton]) -> float:
     """Log likelihood a symbol of the best credential kind, less that of ordinary tokens."""
     word = symbols(token)
-    best = max((a.log_likelihood(word) for k, a in automata.items() if k != ORDINARY), default=-math.inf)
-    return (best - automata[ORDINARY].log_likelihood(word)) / (len(word) + 1) if ORDINARY in automata and best > -math.inf else -math.inf
+    best = max((a.likelihood(word) for k, a in automata.items() if k != ORDINARY), default=-math.inf)
+    return best - automata[ORDINARY].likelihood(word) if ORDINARY in automata and best > -math.inf else -math.inf
 
 
 # ---- corpus -------------------------------------------------------------------------------------------------
@@ -199,9 +215,11 @@ def format_score(token: str, automata: dict[str, Automaton]) -> float:
 def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str, list[str]]:
     """Labelled tokens of the whole corpus: for each kind the ``sample`` distinct ones with the smallest hashes.
 
-    What comes to the driver is bounded by ``sample`` tokens for each of four kinds. Of the
-    distinct ordinary tokens a sixteenth is taken at most, and 16 of them at least: a
-    credential that no pattern labels is one of them, and what is learned is not found.
+    What comes to the driver is bounded by ``sample`` tokens for each of three kinds, and twice
+    as many ordinary ones: of all distinct ones a sixteenth at most, and 16 of them at least, since
+    a credential that no pattern labels is one of them, and what is learned is not found; and
+    RECURS tokens of each of the most frequent shapes that so many have. Shapes of credentials,
+    which are random, seldom recur.
     """
 
     def find(texts: list[str]) -> list[tuple]:
@@ -210,14 +228,26 @@ def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str,
             base = base_spans(t)
             found = {(KINDS[k], (ASSIGN.match(t, s).group(2) if k == 0 else t[s:e])) for s, k, e in base}
             found |= {(ORDINARY, t[s:e]) for s, e in candidates(t, base)}
-            out.append(([{"kind": k, "token": v} for k, v in sorted(found)],))
+            out.append(([{"kind": k, "token": v, "shape": shape(v) if k == ORDINARY else None} for k, v in sorted(found)],))
         return out
 
-    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("token", T.StringType())]))
+    kind = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("kind", "token", "shape")]))
     found = with_columns(df.select(F.col(col).cast("string").alias("text")), "text", [("found", kind)], lambda: find, drop=True)
-    tokens = materialize(found.select(F.inline("found")).distinct().withColumn("h", F.xxhash64("token")))
-    few = min(sample, max(16, -(-tokens.filter(F.col("kind") == ORDINARY).count() // 16)))
-    return {k: [r["token"] for r in tokens.filter(F.col("kind") == k).orderBy("h", "token").limit(few if k == ORDINARY else sample).select("token").collect()] for k in (*KINDS, ORDINARY)}
+    scratch = Scratch(df.sparkSession)
+    tokens = scratch.write(found.select(F.inline("found")).distinct().withColumn("h", F.xxhash64("token")), "tokens")
+    plain = tokens.filter(F.col("kind") == ORDINARY)
+    few = min(sample, max(16, -(-plain.count() // 16)))
+
+    def first(rows: DataFrame, n: int) -> list[str]:
+        return [r["token"] for r in rows.orderBy("h", "token").limit(n).select("token").collect()]
+
+    out = {k: first(tokens.filter(F.col("kind") == k), sample) for k in KINDS} | {ORDINARY: first(plain, few)}
+    recur = plain.groupBy("shape").count().filter(F.col("count") >= RECURS).orderBy(F.desc("count"), "shape").limit(sample // RECURS)
+    some = plain.join(F.broadcast(recur.select("shape")), "shape", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("shape").orderBy("h", "token"))).filter(F.col("i") <= RECURS)
+    known = set(out[ORDINARY])
+    out[ORDINARY] += sorted(r["token"] for r in some.select("token").collect() if r["token"] not in known)
+    scratch.drop("tokens")
+    return out
 
 
 def scanner(automata: dict[str, Automaton], threshold: float):
@@ -304,15 +334,9 @@ def redact_secrets(df: DataFrame, col: str = "text", threshold: float = THRESHOL
 
     def make():
         scan = scanner(automata, threshold)
-        return lambda texts: [(None if t is None else redacted(t, scan(t)[1]),) for t in texts]
-
-    return _null_safe(df, col, make)
-
-
-def _null_safe(df: DataFrame, col: str, make) -> DataFrame:
-    def run():
-        f = make()
-        return lambda texts: f([t or "" for t in texts])
+        return lambda texts: [(redacted(t, scan(t)[1]),) for t in texts]
 
-    out = with_columns(df.withColumn(col, F.col(col).cast("string")), col, [("_redacted", T.StringType())], run)
-    return out.withColumn(col, F.when(F.col(col).isNotNull(), F.col("_redacted"))).drop("_redacted").select(*df.columns)
+    # the row itself is one column, so that none of its names can clash with that of the new text
+    rows = df.select(F.struct("*").alias("row"), F.col(col).cast("string").alias("text"))
+    out = with_columns(rows, "text", [("new", T.StringType())], make)
+    return out.select(*(F.when(F.col("text").isNotNull(), F.col("new")).alias(c) if c == col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
