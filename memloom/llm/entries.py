@@ -89,8 +89,8 @@ def conversation_calls(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = F.expr("element_at(array('search', 'lookup', 'summarise'), cast(pmod(conv_id + turn, 3) + 1 as int))")
     words = F.size(F.split("text", " "))
     args = (
-        F.when(name == "search", F.to_json(F.struct(F.substring("text", 1, 60).alias("query"), (F.length("text") % 50).alias("limit"))))
-        .when(name == "lookup", F.to_json(F.struct(F.split("text", " ")[0].alias("key"), (F.length("text") % 2 == 0).alias("exact"))))
+        F.when(name == "search", F.to_json(F.struct(F.col("text").alias("query"), (F.length("text") % 50).alias("limit"))))
+        .when(name == "lookup", F.to_json(F.struct(F.col("text").alias("key"), (F.length("text") % 2 == 0).alias("exact"))))
         .otherwise(F.to_json(F.struct(words.alias("n_words"), F.when(words < 20, "short").when(words < 200, "long").otherwise("full").alias("style"))))
     )
     call_id = F.concat_ws("_", F.lit("call"), "conv_id", "turn")

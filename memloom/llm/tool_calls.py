@@ -2,29 +2,66 @@
 
 Calls and results meet in a hash join on (conversation, call id). Calls are ordered by
 levels: a call's step is 0 if it depends on no other call, else one more than the
-highest step of those it depends on. Arguments are checked against the tool's JSON schema.
+highest step of those it depends on. Conversations of bounded size are ordered in one
+pass each; in larger ones, paths are doubled round by round over all hosts.
+Arguments are checked against the tool's JSON schema.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import Scratch
 from .arrow import with_columns
 
-_TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: Dependencies of one conversation that one task orders at most; those of larger conversations are ordered by joins.
+TOGETHER = 20_000
+#: Arguments and schemas are nested so deeply at most; what is deeper counts as no JSON, whatever the interpreter could read.
+NESTED = 500
+_TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None), "integer": int, "number": (int, float)}
+_NUMBERS = ("minimum", "maximum", "minLength", "maxLength")
 
 
 def is_type(value: object, name: str) -> bool:
-    if name in ("integer", "number"):
-        whole = isinstance(value, int) or (isinstance(value, float) and value.is_integer())
-        return not isinstance(value, bool) and (whole if name == "integer" else isinstance(value, (int, float)))
-    return isinstance(value, _TYPES[name])
+    if name == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES[name]) and (name not in ("integer", "number") or not isinstance(value, bool))
+
+
+def same(a: object, b: object) -> bool:
+    """JSON equality: 1 is 1.0, but not true."""
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+def is_schema(schema: object) -> bool:
+    """Whether the keywords that ``violations`` reads have the types that they should."""
+    if not isinstance(schema, dict):
+        return False
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    return (
+        isinstance(kinds, list)
+        and all(isinstance(k, str) and k in _TYPES for k in kinds)
+        and isinstance(schema.get("enum", []), list)
+        and all(is_type(schema.get(k, 0), "number") for k in _NUMBERS)
+        and isinstance(schema.get("required", []), list)
+        and all(isinstance(k, str) for k in schema.get("required", []))
+        and isinstance(schema.get("properties", {}), dict)
+        and all(map(is_schema, schema.get("properties", {}).values()))
+        and ("items" not in schema or is_schema(schema["items"]))
+    )
 
 
 def violations(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -33,7 +70,7 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(is_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, e) for e in schema["enum"]):
         out.append(f"{at}: enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}: {k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
@@ -54,40 +91,147 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces; ValueError for what is no JSON: numbers without a value, and halves of surrogate pairs."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    out.encode()
+    return out
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parse(text: str) -> object:
+    """The value of a JSON text; ValueError if it is none, or nested too deeply to be read, checked and written."""
+    try:
+        value = json.loads(text, parse_constant=_no_number)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    depth, level = 0, [value]
+    while level := [v for x in level if isinstance(x, (list, dict)) for v in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > NESTED:
+            raise ValueError("nested too deeply")
+    canonical(value)
+    return value
 
 
 @lru_cache(256)
-def _schema(text: str) -> dict:
-    return json.loads(text)
+def _schema(text: str) -> dict | None:
+    """The schema, None if the text holds none."""
+    try:
+        schema = parse(text)
+        return schema if is_schema(schema) else None
+    except (ValueError, RecursionError):
+        return None
 
 
-def steps(edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, step) of calls that depend on others, from edges (conv_id, call_id, parent) between calls.
+def argument_errors(text: str, schema: str | None) -> tuple[object, list[str]]:
+    """The arguments (None if they are no JSON), and what is wrong with them."""
+    try:
+        args = parse(text)
+    except ValueError:
+        return None, ["json"]
+    if schema is None:
+        return args, ["unknown tool"]
+    known = _schema(schema)
+    if known is None:
+        return args, ["schema"]
+    try:
+        return args, violations(args, known)
+    except RecursionError:
+        return None, ["json"]
+
+
+def order(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Steps of the calls that depend on others, from pairs (call, call it depends on); calls on a cycle or behind one are left out."""
+    children, left, step = defaultdict(list), defaultdict(int), {}
+    for call, parent in set(edges):
+        children[parent].append(call)
+        left[call] += 1
+    now, depth = [p for p in children if p not in left], 0
+    while now:
+        depth += 1
+        after = []
+        for p in now:
+            for c in children[p]:
+                left[c] -= 1
+                if not left[c]:
+                    step[c] = depth
+                    after.append(c)
+        now = after
+    return step
 
-    Peels off, again and again, the edges whose parent has its step; the rounds are as
-    many as the longest chain of dependencies. Calls on a cycle, or behind one, are left out.
+
+def small_steps(edges: DataFrame) -> DataFrame:
+    """``steps`` of conversations with TOGETHER edges at most, each ordered in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(conv: object, held: list[tuple[str, str]]) -> pa.RecordBatch:
+            got = order(held)
+            return pa.RecordBatch.from_arrays([pa.array([conv] * len(got), kind), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["conv_id", "call_id", "step"])
+
+        now, held, kind = None, [], None
+        for b in batches:
+            kind = b.column(0).type
+            for conv, call, parent in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if conv != now:
+                    if held:
+                        yield out(now, held)
+                    now, held = conv, []
+                held.append((call, parent))
+        if held:
+            yield out(now, held)
+
+    kind = edges.schema["conv_id"].dataType.simpleString()
+    dealt = edges.select("conv_id", "call_id", "parent").repartition("conv_id").sortWithinPartitions("conv_id")
+    return dealt.mapInArrow(run, f"conv_id {kind}, call_id string, step long")
+
+
+def large_steps(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``steps`` by doubling paths, for conversations of any size.
+
+    A call's step is the maximum of a number and of the steps of the calls that it still waits for, each plus
+    a distance. In each round, a call that waits for one that waits for a single other call waits for that
+    other instead: so chains and trees take rounds by the logarithm of their depth, other graphs as many as
+    their longest chain of calls that wait for several. A distance beyond the number of calls is a cycle.
     """
     key = ["conv_id", "call_id"]
-    left = materialize(edges.distinct())
-    parents = left.select("conv_id", F.col("parent").alias("call_id")).distinct()
-    ready = parents.join(left, key, "left_anti").withColumn("step", F.lit(0))
-    done = []
-    step = 0
+    now = scratch.write(edges.select(*key, "parent", F.lit(1).cast("long").alias("d")), "waits")
+    first = edges.select(*key).union(edges.select("conv_id", "parent")).distinct()
+    state = scratch.write(first.withColumn("least", F.lit(0).cast("long")).withColumn("cycle", F.lit(False)), "state")
+    most = state.count()
+    sign = None
     while True:
-        step += 1
-        rest = materialize(left.join(ready.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti").select(*key, "parent"))
-        ready = materialize(left.join(rest, key, "left_anti").select(*key).distinct().withColumn("step", F.lit(step)))
-        if ready.isEmpty():
+        got = now.agg(F.count(F.lit(1)), F.sum("d"), F.sum(F.xxhash64(*key, "parent", "d").cast("decimal(20,0)"))).first()
+        if not got[0] or got == sign:
             break
-        done.append(ready)
-        left = rest
-    out = ready
-    for d in done:
-        out = out.unionByName(d)
+        sign = got
+        single = now.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("parent", "d")).alias("e"))
+        parents = state.join(single, key, "left").select("conv_id", F.col("call_id").alias("parent"), F.col("least").alias("p_least"), F.col("cycle").alias("p_cycle"), F.coalesce("k", F.lit(0)).alias("k"), "e")
+        met = scratch.write(now.join(parents, ["conv_id", "parent"]), "met")
+        told = met.groupBy(*key).agg(F.max(F.expr("case when k < 2 then p_least + d end")).alias("new"), F.max(F.expr(f"p_cycle or (k = 1 and d + e.d > {most})")).alias("round"))
+        after = met.filter(f"not p_cycle and (k > 1 or (k = 1 and d + e.d <= {most}))").select(*key, F.expr("case when k = 1 then e.parent else parent end").alias("parent"), F.expr("case when k = 1 then d + e.d else d end").alias("d"))
+        after = after.groupBy(*key, "parent").agg(F.max("d").alias("d"))
+        state = scratch.write(state.join(told, key, "left").select(*key, F.greatest("least", F.coalesce("new", F.lit(0))).alias("least"), (F.col("cycle") | F.coalesce("round", F.lit(False))).alias("cycle")), "state")
+        now = scratch.write(after, "waits")
+    out = scratch.write(state.filter("not cycle and least > 0").join(now, key, "left_anti").select(*key, F.col("least").alias("step")), "large")
+    scratch.drop("waits", "state", *(["met"] if "met" in scratch.at else []))
     return out
 
 
+def steps(edges: DataFrame, scratch: Scratch, together: int | None = None) -> DataFrame:
+    """(conv_id, call_id, step) of calls that depend on others, from edges (conv_id, call_id, parent) between calls.
+
+    Calls on a cycle, or behind one, are left out; ids and conversations are not null.
+    """
+    edges = scratch.write(edges.distinct(), "edges")
+    sizes = edges.groupBy("conv_id").count()
+    large = scratch.write(sizes.filter(F.col("count") > (TOGETHER if together is None else together)).select("conv_id"), "large_ids")
+    small = small_steps(edges.join(large, "conv_id", "left_anti"))
+    return small if large.isEmpty() else small.unionByName(large_steps(edges.join(large, "conv_id", "left_semi"), scratch))
+
+
 RECORD = [("valid", T.BooleanType()), ("errors", T.ArrayType(T.StringType())), ("record", T.StringType())]
 
 
@@ -102,25 +246,29 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     of several results the first by turn and content is linked. Null ids are no link:
     each conversation's calls without id, and its results without id, are one row each.
     Dependencies on ids that are not there give the error "dependency", cycles
-    the error "cycle" and no step. Arguments that are no JSON, unknown tools and schema
-    violations are errors too; valid means no errors. Null arguments count as {}.
+    the error "cycle" and no step. Arguments that are no JSON (NaN and infinite numbers and half
+    surrogate pairs are none, nor are texts nested too deeply to be read), unknown tools, schemas
+    that are none and schema violations are errors too; valid means no errors. Null arguments count as {}.
     record is canonical JSON (sorted keys, no spaces) of the call, its result and step.
     Empty tables give an empty result. Duplicates are reduced before they are shuffled.
     """
     key = ["conv_id", "call_id"]
+    scratch = Scratch(calls.sparkSession)
     call = calls.groupBy(*key).agg(F.count(F.lit(1)).alias("n_calls"), F.min(F.struct("turn", "name", "arguments", "depends")).alias("c"))
-    call = materialize(call.select(*key, "n_calls", "c.*"))
+    call = scratch.write(call.select(*key, "n_calls", "c.*"), "calls")
     result = results.groupBy(*key).agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content")).alias("r"))
     result = result.select(*key, "n_results", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
-    wanted = call.filter(F.col("call_id").isNotNull()).select(*key, F.explode("depends").alias("parent")).filter(F.col("parent").isNotNull())
-    there = call.filter(F.col("call_id").isNotNull()).select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("there"))
-    edges = materialize(wanted.distinct().join(there, ["conv_id", "parent"], "left"))
+    named = call.filter("conv_id is not null and call_id is not null")
+    wanted = named.select(*key, F.explode("depends").alias("parent")).filter(F.col("parent").isNotNull())
+    there = named.select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("there"))
+    edges = scratch.write(wanted.distinct().join(there, ["conv_id", "parent"], "left"), "wanted")
     missing = edges.filter("there is null").select(*key).distinct().withColumn("missing", F.lit(True))
     real = edges.filter("there").select(*key, "parent")
-    step = steps(real)
+    step = steps(real, scratch)
     behind = real.select(*key).distinct().join(step, key, "left").select(*key, F.coalesce("step", F.lit(-1)).alias("step"))
     joined = call.join(behind, key, "left").join(missing, key, "left").withColumn("step", F.coalesce("step", F.lit(0))).withColumn("called", F.lit(True))
-    joined = joined.join(result, key, "full_outer").join(schemas.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
+    # ids are unique on either side by now, so the hash join has no hot key; null ids are one row a conversation and meet nothing
+    joined = joined.join(result.hint("shuffle_hash"), key, "full_outer").join(schemas.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
     joined = joined.withColumn("status", F.expr("case when called is null then 'orphan' when result_turn is null and n_results is null then 'pending' else 'linked' end"))
     joined = joined.withColumn("step", F.expr("case when step >= 0 then step end")).withColumn("turn", F.coalesce("turn", "result_turn"))
     doc = F.to_json(F.struct("conv_id", "call_id", "turn", "name", "arguments", "result", "step", "status", "n_calls", "missing", "schema", "called"))
@@ -128,21 +276,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     def check(rows: list[str]) -> list[tuple]:
         out = []
         for r in map(json.loads, rows):
-            errors = []
-            args = None
+            errors, args = [], None
             if r.get("called"):
-                if r["n_calls"] > 1:
-                    errors.append("duplicate")
-                if r.get("missing"):
-                    errors.append("dependency")
-                if "step" not in r:
-                    errors.append("cycle")
-                try:
-                    args = json.loads(r.get("arguments", "{}"))
-                except ValueError:
-                    errors.append("json")
-                else:
-                    errors += violations(args, _schema(r["schema"])) if r.get("schema") else ["unknown tool"]
+                errors += [e for e, bad in (("duplicate", r["n_calls"] > 1), ("dependency", r.get("missing")), ("cycle", "step" not in r)) if bad]
+                args, wrong = argument_errors(r.get("arguments", "{}"), r.get("schema"))
+                errors += wrong
             record = {k: r.get(k) for k in ("conv_id", "call_id", "name", "result", "step", "status")} | {"arguments": args}
             out.append((not errors and bool(r.get("called")), errors, canonical(record)))
         return out
