@@ -19,35 +19,47 @@ QUERY_BLOCK = 4096
 MEETING_BLOCK = 2048
 
 
-def postings(notes: DataFrame, stem: bool = True) -> DataFrame:
-    """(id, field, pos, term) of title and content."""
-    parts = []
-    for field in ("title", "content"):
-        t = X.ordered_tokens(F.coalesce(F.col(field), F.lit("")))
-        t = stemmed(t) if stem else t
-        parts.append(notes.select("id", F.lit(field).alias("field"), F.posexplode(t).alias("pos", "term")))
-    return parts[0].unionAll(parts[1])
+def postings(notes: DataFrame) -> DataFrame:
+    """(id, dl, field, pos, a, b): each term of title and content with the one after it in the field, and the note's number of terms."""
+    words = notes.select("id", F.array(*(X.ordered_tokens(F.coalesce(F.col(f), F.lit(""))) for f in ("title", "content"))).alias("w"))
+    words = words.select("id", (F.size(F.col("w")[0]) + F.size(F.col("w")[1])).alias("dl"), F.posexplode("w").alias("field", "t"))
+    return words.select("id", "dl", "field", "t", F.posexplode("t").alias("pos", "a")).select("id", "dl", "field", "pos", "a", F.get("t", F.col("pos") + 1).alias("b"))
+
+
+def variants(notes: DataFrame, stems: DataFrame) -> DataFrame:
+    """(term, stem): the terms of the notes whose stem is one of (stem). Each distinct term is stemmed once."""
+    every = notes.select(F.explode(F.concat(*(X.ordered_tokens(F.coalesce(F.col(f), F.lit(""))) for f in ("title", "content")))).alias("term")).distinct()
+    return every.withColumn("stem", stemmed(F.array("term"))[0]).join(stems, "stem", "left_semi").select("term", "stem")
 
 
 def phrase_search(notes: DataFrame, queries: DataFrame, k: int = 20, offset: int = 0, stem: bool = True) -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, phrase): adjacent terms within a field, by BM25.
 
-    A query's terms join the postings, and an occurrence is a start at which all of
-    them meet, so no text is scanned once for each query. Queries without terms match nothing.
+    A phrase is its pairs of neighbours, which meet the pairs of the texts: pairs are
+    far rarer than terms, so a frequent word makes no rows of its own. An occurrence is
+    a start at which all pairs of a phrase meet; a phrase of one term meets single terms.
+    Texts are not scanned once for each query. Queries without terms match nothing.
     """
     terms = X.ordered_tokens(F.col("phrase"))
     q = queries.select("query_id", (stemmed(terms) if stem else terms).alias("terms")).filter(F.size("terms") > 0)
-    want = q.select("query_id", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
-    p = postings(notes, stem)
-    starts = p.join(want, "term").groupBy("query_id", "m", "id", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("c")).filter("c = m")
-    tf = starts.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("tf"))
-    size = notes.select("id", (F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
-    total, mean = size.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("terms") - 2, F.lit(0))), lambda i: F.struct(F.get("terms", i).alias("a"), F.get("terms", i + 1).alias("b")))
+    want = q.select("query_id", F.greatest(F.size("terms") - 1, F.lit(1)).alias("m"), F.posexplode(pairs).alias("k", "p")).select("query_id", "m", "k", "p.a", "p.b")
+    if stem:
+        known = materialize(variants(notes, q.select(F.explode("terms").alias("stem")).distinct()))
+        second = known.select(F.col("term").alias("to"), F.col("stem").alias("b"))
+        want = want.join(known.withColumnRenamed("stem", "a"), "a").drop("a").withColumnRenamed("term", "a").join(second, "b", "left").filter("b is null or to is not null").drop("b").withColumnRenamed("to", "b")
+    p = postings(notes)
+    two, one = want.filter("b is not null"), want.filter("b is null").drop("b")
+    met = p.join(two, ["a", "b"]).select("query_id", "m", "k", "id", "dl", "field", "pos").unionAll(p.join(one, "a").select("query_id", "m", "k", "id", "dl", "field", "pos"))
+    starts = met.groupBy("query_id", "m", "id", "dl", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("c")).filter("c = m")
+    tf = starts.groupBy("query_id", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    size = notes.select((F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
+    whole = size.agg(F.struct(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).alias("s")).scalar()
     df = tf.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1))))
-    hits = tf.join(df, "query_id").join(size, "id").select("query_id", "id", F.round(score, 6).alias("score"))
-    return top(hits, k, offset)
+    hits = tf.join(df, "query_id").withColumn("s", whole)
+    idf = F.greatest(F.log((F.col("s.total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.mean")))
+    return top(hits.select("query_id", "id", F.round(score, 6).alias("score")), k, offset)
 
 
 def top(hits: DataFrame, k: int, offset: int = 0, by: str = "query_id", ascending: bool = False) -> DataFrame:

@@ -85,8 +85,9 @@ def graph_neighbors(spark, sf):
 
 
 @query(f"""{with_views('links', recursive=True)}, p AS (SELECT item_id AS source, item_id * 3 + 2 AS target FROM benchmark), e AS (SELECT DISTINCT src AS a, dst AS b FROM links),
-w AS (SELECT DISTINCT source, source AS id, [source] AS path FROM p UNION ALL SELECT source, b, list_append(path, b) FROM w JOIN e ON a = id WHERE len(path) <= 4)
-SELECT p.source, p.target, coalesce((SELECT array_to_string(path, '>') FROM w WHERE w.source = p.source AND w.id = p.target ORDER BY len(path), path LIMIT 1), '') AS path FROM p""")
+w(source, id, path) USING KEY (source, id) AS (SELECT DISTINCT source, source, [source] FROM p
+UNION SELECT w.source, e.b, min(list_append(w.path, e.b)) FROM w JOIN e ON e.a = w.id LEFT JOIN recurring.w AS r ON r.source = w.source AND r.id = e.b WHERE r.id IS NULL GROUP BY w.source, e.b)
+SELECT p.source, p.target, coalesce(array_to_string(path, '>'), '') AS path FROM p LEFT JOIN w ON w.source = p.source AND w.id = p.target""")
 def shortest_path(spark, sf):
     pairs = D.table(spark, sf, "benchmark").selectExpr("item_id as source", "item_id * 3 + 2 as target")
     return G.shortest_paths(D.links(spark, sf), pairs).select("source", "target", F.array_join("path", ">").alias("path"))

@@ -9,7 +9,7 @@ from ..operators import consolidate as C
 from ..operators import pairs as P
 from ..operators import search as S
 from ..sources import testdata as D
-from ..sources.testdata import with_views
+from ..sources.testdata import SQL, with_views
 
 Q, O = {}, {}
 
@@ -109,7 +109,14 @@ def salience_boost(spark, sf):
     return S.salience_boost(_hybrid(spark, sf), scores, 0.2)
 
 
-@query(f"""{_HYBRID}, c AS (SELECT query_id, h.id, match_source AS match_type, round(0.5 * score + 0.3 * (length(text) % 100) / 100.0, 6) AS composite, text, 'Doc ' || doc_id AS title FROM h JOIN documents ON doc_id = h.id),
+@query(f"""{_HYBRID}, {SQL['links']}, hit AS (SELECT query_id, h.id, score, match_source AS match_type FROM h JOIN documents ON doc_id = h.id),
+und AS (SELECT src AS a, dst AS b FROM links WHERE valid_until IS NULL UNION ALL SELECT dst, src FROM links WHERE valid_until IS NULL),
+nb AS (SELECT DISTINCT hit.query_id, und.b AS id FROM hit JOIN und ON und.a = hit.id WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.query_id = hit.query_id AND x.id = und.b)),
+near AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM nb) WHERE n <= 5),
+both_ AS (SELECT * FROM hit UNION ALL SELECT query_id, id, 0.0, 'graph' FROM near JOIN documents ON doc_id = id),
+up AS (SELECT DISTINCT query_id, id - id % 20 AS id FROM both_ b WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM both_ x WHERE x.query_id = b.query_id AND x.id = b.id - b.id % 20)),
+every AS (SELECT * FROM both_ UNION ALL SELECT query_id, id, 1.0, 'schema' FROM up),
+c AS (SELECT query_id, id, match_type, round(0.5 * score + 0.3 * (length(text) % 100) / 100.0 + CASE WHEN match_type = 'schema' THEN 0.2 ELSE 0 END, 6) AS composite, text, 'Doc ' || doc_id AS title FROM every JOIN documents ON doc_id = id),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, id) AS position FROM c),
 l AS (SELECT *, length(CAST(position AS VARCHAR)) + length(title) + length(text) + 9 AS block_chars FROM o),
 s AS (SELECT *, CAST(coalesce(sum(block_chars) OVER (PARTITION BY query_id ORDER BY composite DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM l),
