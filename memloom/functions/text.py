@@ -172,3 +172,34 @@ def verify_overlap(claim: Column, source: Column, passing: float = 0.55) -> Colu
 
 def sanitize_filename(name: Column) -> Column:
     return F.regexp_replace(name, r'[/\\:*?"<>| ]', "_")
+
+
+def request_hash(prompt: Column, system: Column, temperature: Column, max_tokens: Column) -> Column:
+    """SHA-256 of the fields of a request that affect its answer, one line each; null fields have no line. Whole temperatures have no fraction."""
+    number = F.regexp_replace(temperature.cast("string"), r"\.0$", "")
+    line = lambda name, value: F.coalesce(F.concat(F.lit(name), value, F.lit("\n")), F.lit(""))
+    return F.sha2(F.concat(line("prompt:", F.coalesce(prompt, F.lit(""))), line("sys:", system), line("t:", number), line("m:", max_tokens.cast("string"))), 256)
+
+
+def json_object(text: Column) -> Column:
+    """From the first { to the last } of an answer; null if there are none in this order."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def json_array(text: Column) -> Column:
+    """From the first [ to the last ] of an answer; null if there are none in this order."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def abstraction(text: Column) -> Column:
+    """title, content, rationale, action and sibling of a schema in an answer; null if there is no JSON with a content."""
+    j = F.from_json(F.coalesce(json_object(text), text), "title string, content string, rationale string, action string, sibling_schema_id string")
+    patch = F.coalesce(j["action"] == "patch", F.lit(False))
+    sibling = F.when(patch & ~j["sibling_schema_id"].isin("", "null"), j["sibling_schema_id"])
+    fields = F.struct(F.coalesce(j["title"], F.lit("Schema")).alias("title"), j["content"].alias("content"), F.coalesce(j["rationale"], F.lit("llm rationale omitted")).alias("rationale"), F.when(patch, "patch").otherwise("create").alias("action"), sibling.alias("sibling"))
+    return F.when(j["content"].isNotNull(), fields)
+
+
+def tag_suggestions(text: Column) -> Column:
+    """Array of (tag, confidence) in an answer; null if it holds no such JSON array."""
+    return F.from_json(json_array(text), "array<struct<tag: string, confidence: double>>")

@@ -148,6 +148,12 @@ def groundedness(query: Column, context: Column) -> Column:
     return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda x: F.contains(F.lower(context), x))) / F.size(t))
 
 
+def proxy_score(query: Column, context: Column, retrieved: Column, sources: Column) -> Column:
+    """Half the groundedness and half the share of the sources that are among the retrieved ids; without sources that share is 0."""
+    share = F.when(F.size(sources) == 0, 0.0).otherwise(F.size(F.filter(sources, lambda x: F.array_contains(retrieved, x))) / F.size(sources))
+    return 0.5 * groundedness(query, context) + 0.5 * share
+
+
 def extractive_proposals(members: DataFrame, notes: DataFrame, similarity: DataFrame) -> DataFrame:
     """(cluster, title, content): the text of a schema over each cluster's notes (id, title, content), in order of ids; 240 bytes of each."""
     e = members.join(notes.select("id", "title", "content"), "id").select("cluster", F.struct("id", "title", truncate_bytes(F.col("content"), 240).alias("excerpt")).alias("e"))

@@ -177,3 +177,17 @@ def to_dot(nodes: DataFrame, links: DataFrame) -> DataFrame:
     n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.format_string('  "%s" [label="%s"];', F.col("id").cast("string"), F.replace(F.col("title"), F.lit('"'), F.lit('\\"'))).alias("line"))
     e = links.select(F.lit(2), "src", "dst", F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("link_type")))
     return n.unionAll(e)
+
+
+def to_json_lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """A JSON object for each node and edge, one row each, in order of (part, a, b)."""
+    n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.to_json(F.struct("id", "title")).alias("line"))
+    e = links.select(F.lit(2), "src", "dst", F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "link_type")))
+    return n.unionAll(e)
+
+
+def to_text(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """A line for each edge with the titles of both ends, empty where there is no such node, in order of (a, b)."""
+    title = lambda c, name: nodes.select(F.col("id").alias(c), F.col("title").alias(name))
+    e = links.join(title("src", "s"), "src", "left").join(title("dst", "t"), "dst", "left")
+    return e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.format_string("  %s ──[%s]──> %s", F.coalesce("s", F.lit("")), F.col("link_type"), F.coalesce("t", F.lit(""))).alias("line"))

@@ -62,6 +62,31 @@ def phrase_search(notes: DataFrame, queries: DataFrame, k: int = 20, offset: int
     return top(hits.select("query_id", "id", F.round(score, 6).alias("score")), k, offset)
 
 
+def any_term_search(notes: DataFrame, queries: DataFrame, k: int = 20, least_bytes: int = 3) -> DataFrame:
+    """(query_id, id, score, rank) for queries (query_id, question): notes with any of the terms of ``least_bytes`` or more, by the sum of their BM25 weights.
+
+    Occurrences are counted within the task that reads them before they are shuffled; a query without terms matches nothing.
+    """
+    terms = F.array_distinct(F.filter(X.ordered_tokens(F.col("question")), lambda t: F.octet_length(t) >= least_bytes))
+    want = queries.select("query_id", F.explode(terms).alias("a"))
+    p = postings(notes)
+    tf = p.join(want, "a").groupBy("query_id", "a", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("query_id", "a").agg(F.count(F.lit(1)).alias("df"))
+    size = notes.select((F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
+    whole = size.agg(F.struct(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).alias("s")).scalar()
+    hits = tf.join(df, ["query_id", "a"]).withColumn("s", whole)
+    idf = F.greatest(F.log((F.col("s.total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.mean")))
+    return top(hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")), k)
+
+
+def replay_rerank(hits: DataFrame, scores: DataFrame, k: int = 10, alpha: float = 0.6) -> DataFrame:
+    """(query_id, id, score, rank): the first ``3 * k`` hits by alpha over their rank plus the rest of the consolidation score (id, consolidation_score)."""
+    h = hits.filter(F.col("rank") <= 3 * k).join(scores.select("id", "consolidation_score"), "id", "left")
+    score = F.round(alpha / F.col("rank") + (1 - alpha) * F.coalesce("consolidation_score", F.lit(0.0)), 6)
+    return top(h.select("query_id", "id", score.alias("score")), k)
+
+
 def top(hits: DataFrame, k: int, offset: int = 0, by: str = "query_id", ascending: bool = False) -> DataFrame:
     order = F.col("score").asc() if ascending else F.col("score").desc()
     w = Window.partitionBy(by).orderBy(order, "id")
@@ -228,3 +253,25 @@ def retrieve_context(seeds: DataFrame, notes: DataFrame, max_tokens: int = 4096)
     left = F.lit(4 * max_tokens) - F.col("chars_before")
     used = F.when(F.col("block_chars") <= left, F.col("block_chars")).when(left > 200, left)
     return c.withColumn("used", used).filter("used is not null").select("query_id", "position", "id", "match_type", "composite", "block_chars", "chars_before", "used")
+
+
+def rag_context(hits: DataFrame, notes: DataFrame, links: DataFrame, top_k: int = 10, depth: int = 1, max_tokens: int = 2048) -> DataFrame:
+    """(query_id, position, id, match_type, score, preview, used): sources of an answer, hits (query_id, id, score, rank, match_source) first, then their neighbours.
+
+    Of the notes within ``depth`` open links the first max(top_k, 5) by depth and id join a query's hits, with score
+    0. All are sources; their blocks go into the context in this order as far as four characters a token allow. The first that
+    does not fit is cut if more than 100 are left, and nothing follows it; ``used`` is null for sources that are not in it.
+    """
+    known = notes.select("id", "title", "content")
+    seeds = materialize(hits.filter(F.col("rank") <= top_k).join(notes.select("id"), "id", "left_semi").select("query_id", "id", "score", "rank", F.col("match_source").alias("match_type")))
+    near = bfs(links.filter("valid_until is null"), seeds.select("id"), depth).join(seeds.select("query_id", F.col("id").alias("seed")), "seed")
+    near = near.groupBy("query_id", "id").agg(F.min("depth").alias("depth")).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "id"))).filter(F.col("n") <= max(top_k, 5))
+    every = seeds.unionByName(near.select("query_id", "id", F.lit(0.0).alias("score"), (F.col("n") + top_k).alias("rank"), F.lit("graph").alias("match_type"))).join(known, "id")
+    w = Window.partitionBy("query_id").orderBy("rank", "id")
+    c = every.withColumn("position", F.row_number().over(w))
+    c = c.withColumn("size", F.length(F.col("position").cast("string")) + F.length("title") + F.length("content") + 14)
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("room", F.lit(4 * max_tokens) - before)
+    used = F.when(F.col("size") <= F.col("room"), F.col("size")).when(F.col("room") > 100, F.col("room"))
+    return c.select("query_id", "position", "id", "match_type", "score", X.preview(F.col("content")).alias("preview"), used.alias("used"))
