@@ -115,7 +115,11 @@ def valid_edges(spark, sf):
     return D.links(spark, sf).filter(G.currently_valid(F.expr("timestamp '2024-01-20 00:00:00'"))).select("src", "dst", "link_type")
 
 
-@query()
+@query(f"""{with_views('notes', 'links')}, k AS (SELECT src, dst, link_type FROM links WHERE valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-20 00:00:00'), e AS (SELECT src AS a, dst AS b, link_type, 'outgoing' AS direction, src FROM k UNION ALL SELECT dst, src, link_type, 'incoming', src FROM k),
+one AS (SELECT item_id AS seed, e.* FROM benchmark JOIN e ON a = item_id WHERE b <> item_id QUALIFY row_number() OVER (PARTITION BY item_id, b ORDER BY a, direction DESC, link_type) = 1),
+two AS (SELECT o.seed, e.* FROM one o JOIN e ON e.a = o.b WHERE e.b <> o.seed AND NOT EXISTS (SELECT 1 FROM one x WHERE x.seed = o.seed AND x.b = e.b) QUALIFY row_number() OVER (PARTITION BY o.seed, e.b ORDER BY e.a, e.direction DESC, e.link_type) = 1),
+f AS (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two)
+SELECT seed, b AS id, hop, link_type, direction, CASE WHEN link_type = 'causal' AND src % 2 = 0 THEN 'follow_guidance' WHEN link_type = 'causal' THEN 'check_condition' WHEN (length(content) % 100) / 100.0 > 0.7 THEN 'review_central_nodes' END AS action FROM f LEFT JOIN notes ON id = b""")
 def guidance(spark, sf):
     n = D.notes(spark, sf)
     scores = n.select("id", (F.length("content") % 100 / 100).alias("consolidation_score"))

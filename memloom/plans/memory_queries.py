@@ -8,7 +8,7 @@ from ..operators import cascade, consolidate as C, integrity as I, memory as M,
 from ..session import materialize
 from ..sources import testdata as D
 from ..sources.testdata import with_views
-from .search_queries import _CLAIMS
+from .search_queries import _CLAIMS, _EVID, _JAC, _NORM, _TRI
 
 Q, O = {}, {}
 NOW = "timestamp '2024-01-31 00:00:00'"
@@ -154,7 +154,11 @@ def cluster_similarity(spark, sf):
     return C.mean_similarity(C.clusters(p), p)
 
 
-@query()
+@query(f"""{_CLUSTERS}, e AS (SELECT cluster, i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT c.cluster, unnest(e) AS x, unnest(range(len(e))) AS i FROM c JOIN v USING (id)) GROUP BY ALL),
+k AS (SELECT label AS schema_id, i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+ne AS (SELECT cluster, sqrt(sum(m * m)) AS n FROM e GROUP BY 1), nk AS (SELECT schema_id, sqrt(sum(m * m)) AS n FROM k GROUP BY 1),
+near AS (SELECT cluster, schema_id, round(sum(e.m * k.m) / any_value(ne.n * nk.n), 6) AS similarity FROM e JOIN k USING (i) JOIN ne USING (cluster) JOIN nk USING (schema_id) GROUP BY 1, 2)
+SELECT cluster, schema_id, similarity, CASE WHEN similarity >= {LEAST} THEN 'patch' ELSE 'create' END AS decision FROM near QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC, schema_id) = 1""")
 def nearest_schema(spark, sf):
     """Clusters against one schema for each label: the mean of its vectors."""
     v = D.vectors(spark, sf)
@@ -204,7 +208,11 @@ def digest(spark, sf):
     return n.groupBy(F.to_date("created_at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("lang").alias("langs"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
-@query("""SELECT doc_id AS tx_id, CASE WHEN lang = 'en' AND doc_id % 5 <> 0 THEN 'committed' ELSE 'failed' END AS status FROM documents""")
+@query(f"""WITH n AS (SELECT doc_id, lang, strlen(text) AS bytes, {_NORM.format('text')} AS c, {_NORM.format("CASE WHEN lang = 'en' THEN text ELSE '0' END")} AS s FROM documents),
+t AS (SELECT *, {_EVID.format('c')} AS ec, {_EVID.format('s')} AS es, {_TRI.format('c')} AS gc, {_TRI.format('s')} AS gs FROM n),
+m AS (SELECT *, greatest(CASE WHEN contains(s, c) THEN 1.0 WHEN contains(c, s) AND s <> '' THEN 0.75 ELSE 0.0 END, {_JAC.format('ec', 'es')} * 0.85, {_JAC.format('gc', 'gs')} * 0.7) >= 0.55 AS passed FROM t),
+e AS (SELECT doc_id, list_filter([CASE WHEN bytes <= 0 THEN '0: claim out of bounds' WHEN NOT passed THEN '0: claim not borne out' END, CASE WHEN doc_id % 5 = 0 THEN '1: create_link: no note dst' END], lambda x: x IS NOT NULL) AS errors FROM m)
+SELECT doc_id AS tx_id, 2 AS operations, CASE WHEN len(errors) = 0 THEN 'committed' ELSE 'failed' END AS status, array_to_string(errors, '; ') AS errors FROM e""")
 def tx_validate(spark, sf):
     """A transaction for each document that notes its text with the whole as a claim; other languages cite another text, each fifth links to no note."""
     d = D.table(spark, sf, "documents")
@@ -212,7 +220,7 @@ def tx_validate(spark, sf):
     create = F.to_json(F.struct(F.lit("create_note").alias("op"), (F.col("doc_id") + 10**9).alias("id"), F.lit("t").alias("title"), F.col("text").alias("content"), claim.alias("claims")))
     link = F.to_json(F.struct(F.lit("create_link").alias("op"), F.col("doc_id").alias("src"), F.when(F.col("doc_id") % 5 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("dst"), F.lit("wikilink").alias("link_type")))
     tx = d.select(F.col("doc_id").alias("tx_id"), F.concat(F.lit("["), create, F.lit(","), link, F.lit("]")).alias("operations"))
-    return T.validate(tx, D.notes(spark, sf)).select("tx_id", "status")
+    return T.validate(tx, D.notes(spark, sf)).select("tx_id", F.col("operations").cast("int").alias("operations"), "status", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("SELECT user_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
