@@ -4,8 +4,9 @@
 at the expected place it resynchronises: it looks for the next header that is
 followed by an agreeing one (or by the end of the audio). Layers I to III of MPEG 1,
 2 and 2.5 are walked; free-format frames count as junk. Frame checksums are
-verified for Layer III, whose covered bytes lie at a fixed place; the bitrate
-table's own checksum is verified too.
+verified for all three layers: those of Layer III cover bytes at a fixed place, those of
+Layers I and II the bit allocation and, in Layer II, what selects the scale factors.
+The bitrate table's own checksum is verified too.
 
 ``carry`` is the inverse used to store any bytes losslessly: constant-bitrate
 MPEG-2 Layer III frames with checksums, silent side information and 576 bytes of
@@ -68,6 +69,47 @@ def frame_crc(covered: bytes) -> int:
     return c
 
 
+def _allocation(h: bytes) -> tuple[list[int], int, int]:
+    """For Layers I and II, from four header bytes: the width of each subband's allocation, the channels, and the subbands that have one for each."""
+    version, layer, mode = {0: 2.5, 2: 2, 3: 1}[h[1] >> 3 & 3], 4 - (h[1] >> 1 & 3), h[3] >> 6
+    channels = 1 if mode == 3 else 2
+    if layer == 1:
+        widths = [4] * 32
+    else:
+        rate, each = RATES[version][h[2] >> 2 & 3], KBPS[int(version != 1), 2][(h[2] >> 4) - 1] // channels
+        # fixed values of the standards: subbands by the width of their allocation
+        if version != 1:
+            widths = [4] * 4 + [3] * 7 + [2] * 19
+        elif each <= 48:
+            widths = [4] * 2 + [3] * (10 if rate == 32000 else 6)
+        else:
+            widths = [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or rate == 48000 else 7)
+    bound = min(4 * ((h[3] >> 4 & 3) + 1), len(widths)) if mode == 1 else len(widths)
+    return widths, channels, bound
+
+
+def allocation_crc(frame: bytes) -> int | None:
+    """The checksum that a protected frame of Layer I or II should have; None if it is cut short."""
+    widths, channels, bound = _allocation(frame[:4])
+    bits = int.from_bytes(frame[6:134])
+    have, at, used = 8 * len(frame[6:134]), 0, 0
+    for i, w in enumerate(widths):
+        for _ in range(channels if i < bound else 1):
+            if at + w > have:
+                return None
+            # above the bound one allocation stands for both channels
+            used += (bits >> have - at - w & (1 << w) - 1 > 0) * (1 if i < bound else channels)
+            at += w
+    if 4 - (frame[1] >> 1 & 3) == 2:
+        at += 2 * used
+    if at > have:
+        return None
+    c = frame_crc(frame[2:4] + frame[6 : 6 + at // 8])
+    for k in range(at // 8 * 8, at):
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15 ^ bits >> have - k - 1) & 1 else 0)
+    return c
+
+
 def tag_crc(data: bytes) -> int:
     c = 0
     for b in data:
@@ -175,8 +217,9 @@ def scan(data: bytes) -> dict:
             continue
         n, samples, rate, version, layer, crc, side, kbps = h
         like = h[2:5]
-        if layer == 3 and crc:
-            good = frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6])
+        if crc:
+            should = frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) if layer == 3 else allocation_crc(data[at : at + n])
+            good = should == int.from_bytes(data[at + 4 : at + 6])
             out["crc_ok" if good else "crc_bad"] += 1
         table = read_table(data[at : at + n], h) if first and layer == 3 else None
         if first:
@@ -259,7 +302,11 @@ def store_text(df: DataFrame, col: str = "text", media: str = "media") -> DataFr
 
 
 def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
-    """Digests of stored streams made by store_text, all from the stored bytes; ``media`` itself is left out."""
+    """Digests of stored streams made by store_text, all from the stored bytes; ``media`` itself is left out.
+
+    Null counts as empty. A stream without audio frames carries nothing: no payload, and the feature "none"; one
+    that does not say how long its text is has a null n_bytes. Columns named like the new ones are replaced.
+    """
 
     def read(rows: list[bytes]) -> list[tuple]:
         out = []
@@ -268,8 +315,9 @@ def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
             back = carried(data, s["offsets"])
             t = s["table"] or {}
             whole = t.get("frames") == len(s["offsets"]) and t.get("crc_ok")
-            feature = f"mpeg{s['version']:g}-layer{s['layer']};rate={s['rate']};kbps={s['kbps_min']}-{s['kbps_max']};frames={len(s['offsets'])};samples={s['samples']};seconds={s['seconds']};crc={s['crc_ok']}/{s['crc_ok'] + s['crc_bad']};table={t.get('kind')}:{'ok' if whole else 'bad'};junk={s['junk']};first={s['offsets'][0]};last={s['offsets'][-1]};offsets={hashlib.sha256(np.array(s['offsets'], '<i8').tobytes()).hexdigest()[:16]}"
-            out.append((int(s["tags"]["TXXX:n_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, s["offsets"]))
+            feature = "none" if not s["offsets"] else f"mpeg{s['version']:g}-layer{s['layer']};rate={s['rate']};kbps={s['kbps_min']}-{s['kbps_max']};frames={len(s['offsets'])};samples={s['samples']};seconds={s['seconds']};crc={s['crc_ok']}/{s['crc_ok'] + s['crc_bad']};table={t.get('kind')}:{'ok' if whole else 'bad'};junk={s['junk']};first={s['offsets'][0]};last={s['offsets'][-1]};offsets={hashlib.sha256(np.array(s['offsets'], '<i8').tobytes()).hexdigest()[:16]}"
+            said = s["tags"].get("TXXX:n_bytes", "")
+            out.append((int(said) if said.isascii() and said.isdigit() and len(said) < 19 else None, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, s["offsets"]))
         return out
 
     fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("frame_offsets", T.ArrayType(T.LongType()))]
