@@ -20,14 +20,16 @@ from .tool_calls import link_tool_calls
 
 
 #: Bytes of text a shard holds at most.
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 1024 * 1024
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text stored as MPEG audio, read back and described."""
     return media_round_trip(table(spark, sf_dir, "documents"))
 
 
 def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document by its id, none over SHARD_BYTES; ``sharding.directory`` of it is the directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
     return extendible_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
 
@@ -46,32 +48,39 @@ SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, 's' || substr(lpad(bin(
 
 
 def op3_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of fixed patterns and of inferred formats in each text."""
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base rules, and the verdict by the likelihood ratio against documents labelled good and not toxic."""
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), good).drop("text")
 
 
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each document's set of 4-word shingles and its component of links of 85 in a hundred."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def op7_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score and prediction of each document by its nearest labelled ones."""
     return vote_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -101,6 +110,7 @@ def conversation_calls(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of the conversations, linked, ordered, checked and serialised."""
     calls, answers = conversation_calls(table(spark, sf_dir, "conversations"))
     return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
 

@@ -9,7 +9,7 @@ that still don't fit are cut on further bits from their rows.
 
 Rows that share all bits of the key's hash (a hot key) are split on the bits of a
 hash of their row id columns, and rows that share those too (repeated rows) on the
-bits of a hash of their place in the stored table. So every shard fits, except one that
+bits of a hash of their place in the stored table, so which of equal rows is where goes by the layout of the files. So every shard fits, except one that
 holds a single row over the limit.
 """
 
@@ -79,6 +79,23 @@ def extendible_shards(df: DataFrame, key: str, n_bytes: Column, limit: int) -> D
     return reduce(DataFrame.unionByName, found)
 
 
+def directory(sharded: DataFrame) -> DataFrame:
+    """(shard, depth, n_rows, n_bytes, first, slots) of the result of ``extendible_shards``: the directory, one row for each shard.
+
+    The directory has 2 ** (the greatest depth) slots, as a shard's depth within the hash that
+    it was split on last says; ``first`` is the first slot of a shard and ``slots`` how many point to it, both as
+    exact decimals. A key's slot is the number of its first bits, so the row with first <= slot < first + slots has its shard.
+    """
+    last = F.substring_index("shard", ".", -1)
+    bits = F.when(F.col("shard").contains("."), last).otherwise(F.substring("shard", 2, BITS))
+    shards = sharded.groupBy("shard", "depth").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
+    shards = shards.withColumn("bits", bits).withColumn("path", F.when(F.col("shard").contains("."), F.regexp_extract("shard", r"^(.*)\.", 1)).otherwise("s"))
+    whole = shards.groupBy("path").agg(F.max(F.length("bits")).alias("most"))
+    out = shards.join(whole, "path").withColumn("slots", F.pow(F.lit(2.0), F.col("most") - F.length("bits")).cast("decimal(20,0)"))
+    first = F.conv(F.rpad("bits", F.col("most"), F.lit("0")), 2, 10).cast("decimal(20,0)")
+    return out.select("shard", "depth", "n_rows", "n_bytes", F.coalesce(first, F.lit(0).cast("decimal(20,0)")).alias("first"), "slots")
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder of Parquet files for each shard; a shard's rows are written by the task that holds them."""
     sharded.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
