@@ -209,6 +209,59 @@ def test_mpeg_headers():
     assert mpeg.header(b"\xff\xff\xff\xff") is None and mpeg.header(b"\xff\xfb\x00\x00") is None
 
 
+def _protected(head, body):
+    """A frame of Layer I or II with its checksum, from header bytes and the bits after the checksum, by plain polynomial division."""
+    n = mpeg.header(head)[0]
+    c = 0xFFFF
+    for bit in f"{head[2]:08b}{head[3]:08b}" + body:
+        c = ((c << 1) ^ (0x8005 if (c >> 15) ^ int(bit) else 0)) & 0xFFFF
+    rest = body + "0" * (-len(body) % 8)
+    return (head + c.to_bytes(2) + bytes(int(rest[i : i + 8], 2) for i in range(0, len(rest), 8))).ljust(n, b"\x55")
+
+
+def test_checksums_of_layers_1_and_2():
+    r = random.Random(8)
+    cases = []
+    for _ in range(3):
+        cases += [
+            (b"\xff\xfe\x90\xc0", [(4, 1, 1)] * 32, False),  # MPEG 1, Layer I, mono
+            (b"\xff\xfe\x90\x50", [(4, 2, 1)] * 8 + [(4, 1, 2)] * 24, False),  # Layer I, joint stereo, bound 8
+            (b"\xff\xfc\x10\xc0", [(4, 1, 1)] * 2 + [(3, 1, 1)] * 6, True),  # Layer II, 32 kbit/s mono, 44.1 kHz
+            (b"\xff\xfc\x18\xc0", [(4, 1, 1)] * 2 + [(3, 1, 1)] * 10, True),  # the same at 32 kHz
+            (b"\xff\xfc\xa0\x00", [(4, 2, 1)] * 11 + [(3, 2, 1)] * 12 + [(2, 2, 1)] * 7, True),  # 192 kbit/s stereo
+            (b"\xff\xfc\xa4\x00", [(4, 2, 1)] * 11 + [(3, 2, 1)] * 12 + [(2, 2, 1)] * 4, True),  # the same at 48 kHz
+            (b"\xff\xfc\xa0\x40", [(4, 2, 1)] * 4 + [(4, 1, 2)] * 7 + [(3, 1, 2)] * 12 + [(2, 1, 2)] * 7, True),  # joint stereo, bound 4
+            (b"\xff\xf4\x80\xc0", [(4, 1, 1)] * 4 + [(3, 1, 1)] * 7 + [(2, 1, 1)] * 19, True),  # MPEG 2
+        ]
+    for head, bands, second in cases:
+        body, used = "", 0
+        for width, fields, stands_for in bands:
+            for _ in range(fields):
+                v = r.randrange(1 << width)
+                body += f"{v:0{width}b}"
+                used += (v > 0) * stands_for
+        if second:
+            body += "".join(r.choice("01") for _ in range(2 * used))
+        frame = _protected(head, body)
+        s = mpeg.scan(frame * 3)
+        assert (len(s["offsets"]), s["crc_ok"], s["crc_bad"]) == (3, 3, 0), head
+        worse = bytearray(frame * 3)
+        worse[6] ^= 64
+        assert mpeg.scan(bytes(worse))["crc_bad"] == 1
+
+
+def test_media_edges(spark):
+    """Foreign and empty streams, clashing columns, empty tables and a very long text."""
+    df = spark.createDataFrame([(1, bytearray(b"no audio"), "x"), (2, None, "x"), (3, bytearray(b"\xff\xfb\x90\x00".ljust(417, b"\0") * 3), "x")], "doc_id long, media binary, feature string")
+    got = {r["doc_id"]: r for r in mpeg.media_digest(df).collect()}
+    assert got[1]["n_bytes"] is None and got[1]["payload_bytes"] == 0 and got[1]["feature"] == got[2]["feature"] == "none"
+    assert got[3]["n_bytes"] is None and got[3]["feature"].startswith("mpeg1-layer3")
+    assert mpeg.media_round_trip(rows(spark, [])).collect() == []
+    long = "lang " * 400_000
+    got = mpeg.media_round_trip(rows(spark, [long, "x"], n_bytes="clash", media="clash")).orderBy("doc_id").collect()
+    assert got[0]["n_bytes"] == len(long) and got[0]["payload_sha256"] == hashlib.sha256(mpeg.pad(long.encode())).hexdigest() and got[1]["n_bytes"] == 1
+
+
 def test_media_query(spark):
     every = ["abc", "", None, "é" * 400, "abc"]
     got = {r["doc_id"]: r for r in mpeg.media_round_trip(rows(spark, every)).collect()}
@@ -245,6 +298,23 @@ def test_shards_fit_and_are_shortest(spark):
     assert sharding.extendible_shards(df.limit(0), "k", F.col("b"), 1000).count() == 0
 
 
+def test_directory_of_shards(spark):
+    df = spark.createDataFrame([(k, f"r{i}", "clash") for i, k in enumerate([*range(200)] + [7] * 60 + [None] * 3)], "k long, r string, shard string")
+    sharded = sharding.extendible_shards(df, "k", F.lit(100), 1000)
+    got = sharding.directory(sharded).collect()
+    rows_ = sharded.collect()
+    assert sum(r["n_rows"] for r in got) == len(rows_) == 263 and all(r["n_bytes"] <= 1000 or r["n_rows"] == 1 for r in got)
+    top = [r for r in got if "." not in r["shard"]]
+    most = max(len(r["shard"]) - 1 for r in top)
+    taken = sorted((int(r["first"]), int(r["slots"])) for r in top)
+    assert all(a + n <= b for (a, n), (b, _) in zip(taken, taken[1:], strict=False)) and taken[-1][0] + taken[-1][1] <= 1 << most
+    for r in rows_:
+        if "." not in r["shard"] and r["k"] is not None:
+            slot = int(hashlib.md5(str(r["k"]).encode()).hexdigest()[:15], 16) >> (60 - most)
+            assert [t["shard"] for t in top if t["first"] <= slot < t["first"] + t["slots"]] == [r["shard"]]
+    assert sharding.directory(sharded.limit(0)).collect() == []
+
+
 # ---- secrets ----
 
 
