@@ -177,11 +177,15 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, col: str = "text")
 
 
 def decode_bpe(df: DataFrame, ranks_path: str, pattern: str, col: str = "ids") -> DataFrame:
-    """``df`` without ``col``, plus decoded (binary): the bytes that ids stand for; null ids give no bytes."""
+    """``df`` without ``col``, plus decoded (binary): the bytes that ids stand for; null ids, and ids that are none, give no bytes.
+
+    Repeated rows and extra columns pass through; a column named decoded is replaced.
+    """
 
     def make():
         c = codec(ranks_path, pattern)
-        return lambda rows: [(b"".join(map(c.bytes_of.__getitem__, x)),) for x in rows]
+        n = len(c.bytes_of)
+        return lambda rows: [(b"".join(c.bytes_of[i] for i in x if i is not None and 0 <= i < n),) for x in rows]
 
     return with_columns(df, col, [("decoded", T.BinaryType())], make, null=[], drop=True)
 

@@ -339,27 +339,25 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     offset of the input are replaced.
     """
     spark = items.sparkSession
-    items = items.drop("sequence_id", "offset")
-    keys = [c for c in items.columns if c != "length"]
-    part = F.pmod(F.xxhash64(*keys), F.lit(RANK_PARTS)).cast("int") if keys else F.lit(0)
-    items = items.withColumn("_part", part)
-    counts = items.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    sums = counts.collect()  # capacity * RANK_PARTS rows at most
+    names = [c for c in items.columns if c not in ("length", "sequence_id", "offset")]
+    # the row itself is one column, so that none of its names can clash with those used here
+    row = F.struct(*names) if names else F.struct(F.lit(0).alias("none"))
+    items = items.select(row.alias("row"), F.col("length").cast("long").alias("length")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(RANK_PARTS)).cast("int"))
+    sums = items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * RANK_PARTS rows at most
     hist: defaultdict[int, int] = defaultdict(int)
     firsts = []
-    for r in sorted(sums, key=lambda r: (r["length"], r["_part"])):
-        firsts.append((r["length"], r["_part"], hist[r["length"]]))
-        hist[r["length"]] += r["_n"]
+    for r in sorted(sums, key=lambda r: (r["length"], r["part"])):
+        firsts.append((r["length"], r["part"], hist[r["length"]]))
+        hist[r["length"]] += r["n"]
     places = intervals(plan(dict(hist), capacity))
-    first = spark.createDataFrame(firsts, "length long, _part int, _first long")
-    at = spark.createDataFrame(places, "length long, _lo long, _hi long, _base long, offset long")
-    by = Window.partitionBy("length", "_part").orderBy(*keys) if keys else Window.partitionBy("length", "_part").orderBy("length")
-    ranked = items.withColumn("_rn", F.row_number().over(by) - 1).join(F.broadcast(first), ["length", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rn") + F.col("_first"))
+    first = spark.createDataFrame(firsts, "length long, part int, first long")
+    at = spark.createDataFrame(places, "length long, lo long, hi long, base long, place long")
+    ranked = items.withColumn("i", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1).join(F.broadcast(first), ["length", "part"])
+    ranked = ranked.withColumn("rank", F.col("i") + F.col("first"))
     # Each length's intervals as one sorted array, so that a hot length is one probe and no fan-out.
-    arrays = at.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_hi", "_lo", "_base", "offset"))).alias("_places"))
-    placed = ranked.join(F.broadcast(arrays), "length").withColumn("_p", F.element_at(F.filter("_places", lambda p: (p["_lo"] <= F.col("_rank")) & (F.col("_rank") < p["_hi"])), 1))
-    return placed.select(*keys, "length", (F.col("_p._base") + F.col("_rank") - F.col("_p._lo")).alias("sequence_id"), F.col("_p.offset").alias("offset"))
+    arrays = at.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("hi", "lo", "base", "place"))).alias("places"))
+    placed = ranked.join(F.broadcast(arrays), "length").withColumn("p", F.element_at(F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"])), 1))
+    return placed.select(*(F.col("row")[c].alias(c) for c in names), "length", (F.col("p.base") + F.col("rank") - F.col("p.lo")).alias("sequence_id"), F.col("p.place").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
