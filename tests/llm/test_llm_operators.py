@@ -42,6 +42,27 @@ def test_bpe_equals_library(texts):
         assert c.decode(x) == t.encode()
 
 
+def test_bpe_columns(spark, texts):
+    """Round trip and its digests on a table: null and repeated rows, clashing columns, ids that are none, an empty table."""
+    import tiktoken
+
+    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.codec(path, pattern).ranks, special_tokens={})
+    every = [*texts[:40], *ODD, None, texts[0]]
+    df = rows(spark, every, ids="clash", n_tokens="clash")
+    sums = {r["doc_id"]: r for r in bpe.bpe_round_trip(df, path, pattern).collect()}
+    coded = bpe.encode_bpe(df, path, pattern)
+    ids = {r["doc_id"]: r["ids"] for r in coded.collect()}
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_bpe(coded, path, pattern).collect()}
+    for i, t in enumerate(every):
+        want = lib.encode_ordinary(t or "")
+        assert ids[i] == want and back[i] == (t or "").encode()
+        assert (sums[i]["n_tokens"], sums[i]["ids_sha256"], sums[i]["decoded_sha256"]) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    odd = spark.createDataFrame([(1, [10**8, -1, None, ids[0][0]]), (2, None)], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_bpe(odd, path, pattern).collect()} == {1: lib.decode_single_token_bytes(ids[0][0]), 2: b""}
+    assert bpe.bpe_round_trip(rows(spark, []), path, pattern).collect() == []
+
+
 def test_replay_lower_ranks_first():
     """A merge that makes a pair of lower rank waits for it, as alone."""
     letters = {bytes([i]): i for i in range(256)}
@@ -78,6 +99,9 @@ def test_token_counts_equal_library(spark, texts):
         n = len(sp.encode(t))
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len(t.encode()), n > 100)
     assert got[len(every)]["n_tokens"] == 0
+    again = token_counts.token_counts(rows(spark, [texts[0], texts[0]], n_tokens="clash"), path, limit=100).collect()
+    assert [r["n_tokens"] for r in again] == [got[0]["n_tokens"]] * 2
+    assert token_counts.token_counts(rows(spark, []), path, limit=100).collect() == []
 
 
 def test_whole_tokens_are_proven():
@@ -167,6 +191,18 @@ def test_packing_of_nothing(spark):
     assert packing.pack_documents(rows(spark, []), P.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_packing_of_any_items(spark):
+    """Clashing names, nulls and repeated rows: each item has a place of its own."""
+    df = spark.createDataFrame([(i % 7 or None, 300 + i % 5, "x", 0) for i in range(200)], "part long, length int, row string, offset long")
+    got = packing.pack(df).collect()
+    assert sorted((r["part"] or 0, r["length"]) for r in got) == sorted((i % 7, 300 + i % 5) for i in range(200))
+    held = Counter()
+    for r in got:
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 1024 and len({(r["sequence_id"], r["offset"]) for r in got}) == 200 and len(held) == 67
+    assert len({r["sequence_id"] for r in packing.pack(df.select("length")).collect()}) == 67
+
+
 def test_linear_groups_are_equal():
     groups = packing.linear_groups({100: 10, 200: 10, 300: 10, 400: 10}, 4)
     assert [(s, sum(c for _, c in i)) for s, i in groups] == [(400, 10), (300, 10), (200, 10), (100, 10)]
@@ -760,3 +796,47 @@ def test_pipeline(spark):
     assert all(secrets.base_spans(t) == [] for t in kept.values())
     packed = c.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_stages_of_the_pipeline_by_brute_force(spark, texts):
+    """Each stage on odd rows: null ids and texts, repeated rows, and columns with the names that the operators use."""
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    every = [*texts, texts[5], None, "", texts[7]]
+    data = [(i, t, f"row {i}", "a", "b", "c", "d") for i, t in enumerate(every)] + [(3, texts[3], "row 3", "a", "b", "c", "d"), (None, texts[8], "no id", "a", "b", "c", "d"), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, kept string, score string, component_id string, n string, new string")
+
+    def same(name, want):
+        got = stages[name](spark, docs, SF)
+        assert got.columns == docs.columns
+        assert Counter(map(tuple, got.collect())) == Counter(want), name
+        assert stages[name](spark, docs.limit(0), SF).collect() == []
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = neighbours.fit(docs.select("doc_id", "text"), labels)
+    good = [float(model.score(neighbours.features(r[1] or "")[None, :])[0]) for r in data]
+    sure = [r for r, s in zip(data, good, strict=True) if abs(s - 0.3) > 1e-4]
+    docs = spark.createDataFrame(sure, docs.schema)
+    again = neighbours.fit(docs.select("doc_id", "text"), labels)
+    same("quality classifier", [r for r in sure if again.score(neighbours.features(r[1] or "")[None, :])[0] >= 0.3])
+
+    docs = spark.createDataFrame(data, docs.schema)
+    sets = [_shingles(r[1], 5) for r in data]
+    own = [i for i, r in enumerate(data) if r[0] is not None]
+    group = _components([sets[i] for i in own], 80)
+    least = {}
+    for k, i in enumerate(own):
+        least[group[k]] = min(least.get(group[k], data[i][0]), data[i][0])
+    want = {data[i] for k, i in enumerate(own) if data[i][0] == least[group[k]]}
+    same("n-gram Jaccard join", [*want, *(r for r in data if r[0] is None)])
+
+    scan = secrets.scanner(secrets.infer_automata({k: v for k, v in secrets.harvest(docs).items() if v}), secrets.THRESHOLD)
+    same("secret scans", [(r[0], None if r[1] is None else secrets.redacted(r[1], scan(r[1])[1]), *r[2:]) for r in data])
+
+    kept = {r["doc_id"] for r in stages["quality rules"](spark, docs, SF).collect()}
+    failed = {r[0] for r in data if _brute(r[1] or "")[5]}
+    assert not kept & failed - {None} and len(kept) >= 0.9 * len({r[0] for r in data} - failed)
+    assert stages["quality rules"](spark, docs.limit(0), SF).collect() == [] and stages["best-fit packing"](spark, docs.limit(0), SF).collect() == []
+    pieces = stages["best-fit packing"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in data} and sum(r["start"] == 0 for r in pieces) == len(data)
