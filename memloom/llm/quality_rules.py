@@ -48,60 +48,58 @@ def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def ngram_counts(docs: DataFrame, n: int = BUCKETS) -> dict[int, int]:
-    """How often each hash bucket of words and word pairs occurs in the texts of ``docs``."""
-    w = docs.select(words(F.coalesce("text", F.lit(""))).alias("w")).select("w", F.posexplode("w").alias("i", "x"))
-    one = F.expr(f"cast(pmod(xxhash64(x), {n}) as int)")
-    two = F.expr(f"case when i + 1 < size(w) then cast(pmod(xxhash64(xxhash64(x), xxhash64(w[i + 1])), {n}) as int) end")
-    b = w.select(F.explode(F.array(one, two)).alias("b")).filter("b is not null")
-    return dict(map(tuple, b.groupBy("b").count().collect()))
-
-
 def buckets(g: str, n: int = BUCKETS) -> Column:
     """The hash buckets of words and word pairs, from the array ``g`` of the words' hashes."""
     return F.expr(f"""concat(transform({g}, x -> cast(pmod(x, {n}) as int)),
         case when size({g}) > 1 then transform(sequence(0, size({g}) - 2), i -> cast(pmod(xxhash64({g}[i], {g}[i + 1]), {n}) as int)) else cast(array() as array<int>) end)""")
 
 
-def mean_ratio(b: str, half: Column, model: Column, n: int = BUCKETS) -> Column:
-    """The mean of the weights of the n-grams in the array ``b`` of buckets, by the model of one half; 0 without any."""
-    return F.aggregate(b, F.lit(0.0), lambda a, x: a + model[x + half * F.lit(n)], lambda a: a / F.greatest(F.size(b), F.lit(1)))
+def mean_ratio(b: str, half: Column, models: list[Column]) -> Column:
+    """The mean of the weights of the n-grams in the array ``b`` of buckets, by the model of the row's half (a column that has been computed before); 0 without any."""
+
+    def mean(model: Column) -> Column:
+        return F.aggregate(b, F.lit(0.0), lambda a, x: a + model[x], lambda a: a / F.greatest(F.size(b), F.lit(1)))
 
+    return F.when(half == 0, mean(models[0])).otherwise(mean(models[1]))
 
-def fit(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> tuple[Column, float]:
-    """The weights, ``n`` for each fold's documents, as a constant array, and the threshold.
+
+def fit(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> tuple[list[Column], float]:
+    """The ``n`` weights for each fold's documents, as constant arrays, and the threshold.
 
     ``docs`` has doc_id and text; ``trusted`` has the doc_id of the target's documents. All documents are counted.
     The trusted ones are reached by a join of their bucket arrays, so no text is shuffled; the driver gets the
     sums of the buckets and the trusted scores in steps of a thousandth, some ten thousand rows at most.
     """
     scratch = Scratch(docs.sparkSession)
-    raw = ngram_counts(docs, n)
-    total = sum(raw.values()) + n
     text = F.coalesce("text", F.lit(""))
+    counted = docs.select(F.transform(words(text), lambda x: F.xxhash64(x)).alias("g")).select(F.explode(buckets("g", n)).alias("b"))
+    raw = dict(map(tuple, counted.groupBy("b").count().collect()))
+    total = sum(raw.values()) + n
     # always by shuffle: the trusted ids grow with the corpus, so a broadcast that works on small tables is none here
     ids = trusted.select(F.col("doc_id").cast("long").alias("id")).distinct().hint("shuffle_hash")
     hashed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), fold(text).alias("f"), F.transform(words(text), lambda x: F.xxhash64(x)).alias("g"))
-    good = scratch.write(hashed.select("id", "f", buckets("g", n).alias("b")).join(ids, "id", "left_semi").select("f", "b"), "good")
+    # buckets travel in two bytes each
+    small = hashed.select("id", "f", F.transform(buckets("g", n), lambda x: (x - n // 2).cast("short" if n <= 1 << 16 else "int")).alias("b"))
+    good = scratch.write(small.join(ids, "id", "left_semi").select("f", F.transform("b", lambda x: x.cast("int") + n // 2).alias("b")), "good")
     half: dict[int, dict[int, int]] = {k: {} for k in range(FOLDS)}
     for r in good.select("f", F.explode("b").alias("b")).groupBy("f", "b").count().collect():
         half[r["f"]][r["b"]] = r["count"]
-    ratio = []
+    share = [(raw.get(b, 0) + 1) / total for b in range(n)]
+    models = []
     for k in range(FOLDS):
         seen = [sum(half[j].get(b, 0) for j in range(FOLDS) if j != k) for b in range(n)]
         size = sum(seen) + PRIOR
-        share = [(raw.get(b, 0) + 1) / total for b in range(n)]
-        ratio += [round(math.log((c + PRIOR * p) / size / p), 4) for c, p in zip(seen, share, strict=True)]
-    # a JSON text folds into one array constant; a column of that many values would be copied with every row
-    model = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
-    steps = good.filter("size(b) > 0").groupBy(F.round(mean_ratio("b", F.col("f"), model, n), 3).alias("s")).count().orderBy("s").collect()
+        ratio = [round(math.log((c + PRIOR * p) / size / p), 4) for c, p in zip(seen, share, strict=True)]
+        # a JSON text folds into one array constant; a column of that many values would be copied with every row
+        models.append(F.from_json(F.lit(json.dumps(ratio)), "array<double>"))
+    steps = good.filter("size(b) > 0").groupBy(F.round(mean_ratio("b", F.col("f"), models), 3).alias("s")).count().orderBy("s").collect()
     scratch.drop("good")
     under = sum(r["count"] for r in steps) // TRUSTED_UNDER
     for r in steps:
         under -= r["count"]
         if under < 0:
-            return model, min(threshold, r["s"] - 0.0005)
-    return model, threshold
+            return models, min(threshold, r["s"] - 0.0005)
+    return models, threshold
 
 
 def repeat_words(h: str) -> Column:
@@ -140,10 +138,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*new)
     text = F.coalesce("text", F.lit(""))
-    model, least = fit(docs, trusted, threshold)
+    models, least = fit(docs, trusted, threshold)
     # the row itself is one column, so that none of its names can clash with those used here
     d = docs.select(F.struct("*").alias("doc"), text.alias("text"), words(text).alias("w"))
-    d = d.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("g")).select("*", windows("g").alias("h"), buckets("g").alias("b"))
+    d = d.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("g")).select("*", windows("g").alias("h"), buckets("g").alias("b"), fold(F.col("text")).alias("f"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
     d = d.select(
         "doc",
@@ -152,7 +150,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words("h").alias("n_repeat_words"),
-        mean_ratio("b", fold(F.col("text")), model).alias("llr"),
+        mean_ratio("b", F.col("f"), models).alias("llr"),
     ).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     # always true, but not to be computed twice: a filter on kept that were pushed below would repeat the arrays within each other's lambdas
     once = F.monotonically_increasing_id() >= 0
