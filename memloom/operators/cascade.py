@@ -1,7 +1,8 @@
 """Cascade memory dynamics: coupled levels that are driven by accesses and leak over time.
 
 Between two accesses the system is linear, so ``n`` Euler steps of equal size are one
-matrix power. A note's accesses are folded in order; notes are what spreads the work.
+matrix power, and in the basis of the matrix' eigenvectors one power of each eigenvalue,
+which is computed for whole batches of accesses. A note's accesses are folded in order; notes are what spreads the work.
 """
 
 from __future__ import annotations
@@ -50,6 +51,20 @@ class Cascade:
         n = min(max(int(np.ceil(dt / (self.base_seconds / (8 * self.coupling)))), 1), MAX_STEPS)
         return np.linalg.matrix_power(np.eye(self.levels) + self.generator() * (dt / n), n) @ u
 
+    def modes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Eigenvalues and eigenvectors of the generator, which is similar to a symmetric matrix, so both are real."""
+        values, vectors = np.linalg.eig(self.generator())
+        return values.real, vectors.real
+
+    def fading(self, dt: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What is left of each mode after each of the times, one row for each: as ``advance`` does it."""
+        n = np.clip(np.ceil(dt / (self.base_seconds / (8 * self.coupling))), 1, MAX_STEPS)
+        left = (1 + values * (dt / n)[:, None]) ** n[:, None]
+        if self.leaky:
+            left[dt > 10 * self.base_seconds * self.ratio ** (self.levels - 1) / self.coupling] = 0
+        left[dt <= 0] = 1
+        return left
+
     def replay(self, times: list[float], now: float) -> np.ndarray:
         """Levels at ``now`` after accesses at ``times`` (sorted)."""
         u, at = np.zeros(self.levels), None
@@ -70,29 +85,34 @@ def salience(accesses: DataFrame, now: Column, config: Cascade = Cascade()) -> D
     rows = accesses.filter("note_id is not null and accessed_at is not null").select("note_id", F.unix_micros("accessed_at").alias("t"), F.unix_micros(now).alias("now"))
 
     def run(batches):
-        note, u, at, n, end = None, None, 0, 0, 0
-        names = ["note_id", "accesses", "last", "levels"]
+        values, vectors = config.modes()
+        pulse = np.linalg.solve(vectors, np.eye(config.levels)[0] * config.pulse)
+        note, u, at, n, end = None, np.zeros(config.levels), 0, 0, 0
 
-        def row(out):
-            if note is not None:
-                out.append((note, n, at, config.advance(u, (end - at) / 1e6).tolist()))
+        def rows_of(out: list[tuple]) -> pa.RecordBatch:
+            ids, counts, last, modes, ends = zip(*out, strict=True)
+            levels = (np.array(modes) * config.fading((np.array(ends) - np.array(last)) / 1e6, values)) @ vectors.T
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(last, pa.int64()), pa.array(levels.tolist(), pa.list_(pa.float64()))], names=["note_id", "accesses", "last", "levels"])
 
         for b in batches:
+            ids, t = b.column(0).to_pylist(), b.column(1).to_numpy()
+            if not ids:
+                continue
+            now_ = b.column(2)[0].as_py()
+            left = config.fading(np.diff(t, prepend=at) / 1e6, values)
             out: list[tuple] = []
-            for i, t, now_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if i != note:
-                    row(out)
-                    note, u, n = i, np.zeros(config.levels), 0
+            for i, name in enumerate(ids):
+                if name != note:
+                    if note is not None:
+                        out.append((note, n, at, u, end))
+                    note, u, n = name, pulse, 0
                 else:
-                    u = config.advance(u, (t - at) / 1e6)
-                u[0] += config.pulse
-                at, n, end = t, n + 1, now_
+                    u = u * left[i] + pulse
+                at, n, end = int(t[i]), n + 1, now_
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=names)
-        out = []
-        row(out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=names)
+                yield rows_of(out)
+        if note is not None:
+            yield rows_of([(note, n, at, u, end)])
 
     got = rows.repartition("note_id").sortWithinPartitions("note_id", "t").mapInArrow(run, "note_id long, accesses long, last long, levels array<double>")
     mean = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x) / F.size("levels")

@@ -9,7 +9,7 @@ from ..functions.text import truncate_bytes
 from ..session import materialize
 from .graph import degrees
 from .pairs import components
-from .search import phrase_search
+from .search import nearest_between, phrase_search
 
 
 def context_diversity(accesses: DataFrame, full: int = 8) -> DataFrame:
@@ -130,15 +130,9 @@ def mean_similarity(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def nearest_schema(centres: DataFrame, schemas: DataFrame, least: float = 0.82) -> DataFrame:
-    """(cluster, schema_id, similarity, decision): the most similar schema of each cluster; patch it if similar enough, else create one.
-
-    ``schemas`` (schema_id, vector) are few by nature; each pair is one row of a join on a constant key.
-    """
-    k = F.lit(1).alias("_k")
-    p = centres.select("cluster", "centroid", k).join(schemas.select("schema_id", "vector", k), "_k")
-    s = p.select("cluster", "schema_id", F.round(cosine(F.col("centroid"), F.col("vector")), 6).alias("similarity"))
-    w = Window.partitionBy("cluster").orderBy(F.desc("similarity"), "schema_id")
-    best = s.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    """(cluster, schema_id, similarity, decision): the most similar schema (schema_id, vector) of each cluster (cluster, centroid); patch it if similar enough, else create one."""
+    near = nearest_between(centres.select(F.col("cluster").alias("query_id"), F.col("centroid").alias("vector")), schemas.select(F.col("schema_id").alias("id"), F.col("vector").alias("embedding")))
+    best = near.select(F.col("query_id").alias("cluster"), F.col("id").alias("schema_id"), F.col("score").alias("similarity"))
     return best.withColumn("decision", F.when(F.col("similarity") >= least, "patch").otherwise("create"))
 
 

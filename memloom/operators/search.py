@@ -196,6 +196,47 @@ def nearest_each(vectors: DataFrame, k: int = 10) -> DataFrame:
     return top(hits, k, ascending=True)
 
 
+def nearest_between(queries: DataFrame, vectors: DataFrame, k: int = 1) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` of (id, embedding) with the highest cosine to each of (query_id, vector), exactly.
+
+    Both tables may be large: each block of queries meets each block of vectors in one task, and only the best ``k`` of
+    each block, with all that tie, are shuffled. Vectors of another width, and null ones, are never near; the cosine with a zero vector is 0.
+    """
+    q = queries.filter("vector is not null").select(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    x = vectors.filter("embedding is not null").select(F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    m, n = (max(1, -(-d.count() // MEETING_BLOCK)) for d in (q, x))
+    q = q.select(F.pmod(F.xxhash64("id"), F.lit(m)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("q"), "side", "id", "v")
+    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("p"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("q"), "side", "id", "v")
+
+    def compare(rows: list[tuple]):
+        sides: list[dict[int, list]] = [{}, {}]
+        for _, _, side, name, v in rows:
+            sides[side].setdefault(len(v), []).append((name, v))
+        for width, left in sides[0].items():
+            right = sides[1].get(width)
+            if not right or not width:
+                continue
+            a, b = np.array([r[1] for r in left], float), np.array([r[1] for r in right], float)
+            size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+            sim = np.clip(np.divide(a @ b.T, size, out=np.zeros((len(a), len(b))), where=size > 0), -1, 1).round(6)
+            last = np.partition(-sim, k - 1, axis=1)[:, k - 1] if sim.shape[1] > k else np.full(len(sim), np.inf)
+            i, j = np.nonzero(-sim <= last[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([left[t][0] for t in i], pa.int64()), pa.array([right[t][0] for t in j], pa.int64()), pa.array(sim[i, j], pa.float64())], names=["query_id", "id", "score"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:2] != now:
+                    yield from compare(rows)
+                    now, rows = r[:2], []
+                rows.append(r)
+        yield from compare(rows)
+
+    met = q.unionByName(x).repartition("p", "q").sortWithinPartitions("p", "q")
+    return top(met.mapInArrow(run, "query_id long, id long, score double"), k)
+
+
 def reciprocal_rank_fusion(fts: DataFrame, semantic: DataFrame, limit: int = 10, fts_weight: float = 0.5, k: int = 60) -> DataFrame:
     """(query_id, id, score, match_source, rank) from two ranked lists, each cut at twice the limit."""
     a = fts.filter(F.col("rank") <= 2 * limit).select("query_id", "id", (fts_weight / (k + F.col("rank"))).alias("s"), F.lit(1).alias("src"))
