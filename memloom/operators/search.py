@@ -205,8 +205,8 @@ def nearest_between(queries: DataFrame, vectors: DataFrame, k: int = 1) -> DataF
     q = queries.filter("vector is not null").select(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
     x = vectors.filter("embedding is not null").select(F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     m, n = (max(1, -(-d.count() // MEETING_BLOCK)) for d in (q, x))
-    q = q.select(F.pmod(F.xxhash64("id"), F.lit(m)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("q"), "side", "id", "v")
-    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("p"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("q"), "side", "id", "v")
+    q = q.select(F.pmod(F.xxhash64("id"), F.lit(m)).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("q"), "side", "id", "v")
+    x = x.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("q"), "side", "id", "v")
 
     def compare(rows: list[tuple]):
         sides: list[dict[int, list]] = [{}, {}]
