@@ -9,6 +9,9 @@ from ..operators import consolidate as C
 from ..operators import graph as G
 from ..operators import schemas as P
 from ..operators import search as S
+from ..operators.integrity import new_sources
+from ..operators.notes import cascade_delete
+from ..operators.pairs import auto_links as auto_link_rows
 from ..session import materialize
 from ..sources import testdata as D
 from ..sources.testdata import SQL, with_views
@@ -16,6 +19,7 @@ from .memory_queries import LEAST, NOW
 from .search_queries import _FTS, _HYBRID, _TOK, _hybrid, _plain
 from .search_queries import O as SEARCH_SQL
 from .search_queries import contradictions as find_contradictions
+from .search_queries import smart_links as suggest_links
 
 Q, O = {}, {}
 
@@ -236,3 +240,33 @@ def graph_json(spark, sf):
 @query(f"{with_views('links')} SELECT src AS a, dst AS b, '  Doc ' || src || ' ──[' || link_type || ']──> Doc ' || dst AS line FROM links")
 def graph_text(spark, sf):
     return G.to_text(D.notes(spark, sf), D.links(spark, sf))
+
+
+# ---- upserts and deletions ----
+
+
+@query(f"SELECT source AS src, target AS dst, 'ai_suggested' AS link_type FROM ({SEARCH_SQL['smart_links']}) WHERE confidence >= 0.7")
+def auto_links(spark, sf):
+    """Suggested links that are sure enough to be made."""
+    return auto_link_rows(suggest_links(spark, sf))
+
+
+@query("SELECT min(doc_id) AS id, source AS uri, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL GROUP BY source, sha256(text)")
+def source_upsert(spark, sf):
+    """Documents as sources: of equal contents at one place the first is kept."""
+    d = D.table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("uri"), F.col("text").alias("content"))
+    return new_sources(d).select("id", "uri", "content_hash")
+
+
+@query(f"{with_views('links')} SELECT src, dst, link_type FROM links WHERE src % 10 <> 0 AND dst % 10 <> 0")
+def links_after_delete(spark, sf):
+    """The links that remain when every tenth note is deleted."""
+    n = D.notes(spark, sf)
+    return cascade_delete(D.links(spark, sf), D.note_tags(n), n.filter("id % 10 = 0"))[0].select("src", "dst", "link_type")
+
+
+@query(f"{with_views('notes', 'note_tags', 'links')}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY id) SELECT n.id, title, coalesce(degree, 0) AS degree, (SELECT min(tag) FROM note_tags t WHERE t.id = n.id) AS primary_tag FROM notes n LEFT JOIN d USING (id) WHERE contains(lower(title), 'c 1') ORDER BY degree DESC, n.id LIMIT 50")
+def graph_by_title(spark, sf):
+    """The graph's top nodes among those whose title holds a part, in any case."""
+    n = D.notes(spark, sf)
+    return G.full_graph(n, D.links(spark, sf), D.note_tags(n), limit=50, title_part="C 1")
