@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows whose values are Python objects at once.
+ROWS = 1024
 #: Values of one piece of a batch hold this many characters at most (a longer value is a piece of its own).
 PIECE_CHARS = 1_000_000
 
@@ -45,14 +47,15 @@ def with_columns(df: DataFrame, col: str, fields: list[tuple[str, T.DataType]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            values = [null if v is None else v for v in b.column(at).to_pylist()]
             start = 0
-            for part in pieces(values):
-                rows = f(part)
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-                new = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
-                old = b.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*(old.column(i) for i in keep), *new], names=out_names)
-                start += len(part)
+            for first in range(0, len(b), ROWS):
+                values = [null if v is None else v for v in b.column(at).slice(first, ROWS).to_pylist()]
+                for part in pieces(values):
+                    rows = f(part)
+                    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+                    new = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
+                    old = b.slice(start, len(part))
+                    yield pa.RecordBatch.from_arrays([*(old.column(i) for i in keep), *new], names=out_names)
+                    start += len(part)
 
     return df.mapInArrow(run, schema)

@@ -135,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return model
 
 
-def vote_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` (doc_id, text, any others) without text, plus held_out, score and predicted.
+def vote_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, any others) without text unless it is to be kept, plus held_out, score and predicted.
 
     Every whole text is scored by text alone; null texts count as empty and score the prior that
     ``fit`` learns from the shortest labelled texts, as do texts under three bytes. held_out is null for a null doc_id. Repeated rows are
@@ -158,4 +158,4 @@ def vote_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         return run
 
     out = docs.withColumn("held_out", fold() == 0)
-    return with_columns(out, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, drop=True)
+    return with_columns(out, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, drop=not keep_text)
