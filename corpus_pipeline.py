@@ -25,7 +25,11 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbour vote predicts good (score >= 0.3); null texts score as empty ones."""
-    return vote_quality(_whole(docs), table(spark, sf_dir, "labels"), threshold=0.3).filter("predicted = 1").select("_doc.*")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # the text goes through Python once; the other columns are one, so that none can clash with those of the vote
+    whole = docs.select("doc_id", "text", (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("_rest"))
+    kept = vote_quality(whole, table(spark, sf_dir, "labels"), threshold=0.3, keep_text=True).filter("predicted = 1")
+    return kept.select(*(F.col(c) if c not in rest else F.col("_rest")[c].alias(c) for c in docs.columns))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
