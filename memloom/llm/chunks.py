@@ -29,7 +29,7 @@ class ChunkEncoder:
     ``limit`` chunks are remembered, none of over ``longest`` characters.
     """
 
-    def __init__(self, apart: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, apart: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 64):
         self.apart, self.whole, self.limit, self.longest = apart, whole, limit, longest
         self.known: dict[str, bytes] = {}
         self.marks = dict(zip(".,;:!?", whole([*".,;:!?"]), strict=True))
