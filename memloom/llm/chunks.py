@@ -12,7 +12,7 @@ from collections.abc import Callable
 #: The characters with the Unicode property White_Space.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACED = re.compile(f" (?=[{SPACES}])|(?<=[{SPACES}]) | $").search
-_RARE = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+_RARE = "".join(map(chr, (0x9, 0xb, 0xc, 0xd, 0x85, 0xa0, 0x1680, 0x2028, 0x2029, 0x202f, 0x205f, 0x3000, *range(0x2000, 0x200B))))
 
 
 def spaced(text: str) -> bool:
