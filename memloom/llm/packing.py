@@ -173,37 +173,57 @@ class Knapsack:
         return float(best[self.capacity]), counts
 
 
+def inverted(m: np.ndarray) -> np.ndarray:
+    """The inverse of a square matrix by elimination with row pivots.
+
+    Array operations only: BLAS starts threads, which may stall beside a JVM and whose number would change the plan.
+    """
+    n = len(m)
+    a = np.concatenate([m, np.eye(n)], axis=1)
+    for i in range(n):
+        j = i + int(np.abs(a[i:, i]).argmax())
+        if j != i:
+            a[[i, j]] = a[[j, i]]
+        a[i] /= a[i, i]
+        factor = a[:, i].copy()
+        factor[i] = 0
+        a -= factor[:, None] * a[i]
+    return a[:, n:].copy()
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 20_000) -> list[tuple[int, list[int]]]:
     """Whole numbers of sequences of each configuration: column generation on the few sizes, rounded down.
 
     Columns are priced by duals smoothed towards those of the best bound so far, which takes far fewer
     rounds. The inverse of the basis is updated by each column, and made anew at times against rounding errors.
+    No product goes through BLAS, so the plan is the same for any number of threads.
     """
     order = np.argsort(sizes)
     s, need = np.array(sizes)[order], np.array(demand, float)[order]
     k = len(s)
     fill = Knapsack(s, capacity)
-    basis = np.diag((capacity // s).astype(float))
-    inverse = np.linalg.inv(basis)
-    x = inverse @ need
+    each = (capacity // s).astype(float)
+    basis, inverse = np.diag(each), np.diag(1 / each)
+    x = need / each
     centre, bound = inverse.sum(0), 0.0
     for r in range(rounds):
         if r % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
+            inverse = inverted(basis)
+            x = np.maximum((inverse * need).sum(1), 0)
         duals = inverse.sum(0)
         pattern = None
         for weight in (SMOOTH, 0.0):
             at = weight * centre + (1 - weight) * duals
             worth, found = fill.best(at)
-            if at @ need / max(worth, 1.0) > bound:
-                centre, bound = at / max(worth, 1.0), at @ need / max(worth, 1.0)
-            if found @ duals > 1 + 1e-7:
+            least = float((at * need).sum()) / max(worth, 1.0)
+            if least > bound:
+                centre, bound = at / max(worth, 1.0), least
+            if (found * duals).sum() > 1 + 1e-7:
                 pattern = found
                 break
         if pattern is None or x.sum() <= bound * (1 + CLOSE):
             break
-        step = inverse @ pattern
+        step = (inverse * pattern).sum(1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -213,7 +233,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         x[out] = t
         basis[:, out] = pattern
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
     back = np.empty(k, int)
     back[order] = np.arange(k)

@@ -3,11 +3,15 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -187,6 +191,24 @@ def test_configurations_reach_the_optimum():
     assert worth == 6.0 and counts @ np.array([200, 300, 500]) <= 1000
 
 
+def test_inverses_and_plans_without_blas(tmp_path):
+    """The inverse by elimination is one, and fresh processes with one and with eight threads make the same plan."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 60):
+        m = r.integers(0, 4, (n, n)) + np.eye(n)[::-1] * 9
+        assert np.allclose(packing.inverted(m) @ m, np.eye(n))
+    code = "import random; from memloom.llm import packing; r = random.Random(2); print(hash(tuple(packing.plan({s: r.randrange(90) for s in range(1, 1025)}))))"
+    root = str(Path(packing.__file__).resolve().parents[2])
+    found = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_NUM_THREADS": t, "PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True).stdout for t in "18"}
+    assert len(found) == 1
+
+
+def test_packing_after_rules(spark):
+    """Packing ends after another operator ran in the same session."""
+    entries.op4_ngram_likelihood(spark, SF).count()
+    assert entries.op6_best_fit_packing(spark, SF).count() >= 200
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(rows(spark, []), P.path("byte_bpe_50k.json")).collect() == []
 
