@@ -13,6 +13,7 @@ from .mpeg import media_round_trip
 from .neighbours import vote_quality
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .ranked_search import ranked_search
 from .secrets import scan_secrets
 from .sharding import extendible_shards
 from .token_counts import token_counts
@@ -115,5 +116,24 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls)}
-ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+all_docs AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf CROSS JOIN all_docs GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id) CROSS JOIN all_docs GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls, op13_norm_buckets)}
+ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL, "op13_norm_buckets": OP13_SQL}
