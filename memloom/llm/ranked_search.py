@@ -7,8 +7,8 @@ its k-th document has (Cauchy-Schwarz). Within a bucket the query's heaviest coo
 summed, and what the rest can add is bounded by the norms of the remaining coordinates; only
 documents whose bound reaches the threshold are scored, exactly and in whole numbers.
 
-The bucket of the longest vectors is searched first and gives every query its first threshold;
-the others follow in parallel, and each task raises its own thresholds as it goes.
+The longest vectors are searched first and give every query its first threshold; then all buckets
+follow in parallel, and each task raises its own thresholds as it goes.
 """
 
 from __future__ import annotations
@@ -202,13 +202,14 @@ def _block(docs: DataFrame, items: list[tuple[int, Counter]], k: int) -> DataFra
         weights = [c * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t, c in known]
         queries.append(Query(item, np.array([t for t, _ in known], np.int32), np.array(weights, np.int64)))
     vectors = scratch.write(impacts(counted, n_docs, max(1, n_terms)), "vectors")
-    head = vectors.orderBy(F.desc("norm"), "doc_id").limit(BUCKET)
-    first = search(head, queries, [1] * len(queries), k).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
-    least = {r["query"]: r["least"] for r in first.collect()}
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    longest = vectors.select("norm").orderBy(F.desc("norm")).limit(BUCKET // 4).agg(F.min("norm")).first()[0]
+    first = search(vectors.filter(F.col("norm") >= longest), queries, [1] * len(queries), k).withColumn("rank", place)
+    least = {r["query"]: r["score"] for r in first.filter(F.col("rank") == k).collect()}
     # equal norms, as copies have, are dealt by the hash of the id
     dealt = vectors.repartitionByRange(F.desc("norm"), F.xxhash64("doc_id")).sortWithinPartitions(F.desc("norm"))
     found = search(dealt, queries, [least.get(i, 1) for i in range(len(queries))], k)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", place).filter(F.col("rank") <= k)
     names = spark.createDataFrame([(i, q.item) for i, q in enumerate(queries)], "query int, item_id long")
     return ranked.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")
 
