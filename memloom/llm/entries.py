@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .alignment import align_tokens
 from .bpe import bpe_round_trip
 from .jaccard_join import near_duplicates
 from .mpeg import media_round_trip
@@ -116,6 +117,12 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, answers, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of each text's tokens by two tokenizers, and how usual the linked pairs are in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that score highest for each benchmark item."""
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
@@ -135,5 +142,5 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls, op13_norm_buckets)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls, op11_token_alignment, op13_norm_buckets)}
 ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL, "op13_norm_buckets": OP13_SQL}

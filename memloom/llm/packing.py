@@ -43,11 +43,12 @@ RANK_PARTS = 64
 
 
 @lru_cache(1)
-def encoder(path: str) -> ChunkEncoder:
-    """A function from texts to little-endian uint32 ids of a byte-level BPE tokenizer file."""
+def encoder(path: str, plain: bool = False) -> ChunkEncoder:
+    """A function from texts to little-endian uint32 ids of a byte-level BPE tokenizer file; with ``plain``, special tokens' strings are text."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = plain
     tok.no_truncation()
     tok.no_padding()
     size = np.zeros(tok.get_vocab_size(), np.int64)
