@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .alignment import align_tokens
 from .bpe import bpe_round_trip
+from .interpolation import interpolated_scores
 from .jaccard_join import near_duplicates
 from .mpeg import media_round_trip
 from .neighbours import vote_quality
@@ -123,6 +124,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of each text by n-grams of up to three tokens, learned from the documents outside one fold."""
+    return interpolated_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), longest=3)
+
+
 def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that score highest for each benchmark item."""
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
@@ -142,5 +148,5 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls, op11_token_alignment, op13_norm_buckets)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_extendible_hashing, op3_secret_grammars, op4_ngram_likelihood, op5_prefix_tree_join, op6_best_fit_packing, op7_neighbour_voting, op8_token_counts, op9_byte_bpe, op10_tool_calls, op11_token_alignment, op12_deleted_interpolation, op13_norm_buckets)}
 ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL, "op13_norm_buckets": OP13_SQL}
