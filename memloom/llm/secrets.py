@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns, and automata inferred from labelled credentials.
 
 The patterns label credentials in the whole corpus. From a bounded, deterministic
-sample of distinct ones for each kind, and of ordinary long tokens, a prefix tree is
-built over character classes and its statistically compatible states are merged
-(Hoeffding bounds on the end and symbol frequencies), which gives a probabilistic
-automaton for each kind. Every candidate token of every text is then scored by the
-likelihood of its format: best kind against ordinary tokens. The sample of ordinary tokens
-holds some of each shape that recurs, so that a rare but regular format, as of network
-addresses, is known as ordinary.
+sample of distinct ones for each kind, a prefix tree is built over character classes and
+its statistically compatible states are merged (Hoeffding bounds on the end and symbol
+frequencies), which gives a probabilistic automaton for each kind. Every candidate token
+of every text is then scored by the likelihood of its format: best kind against ordinary
+tokens. These are counted over the whole corpus: all distinct ones whose shape another
+has too, so that a rare but regular format, as of network addresses, is known as ordinary,
+and a credential that no pattern labels, whose shape is random, mostly is not.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,13 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 #: Candidates for the automata: runs of these characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-#: Distinct credentials of each kind, and ordinary tokens, from which the automata are made at most.
+#: Distinct labelled credentials of each kind from which the automata are made at most.
 SAMPLE = 600
 #: Longest word whose score is kept for the next token; longer ones are scored each time.
 CACHED = 64
 ORDINARY = "ordinary"
-#: A shape recurs if so many distinct ordinary tokens have it; as many of each are learned, SAMPLE at most in all.
-RECURS = 4
+#: A shape recurs if so many distinct ordinary tokens have it.
+RECURS = 2
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,7 +82,8 @@ def symbols(token: str) -> str:
     return token.translate(_CLASSES)
 
 
-_CLASSES = {ord(c): k for k, cs in (("a", "abcdef"), ("g", "ghijklmnopqrstuvwxyz"), ("A", "ABCDEF"), ("G", "GHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789")) for c in cs}
+_GROUPS = (("a", "abcdef"), ("g", "ghijklmnopqrstuvwxyz"), ("A", "ABCDEF"), ("G", "GHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789"))
+_CLASSES = {ord(c): k for k, cs in _GROUPS for c in cs}
 
 
 def shape(token: str) -> str:
@@ -191,10 +192,33 @@ class Automaton:
         return self.log_likelihood(word) / (len(word) + 1)
 
 
-def infer_automata(samples: dict[str, list[str]]) -> dict[str, Automaton]:
-    """An automaton for each kind that has labelled tokens, and one for ordinary tokens."""
+    @classmethod
+    def chain(cls, steps: list[tuple[str, str, int]]) -> Automaton:
+        """The automaton whose states are the last two classes, from (state, next class or '' for the end, times)."""
+        out = cls()
+        at = {"": 0}
+        for state, c, n in sorted(steps):
+            for s in (state, (state + c)[-2:]):
+                if s not in at:
+                    at[s] = len(at)
+                    out.visits.append(0)
+                    out.ends.append(0)
+                    out.next.append({})
+            out.visits[at[state]] += n
+            if c:
+                out.next[at[state]][c] = [at[(state + c)[-2:]], n]
+            else:
+                out.ends[at[state]] += n
+        return out
+
+
+def infer_automata(samples: dict[str, list[str] | Automaton]) -> dict[str, Automaton]:
+    """An automaton for each kind that has labelled tokens, and one for ordinary tokens (which may be one already)."""
     out = {}
     for kind, tokens in samples.items():
+        if isinstance(tokens, Automaton):
+            out[kind] = tokens
+            continue
         tree = Automaton()
         for t in sorted(tokens):
             tree.add(symbols(t))
@@ -212,14 +236,23 @@ def format_score(token: str, automata: dict[str, Automaton]) -> float:
 # ---- corpus -------------------------------------------------------------------------------------------------
 
 
-def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Labelled tokens of the whole corpus: for each kind the ``sample`` distinct ones with the smallest hashes.
+def ordinary_chain(tokens: DataFrame) -> Automaton:
+    """The chain over all distinct ordinary tokens (token, shape) whose shape RECURS of them have.
+
+    Counted on Spark; what comes to the driver is a row for each pair of classes and the class after it.
+    """
+    recur = tokens.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECURS)
+    plain = tokens.join(recur, "shape", "left_semi").select(F.translate("token", "".join(cs for _, cs in _GROUPS), "".join(k * len(cs) for k, cs in _GROUPS)).alias("w"))
+    # the two classes before each place and the class there; nothing stands before the first place and after the last
+    steps = plain.select(F.expr("explode(transform(sequence(1, length(w) + 1), i -> struct(right(left(w, i - 1), 2) as state, substring(w, i, 1) as class)))").alias("s"))
+    counts = steps.groupBy("s.state", "s.class").agg(F.count(F.lit(1)).alias("n"))
+    return Automaton.chain([tuple(r) for r in counts.collect()])
+
+
+def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str, list[str] | Automaton]:
+    """Labelled tokens of the whole corpus, for each kind the ``sample`` distinct ones with the smallest hashes, and the chain of its ordinary tokens.
 
-    What comes to the driver is bounded by ``sample`` tokens for each of three kinds, and twice
-    as many ordinary ones: of all distinct ones a sixteenth at most, and 16 of them at least, since
-    a credential that no pattern labels is one of them, and what is learned is not found; and
-    RECURS tokens of each of the most frequent shapes that so many have. Shapes of credentials,
-    which are random, seldom recur.
+    What comes to the driver is bounded by ``sample`` tokens for each of three kinds and the chain's counts.
     """
 
     def find(texts: list[str]) -> list[tuple]:
@@ -235,17 +268,12 @@ def harvest(df: DataFrame, col: str = "text", sample: int = SAMPLE) -> dict[str,
     found = with_columns(df.select(F.col(col).cast("string").alias("text")), "text", [("found", kind)], lambda: find, drop=True)
     scratch = Scratch(df.sparkSession)
     tokens = scratch.write(found.select(F.inline("found")).distinct().withColumn("h", F.xxhash64("token")), "tokens")
-    plain = tokens.filter(F.col("kind") == ORDINARY)
-    few = min(sample, max(16, -(-plain.count() // 16)))
 
     def first(rows: DataFrame, n: int) -> list[str]:
         return [r["token"] for r in rows.orderBy("h", "token").limit(n).select("token").collect()]
 
-    out = {k: first(tokens.filter(F.col("kind") == k), sample) for k in KINDS} | {ORDINARY: first(plain, few)}
-    recur = plain.groupBy("shape").count().filter(F.col("count") >= RECURS).orderBy(F.desc("count"), "shape").limit(sample // RECURS)
-    some = plain.join(F.broadcast(recur.select("shape")), "shape", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("shape").orderBy("h", "token"))).filter(F.col("i") <= RECURS)
-    known = set(out[ORDINARY])
-    out[ORDINARY] += sorted(r["token"] for r in some.select("token").collect() if r["token"] not in known)
+    out: dict[str, list[str] | Automaton] = {k: first(tokens.filter(F.col("kind") == k), sample) for k in KINDS}
+    out[ORDINARY] = ordinary_chain(tokens.filter(F.col("kind") == ORDINARY))
     scratch.drop("tokens")
     return out
 

@@ -387,10 +387,45 @@ def test_whole_candidates_are_scored():
     assert len(scan(b)[1]) == 0 and len(scan(a)[1]) == 1
 
 
-def test_few_ordinary_tokens_are_learned(spark):
-    tokens = [t for t in (f"ordinary-word-{c * 3}" for c in "abcdefgh") if zlib.crc32(t.encode()) % 16]
-    found = secrets.harvest(rows(spark, [f"see {t} here" for t in tokens] + ["token=abcdefghijklmnop"]))
-    assert set(found[secrets.ORDINARY]) == set(tokens) and found["assign"] == ["abcdefghijklmnop"]
+def test_ordinary_tokens_are_counted(spark):
+    """All distinct ordinary tokens whose shape another has, once each, however often they occur; none of a shape of its own."""
+    tokens = [f"ordinary-word-{c * 3}" for c in "ghijklmn"]
+    found = secrets.harvest(rows(spark, [f"see {t} here {t}" for t in tokens] * 3 + ["token=abcdefghijklmnop Xy7-Zz0=Qw9/B1"]))
+    chain, want = found[secrets.ORDINARY], Counter()
+    for w in map(secrets.symbols, tokens):
+        for i in range(len(w) + 1):
+            want[w[max(0, i - 2) : i], w[i : i + 1]] += 1
+    assert sum(chain.visits) == sum(want.values()) and chain.visits[0] == len(tokens) and sum(chain.ends) == len(tokens)
+    assert sorted(n for e in chain.next for _, n in e.values()) == sorted(n for (_, c), n in want.items() if c)
+    assert found["assign"] == ["abcdefghijklmnop"]
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_no_network_address_is_a_secret(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+    spans = [(r["text"], s.split(":")) for r in secrets.scan_secrets(docs.withColumn("whole", F.col("text"))).join(docs, "doc_id").filter("n_format > 0").select("text", "spans").collect() for s in r["spans"].split(",")]
+    assert not [t[int(s[1]) : int(s[2])] for t, s in spans if s[0] == "format" and re.fullmatch(r"[\d.]+", t[int(s[1]) : int(s[2])])]
+
+
+def test_planted_secrets_without_labels_are_found(spark):
+    """Credentials of the labelled formats that no pattern labels, planted in whole given texts; few other tokens are taken for some."""
+    r = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = {"base62": lambda: "".join(r.choices(letters, k=32)), "grouped": lambda: "-".join("".join(r.choices("0123456789ABCDEF", k=4)) for _ in range(6))}
+    docs = [x["text"] or "" for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    planted = {}
+    for i, kind in enumerate([*make] * 40):
+        docs[i] += f' api_key = "{make[kind]()}" and so on'
+        if i % 2:
+            planted[i + 100] = make[kind]()
+            docs[i + 100] += f" see {planted[i + 100]} there"
+    got = {x["doc_id"]: x for x in secrets.scan_secrets(rows(spark, docs)).collect()}
+    found = {i: {docs[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in x["spans"].split(",") if s.startswith("format")} for i, x in got.items()}
+    known = sum(k in found[i] for i, k in planted.items())
+    assert known >= 0.9 * len(planted), (known, len(planted))
+    assert len(set().union(*found.values()) - set(planted.values())) <= 2
+    red = {x["doc_id"]: x["text"] for x in secrets.redact_secrets(rows(spark, docs)).collect()}
+    assert sum(k in red[i] for i, k in planted.items()) <= 0.1 * len(planted)
 
 
 def test_partly_covered_candidates_are_scored():
