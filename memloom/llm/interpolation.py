@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from ..session import Scratch
 from .arrow import ROWS, pieces
 
 #: Tokens of a block, and n-grams of a range of hashes (about).
-BLOCK, GROUP = 3_000_000, 4_000_000
+BLOCK, GROUP = 2_000_000, 4_000_000
 #: What a block's documents are for: counts, weights, or neither.
 RETAINED, TUNING, NEW = 0, 1, 2
 #: One training document in so many learns weights.
@@ -54,13 +55,14 @@ _MARKS = (b"\n", b"\t")
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers as their lowest bytes, then their next bytes, and so on."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Whole numbers as their lowest bytes, then their next bytes, and so on, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def joined(raw: bytes, kind: type) -> np.ndarray:
     """The inverse of ``planes``."""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 # ---- blocks of documents ------------------------------------------------------------------------------------
@@ -172,25 +174,39 @@ class Grams:
 
     def __init__(self, hashes: np.ndarray, often: np.ndarray, of_token: np.ndarray):
         self.hashes, self.often, self.of_token = hashes, often, of_token
-        self.order = np.argsort(hashes, kind="stable")
 
+    def order(self) -> np.ndarray:
+        return np.argsort(self.hashes, kind="stable")
 
-def grams(hashes: bytes, tokens: bytes, sizes: np.ndarray, longest: int) -> list[Grams]:
-    """Of each length up to ``longest``. Single tokens include the begin mark, which occurs once a document."""
-    word_hash, token = joined(hashes, np.uint64), joined(tokens, np.uint32).astype(np.int64)
+
+def grams(hashes: bytes, tokens: bytes, sizes: np.ndarray, longest: int) -> Iterator[Grams]:
+    """Of each length up to ``longest``, one length after another. Single tokens include the begin mark, which occurs once a document."""
+    word_hash, token = joined(hashes, np.uint64), joined(tokens, np.uint32)
     first = np.cumsum(sizes) - sizes
     often = np.bincount(token, minlength=len(word_hash))
     often[BEGIN] = len(sizes)
-    out = [Grams(word_hash, often, token)]
+    last = Grams(word_hash, often, token)
+    yield last
     for _ in range(1, longest):
-        last = out[-1]
         # the context's number; texts begin with a context of begin marks alone, which is numbered after all others
-        context = np.concatenate([[0], last.of_token[:-1]])
-        context[first] = len(last.hashes)
-        key, index, of_token, often = np.unique(context * len(word_hash) + token, return_index=True, return_inverse=True, return_counts=True)
+        key = np.empty(len(token), np.int64)
+        key[1:] = last.of_token[:-1]
+        key[first] = len(last.hashes)
+        key *= len(word_hash)
+        key += token
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.concatenate([[True], key[1:] != key[:-1]])
+        of_token = np.empty(len(token), np.uint32)
+        of_token[order] = np.cumsum(starts, dtype=np.uint32) - np.uint32(1)
+        del order
+        starts = np.flatnonzero(starts)
+        key = key[starts]
+        often = np.diff(starts, append=len(token))
         context_hash = np.concatenate([last.hashes, word_hash[[BEGIN]]])
-        out.append(Grams(_mixed(context_hash[key // len(word_hash)], word_hash[token[index]]), often, of_token))
-    return out
+        last = Grams(_mixed(context_hash[key // len(word_hash)], word_hash[key % len(word_hash)]), often, of_token)
+        del key, starts, context_hash
+        yield last
 
 
 def bounds(parts: int) -> np.ndarray:
@@ -199,7 +215,7 @@ def bounds(parts: int) -> np.ndarray:
 
 
 def requests(found: DataFrame, longest: int, parts: int) -> DataFrame:
-    """(part, block, use, length, grams, often): each block's n-grams of each length by ranges of hashes, ascending, as differences."""
+    """(part, block, use, length, grams, often): each block's n-grams of each length by ranges of hashes, ascending, as differences; often is null for blocks that are not learned from."""
 
     def run(batches):
         cut = bounds(parts)
@@ -207,12 +223,13 @@ def requests(found: DataFrame, longest: int, parts: int) -> DataFrame:
             for i in range(len(b)):
                 block, use, hashes, tokens = (b.column(c)[i].as_py() for c in ("block", "use", "hashes", "tokens"))
                 for length, g in enumerate(grams(hashes, tokens, np.array(b.column("sizes")[i].as_py()), longest), 1):
-                    h, n = g.hashes[g.order], g.often[g.order]
+                    order = g.order()
+                    h, n = g.hashes[order], g.often[order].astype(np.uint32)
                     ends = [0, *np.searchsorted(h, cut).tolist(), len(h)]
-                    some = [(p, planes(np.diff(h[i:j], prepend=np.uint64(0))), planes(n[i:j].astype(np.uint32))) for p, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
+                    some = [(p, planes(np.diff(h[i:j], prepend=np.uint64(0))), None if use == NEW else planes(n[i:j])) for p, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
                     k = len(some)
                     cols = list(zip(*some, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([block] * k, pa.int64()), pa.array([use] * k, pa.int32()), pa.array([length] * k, pa.int32()), pa.array(cols[1]), pa.array(cols[2])], names=["part", "block", "use", "length", "grams", "often"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([block] * k, pa.int64()), pa.array([use] * k, pa.int32()), pa.array([length] * k, pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.binary())], names=["part", "block", "use", "length", "grams", "often"])
 
     return found.select("block", "use", "sizes", "hashes", "tokens").mapInArrow(run, "part int, block long, use int, length int, grams binary, often binary")
 
@@ -226,14 +243,19 @@ def answers(asked: DataFrame) -> DataFrame:
             mine = t.filter(pa.compute.equal(t["length"], length))
             use, block = mine["use"].to_pylist(), mine["block"].to_pylist()
             hashes = [np.cumsum(joined(x, np.uint64), dtype=np.uint64) for x in mine["grams"].to_pylist()]
-            often = [joined(x, np.uint32) for x in mine["often"].to_pylist()]
             size = np.array(list(map(len, hashes)))
             every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            kind = np.repeat(use, size)
-            n = np.concatenate(often)
-            retained = np.bincount(at, np.where(kind == RETAINED, n, 0), len(every)).astype(np.int64)
-            trained = retained + np.bincount(at, np.where(kind == TUNING, n, 0), len(every)).astype(np.int64)
-            end = np.cumsum(size)
+            del hashes
+            at, known, end = at.astype(np.uint32), len(every), np.cumsum(size)
+            del every
+            retained, trained = np.zeros(known, np.int64), np.zeros(known, np.int64)
+            for k, (u, often) in enumerate(zip(use, mine["often"].to_pylist(), strict=True)):
+                if u != NEW:
+                    # an n-gram stands once in a block
+                    here, n = at[end[k] - size[k] : end[k]], joined(often, np.uint32)
+                    trained[here] += n
+                    if u == RETAINED:
+                        retained[here] += n
             for k, (b, u) in enumerate(zip(block, use, strict=True)):
                 here = at[end[k] - size[k] : end[k]]
                 rows.append((b, u, length, part, planes(trained[here]), planes(retained[here]) if u == TUNING else None, int((trained > 0).sum()) if k == 0 else 0))
@@ -252,26 +274,26 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.frexp(np.maximum(context, 1).astype(float))[1], BUCKETS), 0)
 
 
-def levels(gs: list[Grams], counts: list[np.ndarray], sizes: np.ndarray, n_tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length, each token's bucket and maximum-likelihood estimate (0 in bucket 0); single tokens are all in bucket 1."""
-    one = counts[0][gs[0].of_token] / n_tokens if n_tokens else np.zeros(len(gs[0].of_token))
-    yield np.full(len(one), int(n_tokens > 0)), one
-    first, begins = np.cumsum(sizes) - sizes, counts[0][BEGIN]
-    for k in range(1, len(gs)):
-        context = np.concatenate([[0], counts[k - 1][gs[k - 1].of_token[:-1]]])
-        context[first] = begins
-        yield bucket(context), counts[k][gs[k].of_token] / np.maximum(context, 1)
-
+def mixed(found: Iterator[tuple[Grams, np.ndarray]], sizes: np.ndarray, n_tokens: int, known: int, weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, from its n-grams and their counts: each token's bucket, maximum-likelihood estimate (0 in bucket 0), and probability by the shorter ones; then the probability by all that have weights.
 
-def mixed(gs: list[Grams], counts: list[np.ndarray], sizes: np.ndarray, n_tokens: int, known: int, weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length, each token's bucket, estimate, and probability by the lengths below it; then once more the probability by all."""
-    p = np.full(len(gs[0].of_token), 1 / (known + 1))
-    for k, (b, estimate) in enumerate(levels(gs, counts, sizes, n_tokens)):
+    Single tokens are all in bucket 1.
+    """
+    first = np.cumsum(sizes) - sizes
+    context, begins, p = None, 0, None
+    for k, (g, counts) in enumerate(found):
+        own = counts[g.of_token]
+        if context is None:
+            begins, p = counts[BEGIN], np.full(len(own), 1 / (known + 1))
+            b, estimate = np.full(len(own), int(n_tokens > 0)), own / max(n_tokens, 1)
+        else:
+            b, estimate = bucket(context), own / np.maximum(context, 1)
         yield b, estimate, p
-        if k == len(weights):
-            return
-        w = weights[k][b]
-        p = w * estimate + (1 - w) * p
+        if k < len(weights):
+            w = weights[k][b]
+            p = w * estimate + (1 - w) * p
+        context = np.concatenate([[0], own[:-1]])
+        context[first] = begins
     yield np.zeros(0), np.zeros(0), p
 
 
@@ -298,16 +320,14 @@ def learned(ratios: list[tuple[int, int | None, int]], rounds: int = 1000) -> np
     return out
 
 
-def _counts(gs: list[Grams], told: pa.Table, column: str) -> list[np.ndarray]:
-    """The counts of a block's n-grams from its answers."""
+def _counted(block: pa.Table, told: pa.Table, column: str, longest: int) -> Iterator[tuple[Grams, np.ndarray]]:
+    """The n-grams of a block, length by length, with the counts in its answers."""
     told = told.sort_by([("length", "ascending"), ("part", "ascending")])
-    lengths, raw = np.array(told["length"].to_pylist()), told[column].to_pylist()
-    out = []
-    for k, g in enumerate(gs, 1):
+    lengths, raw = np.array(told["length"].to_pylist()), told[column]
+    for k, g in enumerate(grams(block["hashes"][0].as_py(), block["tokens"][0].as_py(), np.array(block["sizes"][0].as_py()), longest), 1):
         n = np.empty(len(g.hashes), np.int64)
-        n[g.order] = np.concatenate([joined(raw[i], np.int64) for i in np.flatnonzero(lengths == k)])
-        out.append(n)
-    return out
+        n[g.order()] = np.concatenate([joined(raw[int(i)].as_py(), np.int64) for i in np.flatnonzero(lengths == k)])
+        yield g, n
 
 
 def ratios(found: DataFrame, told: DataFrame, weights: list[np.ndarray], n_tokens: int, known: int) -> DataFrame:
@@ -316,8 +336,9 @@ def ratios(found: DataFrame, told: DataFrame, weights: list[np.ndarray], n_token
 
     def cells(block: pa.Table, told: pa.Table) -> pa.Table:
         sizes = np.array(block["sizes"][0].as_py())
-        gs = grams(block["hashes"][0].as_py(), block["tokens"][0].as_py(), sizes, length)
-        b, estimate, p = list(mixed(gs, _counts(gs, told, "retained"), sizes, n_tokens, known, weights))[length - 1]
+        for k, (b, estimate, p) in enumerate(mixed(_counted(block, told, "retained", length), sizes, n_tokens, known, weights), 1):
+            if k == length:
+                break
         seen = estimate > 0
         cell = np.where(seen, np.rint(np.log2(np.where(seen, estimate, 1) / p) * STEPS), np.nan)
         key = np.where(seen, cell, -1e6)
@@ -354,10 +375,9 @@ def interpolated_scores(docs: DataFrame, longest: int = 2) -> DataFrame:
 
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
         sizes = np.array(block["sizes"][0].as_py())
-        gs = grams(block["hashes"][0].as_py(), block["tokens"][0].as_py(), sizes, longest)
-        counts = _counts(gs, told, "trained")
-        *_, (_, _, p) = mixed(gs, counts, sizes, trained, known, weights)
-        c = counts[0][gs[0].of_token]
+        for k, (_, estimate, p) in enumerate(mixed(_counted(block, told, "trained", longest), sizes, trained, known, weights)):
+            if k == 0:
+                c = np.rint(estimate * trained)  # the token's own count
         first = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 0.5) / (trained + 0.5 * (known + 1))), np.log10(p))]
         return pa.table({"doc_id": block["ids"].combine_chunks().flatten(), "n_tokens": sizes, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
