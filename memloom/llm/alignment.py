@@ -32,9 +32,11 @@ from .token_counts import LONG, MARK, prove, words
 #: A block is given away when its documents have this many tokens of the first tokenizer.
 BLOCK = 4_000_000
 #: A worker forgets its words when it holds this many, and its windows when they take this many bytes (about).
-WORDS, HELD = 200_000, 64_000_000
+WORDS, HELD = 200_000, 100_000_000
 #: What a remembered window takes besides its strings.
-EACH = 500
+EACH = 400
+#: Up to so many links of a window are kept one by one, more of them by distinct pairs.
+FEW = 64
 
 
 # ---- tokens and their bytes ---------------------------------------------------------------------------------
@@ -95,23 +97,21 @@ class Pieces:
 # ---- windows ------------------------------------------------------------------------------------------------
 
 
-def groups_of(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The tokens between neighbouring offsets where both tokenisations end."""
-    shared = set(a_ends) & set(b_ends)
-    out, i, j = [], 0, 0
-    a_cuts = [k + 1 for k, e in enumerate(a_ends) if e in shared]
-    b_cuts = [k + 1 for k, e in enumerate(b_ends) if e in shared]
-    for k, m in zip(a_cuts, b_cuts, strict=True):
-        out.append((a[i:k], b[j:m]))
-        i, j = k, m
-    return out
+def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either side end at or before each offset where both end."""
+    at = np.minimum(np.searchsorted(a_ends, b_ends), len(a_ends) - 1)
+    hit = a_ends[at] == b_ends
+    return at[hit] + 1, np.flatnonzero(hit) + 1
 
 
 class Windows:
-    """What is known of windows, by number: bytes (None if the two sides differ), groups as text, their number, links, and pairs with how often they are linked."""
+    """What is known of windows, by number: bytes (None if the two sides differ), groups as text, their number, links, and the pairs of the links."""
 
     def __init__(self, a_tokens: list[bytes], b_tokens: list[bytes]):
         self.a_tokens, self.b_tokens = a_tokens, b_tokens
+        self.sizes = [np.array(list(map(len, t)), np.int64) for t in (a_tokens, b_tokens)]
+        # each id as text, with what follows it inside and at the end of its group
+        self.written = [f"{i}{mark}" for n, last in ((len(a_tokens), "|"), (len(b_tokens), ";")) for mark in (",", last) for i in range(n)]
         self.clear()
 
     def clear(self) -> None:
@@ -122,30 +122,57 @@ class Windows:
         self.groups: list[int] = []
         self.links: list[int] = []
         self.pairs: list[bytes] = []
-        self.times: list[bytes] = []
-
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        """Work a new window out; the number of one that is known."""
-        if key in self.number:
-            return self.number[key]
-        a, b = (memoryview(x).cast("I").tolist() for x in key)
-        a_raw, b_raw = [self.a_tokens[i] for i in a], [self.b_tokens[i] for i in b]
-        groups = groups_of(a, b, np.cumsum(list(map(len, a_raw))).tolist(), np.cumsum(list(map(len, b_raw))).tolist())
-        pairs: Counter[int] = Counter()
-        for x, y in groups:
-            for i, n in Counter(x).items():
-                for j, m in Counter(y).items():
-                    pairs[i << 32 | j] += n * m
-        raw = b"".join(a_raw)
-        self.raw.append(raw if raw == b"".join(b_raw) else None)
-        self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.groups.append(len(groups))
-        self.links.append(sum(len(x) * len(y) for x, y in groups))
-        self.pairs.append(array("q", pairs.keys()).tobytes())
-        self.times.append(array("q", pairs.values()).tobytes())
-        self.number[key] = n = len(self.number)
-        self.held += EACH + 2 * len(key[0]) + 2 * len(key[1]) + len(raw) + len(self.text[n]) + 16 * len(pairs)
-        return n
+        #: How often each pair of a window with many links is linked; the other windows have a pair for each link.
+        self.times: dict[int, bytes] = {}
+
+    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Work out new windows, all at once: their groups lie between the shared ends of their tokens, laid one after another."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
+        a_upto, b_upto = (np.cumsum([0, *(len(k[side]) // 4 for k in keys)]) for side in (0, 1))
+        a_bytes, b_bytes = (np.concatenate([[0], np.cumsum(size[ids])]) for size, ids in zip(self.sizes, (a, b), strict=True))
+        i, j = shared_ends(a_bytes[1:], b_bytes[1:])
+        x, y = np.diff(i, prepend=0), np.diff(j, prepend=0)
+        upto = np.searchsorted(i, a_upto, "right")
+        links = np.concatenate([[0], np.cumsum(x * y)])
+        of_window = np.diff(links[upto])
+        # groups as text: a token's place is after all tokens of earlier groups, and after its group's tokens of the first side
+        a_place = np.arange(len(a)) + np.repeat(j - y, x)
+        b_place = np.arange(len(b)) + np.repeat(i, y)
+        code = np.empty(len(a) + len(b), np.int64)
+        code[a_place], code[b_place] = a, b + 2 * len(self.a_tokens)
+        code[a_place[i - 1]] += len(self.a_tokens)
+        code[b_place[j - 1]] += len(self.b_tokens)
+        written = list(map(self.written.__getitem__, code.tolist()))
+        # a pair for each link, but for windows with many
+        few = np.repeat(of_window <= FEW, np.diff(upto))
+        n = (x * y)[few]
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(y[few], n)
+        pairs = (a[np.repeat((i - x)[few], n) + k // wide] << 32 | b[np.repeat((j - y)[few], n) + k % wide]).tobytes()
+        a_raw, b_raw = (b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_tokens, a), (self.b_tokens, b)))
+        same = a_raw == b_raw
+        ends, both, groups = a_bytes[a_upto].tolist(), (a_upto + b_upto).tolist(), np.diff(upto).tolist()
+        at = 0
+        for w, (key, m) in enumerate(zip(keys, of_window.tolist(), strict=True)):
+            p, q = ends[w], ends[w + 1]
+            self.raw.append(a_raw[p:q] if same or a_raw[p:q] == b_raw[p:q] else None)
+            self.text.append("".join(written[both[w] : both[w + 1]])[:-1])
+            if m <= FEW:
+                self.pairs.append(pairs[at : at + 8 * m])
+                at += 8 * m
+            else:
+                some = Counter()
+                for g in range(upto[w], upto[w + 1]):
+                    left, right = (Counter(ids[e - s : e].tolist()) for ids, e, s in ((a, i[g], x[g]), (b, j[g], y[g])))
+                    for t, c in left.items():
+                        for u, d in right.items():
+                            some[t << 32 | u] += c * d
+                self.pairs.append(array("q", some.keys()).tobytes())
+                self.times[len(self.number)] = array("q", some.values()).tobytes()
+            self.number[key] = len(self.number)
+        self.groups += groups
+        self.links += of_window.tolist()
+        self.held += EACH * len(keys) + 2 * 4 * len(code) + len(a_raw) + len(written) * 6 + 8 * min(int(links[-1]), 1 << 40)
 
 
 class Aligner:
@@ -153,10 +180,11 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = encoder(a_path, plain=True), Pieces(b_path)
+        self.a.limit = WORDS
         tokens = byte_level_tokens(a_path), self.b.tokens
-        self.size = [np.array(list(map(len, t)), np.int64) for t in tokens]
         self.spaced = [np.array([t[:1] == b" " for t in ts]) for ts in tokens]
         self.windows = Windows(*tokens)
+        self.size = self.windows.sizes
 
     def __call__(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text (n_a, n_b, n_groups, n_links, groups_sha256); and of all texts: number of distinct pairs each, pairs, times linked."""
@@ -197,22 +225,20 @@ class Aligner:
         """The number of each window, and how many windows there are up to the end of each text (from 0)."""
         if not len(a):
             return [], [0] * len(a_last)
-        at = np.minimum(np.searchsorted(a_ends, b_ends), len(a) - 1)
-        hit = a_ends[at] == b_ends
-        i, j = at[hit], np.flatnonzero(hit)
+        i, j = shared_ends(a_ends, b_ends)
         ends = np.zeros(len(a) + 1, bool)
         ends[a_last] = True
-        cut = ends[i + 1] | (self.spaced[0][a[np.minimum(i + 1, len(a) - 1)]] & self.spaced[1][b[np.minimum(j + 1, len(b) - 1)]])
-        i, j = i[cut] + 1, j[cut] + 1
+        cut = ends[i] | (self.spaced[0][a[np.minimum(i, len(a) - 1)]] & self.spaced[1][b[np.minimum(j, len(b) - 1)]])
+        i, j = i[cut], j[cut]
         upto = np.searchsorted(i, a_last, "right").tolist()
         a_raw, b_raw = a.tobytes(), b.tobytes()
         a_at, b_at = [0, *(4 * i).tolist()], [0, *(4 * j).tolist()]
         keys = [(a_raw[p:q], b_raw[r:s]) for p, q, r, s in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
-        found = list(map(self.windows.number.get, keys))
-        if None in found:
-            add = self.windows.add
-            found = [add(k) if n is None else n for n, k in zip(found, keys, strict=True)]
-        return found, upto
+        number = self.windows.number
+        new = list(dict.fromkeys([k for k in keys if k not in number]))
+        if new:
+            self.windows.learn(new)
+        return list(map(number.__getitem__, keys)), upto
 
     def _pairs(self, numbers: list[int], upto: list[int], good: list[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of distinct pairs of each text, and these pairs and how often they are linked, text by text."""
@@ -227,7 +253,10 @@ class Aligner:
         size = np.array(list(map(len, pairs))) // 8
         first = np.cumsum(size) - size
         values, place = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
-        times = np.frombuffer(b"".join([self.windows.times[i] for i in used.tolist()]), np.int64)
+        times = np.ones(len(place), np.int64)
+        for k, i in enumerate(used.tolist()):
+            if i in self.windows.times:
+                times[first[k] : first[k] + size[k]] = np.frombuffer(self.windows.times[i], np.int64)
         # windows of a text once, with how often they stand there; then their pairs
         both, often = np.unique(text[some] * len(used) + at, return_counts=True)
         text, at = both // len(used), both % len(used)

@@ -4,8 +4,9 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
-import pytest
+import numpy as np
 import public_tokenizers as P
+import pytest
 
 from memloom.llm import alignment, entries
 
@@ -118,9 +119,18 @@ def test_pieces_equal_library(libraries):
         assert memoryview(x).cast("I").tolist() == libraries[1].encode(t), t
 
 
-def test_groups_without_inner_shared_ends():
-    assert alignment.groups_of([1, 2], [3], [2, 5], [5]) == [([1, 2], [3])]
-    assert alignment.groups_of([1, 2], [3, 4], [2, 5], [2, 5]) == [([1], [3]), ([2], [4])]
+def test_windows_with_few_and_many_links():
+    """Tokens that end apart are one group; windows on either side of the limit have the same links; sides that differ are told."""
+    w = alignment.Windows([b"", b" a", b"bc", b"abc", b"x"], [b"", b" ", b"ab", b"c", b"a", b"bc", b"x", b"y"])
+    key = lambda a, b: (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes())
+    many = alignment.FEW + 1
+    w.learn([key([1, 2], [1, 2, 3]), key([1, 2], [1, 4, 5]), key([4] * 3, [6] * 3), key([1], [1, 4]), key([4], [7]), key([4, *[1, 2] * many], [6, *[1, 2, 3] * many])])
+    assert w.text[:5] == ["1,2|1,2,3", "1|1,4;2|5", "4|6;4|6;4|6", "1|1,4", "4|7"]
+    assert w.groups == [1, 2, 3, 1, 1, 1 + many] and w.links == [6, 3, 3, 2, 1, 1 + 6 * many]
+    assert w.raw[:5] == [b" abc", b" abc", b"xxx", b" a", None]
+    got = dict(zip(np.frombuffer(w.pairs[5], np.int64).tolist(), np.frombuffer(w.times[5], np.int64).tolist(), strict=True))
+    assert got == {4 << 32 | 6: 1} | {a << 32 | b: many for a in (1, 2) for b in (1, 2, 3)}
+    assert Counter(np.frombuffer(w.pairs[0], np.int64).tolist()) == Counter(a << 32 | b for a in (1, 2) for b in (1, 2, 3))
 
 
 def test_query(spark):
