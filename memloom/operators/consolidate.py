@@ -122,11 +122,14 @@ def centroids(members: DataFrame, vectors: DataFrame, key: str = "cluster") -> D
 
 
 def mean_similarity(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cluster, mean_similarity) over the given pairs within each cluster; 1 where there are none."""
+    """(cluster, mean_similarity) over the given pairs within each cluster; 1 where there are none.
+
+    The mean is made of whole millionths, halves up, so that it does not depend on the order of the pairs.
+    """
     a = members.select(F.col("id").alias("a"), F.col("cluster"))
     b = members.select(F.col("id").alias("b"), F.col("cluster").alias("other"))
-    m = pairs.join(a, "a").join(b, "b").filter("cluster = other").groupBy("cluster").agg(F.avg("similarity").alias("m"))
-    return members.select("cluster").distinct().join(m, "cluster", "left").select("cluster", F.round(F.coalesce("m", F.lit(1.0)), 6).alias("mean_similarity"))
+    m = pairs.join(a, "a").join(b, "b").filter("cluster = other").groupBy("cluster").agg(F.sum(F.round(F.col("similarity") * 1e6).cast("long")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return members.select("cluster").distinct().join(m, "cluster", "left").select("cluster", F.expr("coalesce(((2 * s + n) div (2 * n)) / 1e6D, 1D)").alias("mean_similarity"))
 
 
 def nearest_schema(centres: DataFrame, schemas: DataFrame, least: float = 0.82) -> DataFrame:

@@ -151,7 +151,7 @@ def cluster_centroid(spark, sf):
     return c.select("cluster", "members", F.posexplode("centroid").alias("i", "m"))
 
 
-@query(f"{_CLUSTERS}, a AS (SELECT id AS a, cluster FROM c), b AS (SELECT id AS b, cluster AS other FROM c) SELECT cluster, round(avg(similarity), 6) AS mean_similarity FROM s JOIN a USING (a) JOIN b USING (b) WHERE cluster = other GROUP BY cluster")
+@query(f"{_CLUSTERS}, a AS (SELECT id AS a, cluster FROM c), b AS (SELECT id AS b, cluster AS other FROM c) SELECT cluster, (2 * CAST(sum(CAST(round(similarity * 1e6) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*)) / 1e6 AS mean_similarity FROM s JOIN a USING (a) JOIN b USING (b) WHERE cluster = other GROUP BY cluster")
 def cluster_similarity(spark, sf):
     p = C.similar_pairs(D.vectors(spark, sf), LEAST)
     return C.mean_similarity(C.clusters(p), p)

@@ -45,7 +45,7 @@ _PROPOSED = f"""WITH RECURSIVE doc AS (SELECT doc_id AS id, 'Doc ' || doc_id AS
 s AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.id < b.id) WHERE similarity >= {LEAST}),
 u AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r AS (SELECT a AS id, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.id), l AS (SELECT id, min(label) AS cluster FROM r GROUP BY id),
 c AS (SELECT * FROM l WHERE cluster IN (SELECT cluster FROM l GROUP BY cluster HAVING count(*) >= 3)),
-sim AS (SELECT x.cluster, round(avg(similarity), 6) AS mean_similarity FROM s JOIN c x ON x.id = s.a JOIN c y ON y.id = s.b WHERE x.cluster = y.cluster GROUP BY x.cluster),
+sim AS (SELECT x.cluster, (2 * CAST(sum(CAST(round(similarity * 1e6) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*)) / 1e6 AS mean_similarity FROM s JOIN c x ON x.id = s.a JOIN c y ON y.id = s.b WHERE x.cluster = y.cluster GROUP BY x.cluster),
 e AS (SELECT cluster, i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT c.cluster, unnest(e) AS x, unnest(range(len(e))) AS i FROM c JOIN v USING (id)) GROUP BY ALL),
 k AS (SELECT label AS schema_id, i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
 ne AS (SELECT cluster, sqrt(sum(m * m)) AS n FROM e GROUP BY 1), nk AS (SELECT schema_id, sqrt(sum(m * m)) AS n FROM k GROUP BY 1),
