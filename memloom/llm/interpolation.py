@@ -33,7 +33,7 @@ from ..session import Scratch
 from .arrow import ROWS, pieces
 
 #: Tokens of a block, and n-grams of a range of hashes (about).
-BLOCK, GROUP = 2_000_000, 4_000_000
+BLOCK, GROUP = 2_000_000, 2_000_000
 #: What a block's documents are for: counts, weights, or neither.
 RETAINED, TUNING, NEW = 0, 1, 2
 #: One training document in so many learns weights.
@@ -56,7 +56,7 @@ _MARKS = (b"\n", b"\t")
 
 def planes(x: np.ndarray) -> bytes:
     """Whole numbers as their lowest bytes, then their next bytes, and so on, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def joined(raw: bytes, kind: type) -> np.ndarray:
@@ -107,17 +107,18 @@ class Block:
         self.held += n
 
     def row(self) -> tuple[list[int | None], list[int], bytes, bytes, int]:
-        """Ids and sizes of the documents, hashes of the words and numbers of the tokens (frequent words first), number of tokens."""
+        """Ids and sizes of the documents, hashes of the words (frequent ones first; as differences) and numbers of the tokens, number of tokens."""
         import xxhash
 
         tokens = np.concatenate(self.tokens)
         marks = len(_MARKS)
         often = np.bincount(tokens, minlength=len(self.numbers))
-        order = np.concatenate([np.arange(marks), marks + np.argsort(-often[marks:], kind="stable")])
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))[order]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
+        # words that are equally frequent by ascending hashes, whose differences are shorter
+        order = np.concatenate([np.arange(marks), marks + np.lexsort((hashes[marks:], -often[marks:]))])
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        return self.ids, self.sizes, planes(hashes), planes(place[tokens]), self.held
+        return self.ids, self.sizes, planes(np.diff(hashes[order], prepend=np.uint64(0))), planes(place[tokens]), self.held
 
 
 def uses(doc_id: Column) -> Column:
@@ -181,7 +182,7 @@ class Grams:
 
 def grams(hashes: bytes, tokens: bytes, sizes: np.ndarray, longest: int) -> Iterator[Grams]:
     """Of each length up to ``longest``, one length after another. Single tokens include the begin mark, which occurs once a document."""
-    word_hash, token = joined(hashes, np.uint64), joined(tokens, np.uint32)
+    word_hash, token = np.cumsum(joined(hashes, np.uint64), dtype=np.uint64), joined(tokens, np.uint32)
     first = np.cumsum(sizes) - sizes
     often = np.bincount(token, minlength=len(word_hash))
     often[BEGIN] = len(sizes)
@@ -234,7 +235,7 @@ def requests(found: DataFrame, longest: int, parts: int) -> DataFrame:
     return found.select("block", "use", "sizes", "hashes", "tokens").mapInArrow(run, "part int, block long, use int, length int, grams binary, often binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, parts: int) -> DataFrame:
     """(block, use, length, part, trained, retained, known): how often each n-gram that a block asked for occurs in all training documents, and in those that weights are not learned from (for blocks that learn them); known: distinct training n-grams of that length and range, on one row."""
 
     def total(t: pa.Table) -> pa.Table:
@@ -263,7 +264,7 @@ def answers(asked: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "use", "length", "part", "trained", "retained", "known"])
 
-    return asked.groupBy("part").applyInArrow(total, "block long, use int, length int, part int, trained binary, retained binary, known long")
+    return asked.repartition(parts, "part").groupBy("part").applyInArrow(total, "block long, use int, length int, part int, trained binary, retained binary, known long")
 
 
 # ---- the model ----------------------------------------------------------------------------------------------
@@ -365,7 +366,7 @@ def interpolated_scores(docs: DataFrame, longest: int = 2) -> DataFrame:
     found = scratch.write(blocks(docs), "blocks")
     tokens = {r["use"]: r["n"] for r in found.groupBy("use").agg(F.sum("n_tokens").alias("n")).collect()}
     parts = 1 + longest * sum(tokens.values()) // GROUP
-    told = scratch.write(answers(requests(found, longest, parts)), "answers")
+    told = scratch.write(answers(requests(found, longest, parts), parts), "answers")
     retained, trained = tokens.get(RETAINED, 0), tokens.get(RETAINED, 0) + tokens.get(TUNING, 0)
     # the begin mark is no token
     known = (told.filter("length = 1").agg(F.sum("known")).first()[0] or 0) - (trained > 0)
