@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..session import materialize
 from .graph import degrees
 from .pairs import components
 from .search import nearest_between, phrase_search
+from .vectors import pairs_within, widths
 
 
 def context_diversity(accesses: DataFrame, full: int = 8) -> DataFrame:
@@ -56,54 +59,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (n == 0), 0.0).otherwise(F.least(F.greatest(dot(a, b) / n, F.lit(-1.0)), F.lit(1.0)))
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, similarity) with a < b for vectors (id, embedding) with a cosine of ``least`` or more.
+def similar_pairs(vectors: DataFrame, least: float, cell: int = 1024) -> DataFrame:
+    """(a, b, similarity) with a < b for vectors (id, embedding) with a cosine of ``least`` (over 0) or more.
 
-    Exact, in blocks: vectors are dealt to blocks by hash, each two blocks meet in one
-    task, and a matrix product compares them; blocks stay as small as ``block`` whatever the table.
+    Exact: vectors in cells of about ``cell`` meet only the cells that such a cosine lets them reach
+    (``vectors.pairs_within``). Vectors of different widths are similar to none.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    v = vectors.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
-    k = max(1, -(-v.count() // block))
-    v = v.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(k)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    dealt = v.withColumn("h", other).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "id", "embedding")
-
-    def compare(rows: list[tuple]) -> pa.RecordBatch | None:
-        left = [r for r in rows if r[2] == r[0]]
-        right = [r for r in rows if r[2] == r[1]] if rows[0][0] != rows[0][1] else left
-        out = []
-        by = {}
-        for r in left:
-            by.setdefault(len(r[4]), ([], []))[0].append(r)
-        for r in right:
-            by.setdefault(len(r[4]), ([], []))[1].append(r)
-        for a, b in by.values():
-            if a and b:
-                x, y = np.array([r[4] for r in a], float), np.array([r[4] for r in b], float)
-                n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
-                s = np.clip(np.divide(x @ y.T, n, out=np.zeros((len(a), len(b))), where=n > 0), -1, 1).round(6)
-                for i, j in zip(*np.nonzero(s >= least), strict=True):
-                    lo, hi = sorted((a[i][3], b[j][3]))
-                    if lo < hi and (a is not b and rows[0][0] != rows[0][1] or a[i][3] < b[j][3]):
-                        out.append((lo, hi, float(s[i, j])))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"]) if out else None
-
-    def run(batches):
-        now, rows = None, []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[:2] != now:
-                    if rows and (got := compare(rows)) is not None:
-                        yield got
-                    now, rows = r[:2], []
-                rows.append(r)
-        if rows and (got := compare(rows)) is not None:
-            yield got
-
-    return dealt.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "a long, b long, similarity double").distinct()
+    found = [pairs_within(vectors, least, cell, w) for w in widths(vectors)]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
 
 
 def clusters(pairs: DataFrame, min_size: int = 3) -> DataFrame:

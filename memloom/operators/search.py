@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,7 @@ from ..functions import text as X
 from ..functions.porter import stemmed
 from ..session import materialize
 from .graph import bfs
+from .vectors import nearest_neighbours, widths
 
 K1, B = 1.2, 0.75
 #: Query vectors that go to every task at once.
@@ -96,104 +99,62 @@ def top(hits: DataFrame, k: int, offset: int = 0, by: str = "query_id", ascendin
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest of (id, embedding) to each of (query_id, vector), exactly.
 
-    For a bounded set of queries, which all pass through the driver; ``nearest_each`` compares a table with itself.
-    Queries go out in blocks of QUERY_BLOCK; each task keeps its best ``k`` (all that tie
-    with the last one) for each query, so what is shuffled does not depend on the number
-    of vectors. Vectors of another width, and null ones, are never near. Distances are
-    L2; metric cosine gives similarities, best first, 0 where a norm is 0.
+    Up to QUERY_BLOCK queries go to every task, which keeps its best ``k`` (all that tie
+    with the last one) for each, so what is shuffled does not depend on the number
+    of vectors. More queries meet the vectors on Spark, in cells (L2) or in blocks (cosine).
+    Vectors of another width, and null ones, are never near. Distances are L2; metric cosine
+    gives similarities, best first, 0 where a norm is 0.
     """
     rows = queries.filter("vector is not null").select("query_id", "vector")
-    near, out = metric == "l2", None
-    blocks = -(-rows.count() // QUERY_BLOCK)
-    parts = [rows] if blocks <= 1 else [rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]
-    for part in parts:
-        got = part.orderBy("query_id").collect()  # about QUERY_BLOCK / 2 vectors
-        if not got:
-            continue
-        sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in got], [list(r["vector"]) for r in got]))
-
-        def run(batches, sent=sent):
-            names, vs = sent.value
-            q = np.array(vs, float)
-            norm = np.linalg.norm(q, axis=1)
-            for b in batches:
-                ids, x = b.column(0).to_pylist(), [v for v in b.column(1).to_pylist()]
-                ok = [i for i, v in enumerate(x) if v is not None and len(v) == q.shape[1]]
-                if not ok:
-                    continue
-                m = np.array([x[i] for i in ok], float)
-                dot = q @ m.T
-                if near:
-                    s = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1) - 2 * dot, 0))
-                else:
-                    n = norm[:, None] * np.linalg.norm(m, axis=1)
-                    s = np.clip(np.divide(dot, n, out=np.zeros_like(dot), where=n > 0), -1, 1)
-                s = s.round(6)
-                key = s if near else -s
-                more = k + int(exclude_self)
-                last = np.partition(key, more - 1, axis=1)[:, more - 1] if key.shape[1] > more else np.full(len(q), np.inf)
-                a, c = np.nonzero(key <= last[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], pa.int64()), pa.array([ids[ok[j]] for j in c], pa.int64()), pa.array(s[a, c])], names=["query_id", "id", "score"])
-
-        hits = vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, score double")
-        out = hits if out is None else out.unionAll(hits)
-    if out is None:
+    near, more = metric == "l2", k + int(exclude_self)
+    got = rows.limit(QUERY_BLOCK + 1).collect()
+    if len(got) > QUERY_BLOCK:
+        hits = nearest_neighbours(vectors, rows, more) if near else nearest_between(rows, vectors, more)
+        hits = hits.drop("rank")
+    elif not got:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    return top(out.filter("query_id <> id") if exclude_self else out, k, ascending=near)
+    else:
+        hits = _scan(vectors, [r["query_id"] for r in got], [list(r["vector"]) for r in got], more, near)
+    return top(hits.filter("query_id <> id") if exclude_self else hits, k, ascending=near)
+
 
+def _scan(vectors: DataFrame, names: list[int], points: list[list[float]], k: int, near: bool) -> DataFrame:
+    """(query_id, id, score): each task's best ``k`` for each of a bounded number of points."""
+    sent = vectors.sparkSession.sparkContext.broadcast((names, points))
 
-def nearest_each(vectors: DataFrame, k: int = 10) -> DataFrame:
+    def run(batches):
+        names, vs = sent.value
+        q = np.array(vs, float)
+        norm = np.linalg.norm(q, axis=1)
+        for b in batches:
+            ids, x = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ok = [i for i, v in enumerate(x) if v is not None and len(v) == q.shape[1]]
+            if not ok:
+                continue
+            m = np.array([x[i] for i in ok], float)
+            dot = q @ m.T
+            if near:
+                s = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1) - 2 * dot, 0))
+            else:
+                n = norm[:, None] * np.linalg.norm(m, axis=1)
+                s = np.clip(np.divide(dot, n, out=np.zeros_like(dot), where=n > 0), -1, 1)
+            s = s.round(6)
+            key = s if near else -s
+            last = np.partition(key, k - 1, axis=1)[:, k - 1] if key.shape[1] > k else np.full(len(q), np.inf)
+            a, c = np.nonzero(key <= last[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], pa.int64()), pa.array([ids[ok[j]] for j in c], pa.int64()), pa.array(s[a, c])], names=["query_id", "id", "score"])
+
+    return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, score double")
+
+
+def nearest_each(vectors: DataFrame, k: int = 10, cell: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest others by L2 distance of each of (id, embedding), exactly.
 
-    Vectors are dealt to blocks by hash, each two blocks meet in one task, and each
-    vector keeps its best ``k`` (by distance, then id) of the other block; nothing passes through the driver.
+    In cells of about ``cell`` vectors (``vectors.nearest_neighbours``); nothing passes through the driver.
     Only vectors of the same width are near, null ones never.
     """
-    v = vectors.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
-    n = max(1, -(-v.count() // MEETING_BLOCK))
-    v = v.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)))
-    dealt = v.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "id", "embedding")
-
-    def best(s: np.ndarray, names: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
-        last = np.partition(s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), np.inf)
-        a, c = np.nonzero((s <= last[:, None]) & (s < np.inf))
-        order = np.lexsort((others[c], s[a, c], a))
-        a, c = a[order], c[order]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-        a, c = a[keep], c[keep]
-        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(others[c], pa.int64()), pa.array(s[a, c], pa.float64())], names=["query_id", "id", "score"])
-
-    def compare(rows: list[tuple]):
-        p, q = rows[0][:2]
-        sides = [{}, {}]
-        for _, _, g, name, e in rows:
-            sides[int(g != p)].setdefault(len(e), []).append((name, e))
-        for width, left in sides[0].items():
-            right = left if p == q else sides[1].get(width)
-            if not right or not width:
-                continue
-            a, b = np.array([r[0] for r in left]), np.array([r[0] for r in right])
-            x, y = np.array([r[1] for r in left], float), np.array([r[1] for r in right], float)
-            s = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * (x @ y.T), 0)).round(6)
-            s[a[:, None] == b] = np.inf
-            yield best(s, a, b)
-            if p != q:
-                yield best(s.T, b, a)
-
-    def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:2] != now:
-                    if rows:
-                        yield from compare(rows)
-                    now, rows = r[:2], []
-                rows.append(r)
-        if rows:
-            yield from compare(rows)
-
-    hits = dealt.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "query_id long, id long, score double")
-    return top(hits, k, ascending=True)
+    found = [nearest_neighbours(vectors, None, k, cell, w) for w in widths(vectors)]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
 
 
 def nearest_between(queries: DataFrame, vectors: DataFrame, k: int = 1) -> DataFrame:

@@ -206,15 +206,21 @@ def _search(stored: DataFrame, pivots: np.ndarray, sizes: dict[int, tuple[float,
     return _top(found, k).select("query_id", "id", F.col("d").alias("score"), "rank")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None, k: int = 10, size: int = CELL) -> DataFrame:
+def widths(vectors: DataFrame) -> list[int]:
+    """The widths of the vectors (id, embedding) that are not empty."""
+    rows = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1))).collect()
+    return sorted(r["w"] for r in rows if r["w"] > 0)
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None, k: int = 10, size: int = CELL, width: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` vectors (id, embedding) nearest by L2 to each of (query_id, vector), exactly, ties by id.
 
     Without ``queries`` every vector looks for its nearest others. Each point first meets its nearest cell, and
     then only the cells that may hold something nearer than the k-th vector found there. Only vectors of one
-    width (the most usual one) take part, null ones and null ids never. Repeated query ids must not differ.
+    ``width`` (by default the most usual one) take part, null ones and null ids never. Repeated query ids must not differ.
     """
     scratch = Scratch(vectors.sparkSession)
-    v, width = whole(vectors)
+    v, width = whole(vectors, width)
     n = v.count()
     if not n or not width:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
@@ -224,17 +230,17 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None, k: int = 1
     return _search(stored, pivots, cell_sizes(stored), points, k, None, queries is None, scratch)
 
 
-def pairs_within(vectors: DataFrame, least: float, size: int = CELL) -> DataFrame:
+def pairs_within(vectors: DataFrame, least: float, size: int = CELL, width: int | None = None) -> DataFrame:
     """(a, b, similarity) with a < b of the vectors (id, embedding) with a cosine of ``least`` (over 0) or more, exactly.
 
     On vectors of length one a cosine is a distance, so a vector meets its own cell and, of those numbered after it,
     the cells that this distance reaches; where vectors form groups, most pairs of cells never meet. Zero vectors
-    are similar to none; vectors of another width than the most usual one, null ones and null ids take no part.
+    are similar to none; vectors of another ``width`` than this (by default the most usual one), null ones and null ids take no part.
     """
     if least <= 0:
         raise ValueError("similarities of 0 or less hold for nearly all pairs")
     scratch = Scratch(vectors.sparkSession)
-    v, width = whole(vectors)
+    v, width = whole(vectors, width)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = v.withColumn("n", norm).filter("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
     n = unit.count()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import consolidate as C
 from ..operators import pairs as P
 from ..operators import search as S
+from ..operators.vectors import VectorIndex
+from ..session import shared_dir
 from ..sources import testdata as D
 from ..sources.testdata import SQL, with_views
 
@@ -70,6 +74,13 @@ def knn_l2(spark, sf):
     return S.nearest(D.vectors(spark, sf), _query_vectors(spark, sf), 10)
 
 
+@query(f"WITH {_KNN.format('a.id % 100 = 0')} SELECT query_id, id, score, rank FROM knn WHERE rank <= 10")
+def knn_index(spark, sf):
+    """The same by a stored index, which is built of all vectors first and then read by the cells that the queries reach."""
+    index = VectorIndex.build(D.vectors(spark, sf), f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/vector_index", size=256)
+    return index.search(_query_vectors(spark, sf), 10)
+
+
 @query("""WITH v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings),
 s AS (SELECT a.id AS query_id, b.id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS score FROM v a, v b WHERE a.id % 100 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
