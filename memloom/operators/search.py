@@ -43,26 +43,63 @@ def phrase_search(notes: DataFrame, queries: DataFrame, k: int = 20, offset: int
     a start at which all pairs of a phrase meet; a phrase of one term meets single terms.
     Texts are not scanned once for each query. Queries without terms match nothing.
     """
+    q = phrase_terms(queries, stem)
+    known = materialize(variants(notes, q.select(F.explode("terms").alias("stem")).distinct())) if stem else None
+    return phrase_hits(postings(notes), lengths(notes), wanted_pairs(q, known), k, offset)
+
+
+def phrase_terms(queries: DataFrame, stem: bool) -> DataFrame:
+    """(query_id, terms) of the phrases that have any."""
     terms = X.ordered_tokens(F.col("phrase"))
-    q = queries.select("query_id", (stemmed(terms) if stem else terms).alias("terms")).filter(F.size("terms") > 0)
+    return queries.select("query_id", (stemmed(terms) if stem else terms).alias("terms")).filter(F.size("terms") > 0)
+
+
+def wanted_pairs(q: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, m, k, a, b): the m pairs of neighbours of each phrase, b null for a phrase of one term; ``known`` (term, stem) puts terms in the places of stems."""
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("terms") - 2, F.lit(0))), lambda i: F.struct(F.get("terms", i).alias("a"), F.get("terms", i + 1).alias("b")))
     want = q.select("query_id", F.greatest(F.size("terms") - 1, F.lit(1)).alias("m"), F.posexplode(pairs).alias("k", "p")).select("query_id", "m", "k", "p.a", "p.b")
-    if stem:
-        known = materialize(variants(notes, q.select(F.explode("terms").alias("stem")).distinct()))
+    if known is not None:
         second = known.select(F.col("term").alias("to"), F.col("stem").alias("b"))
         want = want.join(known.withColumnRenamed("stem", "a"), "a").drop("a").withColumnRenamed("term", "a").join(second, "b", "left").filter("b is null or to is not null").drop("b").withColumnRenamed("to", "b")
-    p = postings(notes)
+    return want
+
+
+def lengths(notes: DataFrame) -> DataFrame:
+    """(id, dl): the number of terms of each note."""
+    return notes.select("id", (F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
+
+
+def _whole(size: DataFrame):
+    return size.agg(F.struct(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).alias("s")).scalar()
+
+
+def _bm25(tf: DataFrame, size: DataFrame, by: list[str]) -> DataFrame:
+    """tf (query_id, id, dl, tf) with its weight; the number of notes with it is counted for each of ``by``."""
+    df = tf.groupBy(*by).agg(F.count(F.lit(1)).alias("df"))
+    hits = tf.join(df, by).withColumn("s", _whole(size))
+    idf = F.greatest(F.log((F.col("s.total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return hits.withColumn("weight", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.mean"))))
+
+
+def phrase_hits(p: DataFrame, size: DataFrame, want: DataFrame, k: int, offset: int = 0) -> DataFrame:
+    """(query_id, id, score, rank) from postings, lengths of the notes and wanted pairs."""
     two, one = want.filter("b is not null"), want.filter("b is null").drop("b")
     met = p.join(two, ["a", "b"]).select("query_id", "m", "k", "id", "dl", "field", "pos").unionAll(p.join(one, "a").select("query_id", "m", "k", "id", "dl", "field", "pos"))
     starts = met.groupBy("query_id", "m", "id", "dl", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("c")).filter("c = m")
     tf = starts.groupBy("query_id", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    size = notes.select((F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
-    whole = size.agg(F.struct(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).alias("s")).scalar()
-    df = tf.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(df, "query_id").withColumn("s", whole)
-    idf = F.greatest(F.log((F.col("s.total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.mean")))
-    return top(hits.select("query_id", "id", F.round(score, 6).alias("score")), k, offset)
+    return top(_bm25(tf, size, ["query_id"]).select("query_id", "id", F.round("weight", 6).alias("score")), k, offset)
+
+
+def question_terms(queries: DataFrame, least_bytes: int = 3) -> DataFrame:
+    """(query_id, a): the distinct terms of each question of ``least_bytes`` or more."""
+    terms = F.array_distinct(F.filter(X.ordered_tokens(F.col("question")), lambda t: F.octet_length(t) >= least_bytes))
+    return queries.select("query_id", F.explode(terms).alias("a"))
+
+
+def any_term_hits(p: DataFrame, size: DataFrame, want: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) from postings, lengths of the notes and wanted terms."""
+    tf = p.join(want, "a").groupBy("query_id", "a", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return top(_bm25(tf, size, ["query_id", "a"]).groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score")), k)
 
 
 def any_term_search(notes: DataFrame, queries: DataFrame, k: int = 20, least_bytes: int = 3) -> DataFrame:
@@ -70,17 +107,7 @@ def any_term_search(notes: DataFrame, queries: DataFrame, k: int = 20, least_byt
 
     Occurrences are counted within the task that reads them before they are shuffled; a query without terms matches nothing.
     """
-    terms = F.array_distinct(F.filter(X.ordered_tokens(F.col("question")), lambda t: F.octet_length(t) >= least_bytes))
-    want = queries.select("query_id", F.explode(terms).alias("a"))
-    p = postings(notes)
-    tf = p.join(want, "a").groupBy("query_id", "a", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "a").agg(F.count(F.lit(1)).alias("df"))
-    size = notes.select((F.size(X.ordered_tokens(F.coalesce("title", F.lit("")))) + F.size(X.ordered_tokens(F.coalesce("content", F.lit(""))))).alias("dl"))
-    whole = size.agg(F.struct(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).alias("s")).scalar()
-    hits = tf.join(df, ["query_id", "a"]).withColumn("s", whole)
-    idf = F.greatest(F.log((F.col("s.total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.mean")))
-    return top(hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")), k)
+    return any_term_hits(postings(notes), lengths(notes), question_terms(queries, least_bytes), k)
 
 
 def replay_rerank(hits: DataFrame, scores: DataFrame, k: int = 10, alpha: float = 0.6) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import consolidate as C
 from ..operators import pairs as P
 from ..operators import search as S
+from ..operators.text_index import TextIndex
 from ..operators.vectors import VectorIndex
 from ..session import shared_dir
 from ..sources import testdata as D
@@ -60,6 +61,24 @@ def fts_bm25(spark, sf):
     return S.phrase_search(_plain(spark, sf), _phrases(spark, sf), k=20, stem=False)
 
 
+def _text_index(spark, sf):
+    """An index of the documents, whose texts then change: of ids that five divides they are put before themselves again, those that seven divides go."""
+    notes = _plain(spark, sf)
+    index = TextIndex.build(notes, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/text_index", buckets=16)
+    changed = notes.filter("id % 5 = 0 or id % 7 = 0").withColumns({"content": F.concat("content", F.lit(" "), "content"), "deleted": F.expr("id % 7 = 0")})
+    index.apply(changed, 1)
+    return index
+
+
+_CHANGED = "documents AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' ' || text ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH {_CHANGED}, {_FTS} SELECT query_id, id, score, rank FROM fts WHERE rank <= 20")
+def fts_index(spark, sf):
+    """Phrases by a stored index after a batch of changes."""
+    return _text_index(spark, sf).phrase_search(_phrases(spark, sf), k=20, stem=False)
+
+
 @query()
 def fts_stemmed(spark, sf):
     return S.phrase_search(_plain(spark, sf), _phrases(spark, sf), k=20)
