@@ -17,6 +17,7 @@ import hashlib
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .arrow import ROWS, pieces
+from .chunks import spaced
 from .packing import encoder
-from .token_counts import LONG, MARK, prove, words
+from .token_counts import LONG, MARK, prove
 
 #: A block is given away when its documents have this many tokens of the first tokenizer.
 BLOCK = 4_000_000
 #: A worker forgets its words when it holds this many, and its windows when they take this many bytes (about).
-WORDS, HELD = 200_000, 100_000_000
+WORDS, HELD = 400_000, 100_000_000
 #: What a remembered window takes besides its strings.
 EACH = 400
 #: Up to so many links of a window are kept one by one, more of them by distinct pairs.
@@ -61,33 +63,51 @@ def byte_level_tokens(path: str) -> list[bytes]:
     return out
 
 
-class Pieces:
-    """Ids of whole texts by a piece model, as little-endian unsigned 32-bit integers; each distinct word is encoded once in a while."""
+#: Marks ids of the second tokenizer where those of both stand in one array.
+SECOND = np.uint32(1 << 31)
 
-    def __init__(self, path: str):
+
+class Tokens:
+    """Both tokenisations of whole texts: ids as little-endian unsigned 32-bit integers, those of the second with the mark SECOND.
+
+    The first tokenizer is a byte-level one and gets a space before the text; the second, a piece model, adds its
+    own. Both cut ordinary texts at spaces, so each distinct word is encoded once in a while by both; texts with odd
+    spaces or the piece model's own mark are encoded whole.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.first = encoder(a_path, plain=True)
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.apart = prove(self.sp) is not None
-        self.known: dict[str, bytes] = {}
-        self.mark = array("I", [self.sp.piece_to_id(MARK)]).tobytes()  # a word without characters is its mark
         n = range(self.sp.get_piece_size())
-        self.tokens = [bytes([int(self.sp.id_to_piece(i)[3:-1], 16)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).replace(MARK, " ").encode() for i in n]
+        pieces_of = [bytes([int(self.sp.id_to_piece(i)[3:-1], 16)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).replace(MARK, " ").encode() for i in n]
+        self.bytes_of = byte_level_tokens(a_path), pieces_of
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in self.sp.encode(texts, num_threads=1)]
+    def second(self, texts: list[str]) -> list[bytes]:
+        return [(np.array(ids, np.uint32) | SECOND).tobytes() for ids in self.sp.encode(texts, num_threads=1)]
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        """Ids of words that stand after a space."""
+        ids = self.sp.encode(new, num_threads=1)
+        ends = np.cumsum([0, *map(len, ids)]) * 4
+        b = (np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1] // 4)) | SECOND).tobytes()
+        ends = ends.tolist()
+        return [a + b[i:j] for a, i, j in zip(self.first.apart([" " + w for w in new]), ends, ends[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.apart:
-            return self.encode(texts)
         known = self.known
         if len(known) > WORDS:
             known.clear()
-        known[""] = self.mark
-        cut = [words(t) if t else [] for t in texts]
-        new = [w for w in set().union(*cut) if w not in known]
-        known.update(zip(new, self.encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = [t.split(" ") if t and self.apart and MARK not in t and not spaced(" " + t) else None for t in texts]
+        new = [w for w in set().union(*(c for c in cut if c)) if w not in known]
+        known.update(zip(new, self._words(new), strict=True))
+        get = known.__getitem__
+        whole = [t for t, c in zip(texts, cut, strict=True) if t and c is None]
+        odd = iter(list(zip(self.first([" " + t for t in whole]), self.second(whole), strict=True)) if whole else [])
+        out = [b"".join(map(get, c)) if c else b"".join(next(odd)) if t else b"" for t, c in zip(texts, cut, strict=True)]
         for w in new:
             if len(w) > LONG:
                 del known[w]
@@ -104,18 +124,34 @@ def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     return at[hit] + 1, np.flatnonzero(hit) + 1
 
 
+def apart(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of either side, one array after another, and how many of each there are up to the end of each array (from 0)."""
+    every = np.frombuffer(b"".join(ids), "<u4")
+    second = every >= SECOND
+    last = np.cumsum([0, *map(len, ids)]) // 4
+    b_last = np.concatenate([[0], np.cumsum(second)])[last]
+    return every[~second].astype(np.int64), (every[second] ^ SECOND).astype(np.int64), last - b_last, b_last
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 class Windows:
     """What is known of windows, by number: bytes (None if the two sides differ), groups as text, their number, links, and the pairs of the links."""
 
     def __init__(self, a_tokens: list[bytes], b_tokens: list[bytes]):
-        self.a_tokens, self.b_tokens = a_tokens, b_tokens
+        self.n_tokens = len(a_tokens), len(b_tokens)
         self.sizes = [np.array(list(map(len, t)), np.int64) for t in (a_tokens, b_tokens)]
         # each id as text, with what follows it inside and at the end of its group
-        self.written = [f"{i}{mark}" for n, last in ((len(a_tokens), "|"), (len(b_tokens), ";")) for mark in (",", last) for i in range(n)]
+        self.written = _objects([f"{i}{mark}" for n, last in ((len(a_tokens), "|"), (len(b_tokens), ";")) for mark in (",", last) for i in range(n)])
+        self.bytes_of = [_objects(t) for t in (a_tokens, b_tokens)]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.held = 0
         self.raw: list[bytes | None] = []
         self.text: list[str] = []
@@ -124,11 +160,34 @@ class Windows:
         self.pairs: list[bytes] = []
         #: How often each pair of a window with many links is linked; the other windows have a pair for each link.
         self.times: dict[int, bytes] = {}
-
-    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        """Work out new windows, all at once: their groups lie between the shared ends of their tokens, laid one after another."""
-        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
-        a_upto, b_upto = (np.cumsum([0, *(len(k[side]) // 4 for k in keys)]) for side in (0, 1))
+        #: In how many calls each was used.
+        self.uses = np.zeros(0, np.int64)
+
+    def used(self, numbers: np.ndarray) -> None:
+        """Note distinct windows as used once more."""
+        if len(self.uses) < len(self.number):
+            self.uses = np.concatenate([self.uses, np.zeros(2 * len(self.number) - len(self.uses), np.int64)])
+        self.uses[numbers] += 1
+
+    def forget(self) -> None:
+        """Keep the windows used most often, half of them at most."""
+        n = len(self.number)
+        uses = self.uses[:n]
+        keep = np.flatnonzero(uses > np.median(uses)).tolist() if len(uses) == n else []
+        keys, old = list(self.number), (self.raw, self.text, self.groups, self.links, self.pairs)
+        times, held, uses = self.times, self.held, uses[keep] if keep else None
+        self.clear()
+        for new, was in zip((self.raw, self.text, self.groups, self.links, self.pairs), old, strict=True):
+            new += [was[i] for i in keep]
+        self.number = {keys[i]: k for k, i in enumerate(keep)}
+        self.times = {k: times[i] for k, i in enumerate(keep) if i in times}
+        if keep:
+            # their counts begin anew, so that windows of the past make room
+            self.uses, self.held = np.zeros(len(keep), np.int64), held * len(keep) // n
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Work out new windows (ids of the first side, then of the second), all at once: their groups lie between the shared ends of their tokens, laid one after another."""
+        a, b, a_upto, b_upto = apart(keys)
         a_bytes, b_bytes = (np.concatenate([[0], np.cumsum(size[ids])]) for size, ids in zip(self.sizes, (a, b), strict=True))
         i, j = shared_ends(a_bytes[1:], b_bytes[1:])
         x, y = np.diff(i, prepend=0), np.diff(j, prepend=0)
@@ -139,17 +198,17 @@ class Windows:
         a_place = np.arange(len(a)) + np.repeat(j - y, x)
         b_place = np.arange(len(b)) + np.repeat(i, y)
         code = np.empty(len(a) + len(b), np.int64)
-        code[a_place], code[b_place] = a, b + 2 * len(self.a_tokens)
-        code[a_place[i - 1]] += len(self.a_tokens)
-        code[b_place[j - 1]] += len(self.b_tokens)
-        written = list(map(self.written.__getitem__, code.tolist()))
+        code[a_place], code[b_place] = a, b + 2 * self.n_tokens[0]
+        code[a_place[i - 1]] += self.n_tokens[0]
+        code[b_place[j - 1]] += self.n_tokens[1]
+        written = self.written[code].tolist()
         # a pair for each link, but for windows with many
         few = np.repeat(of_window <= FEW, np.diff(upto))
         n = (x * y)[few]
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         wide = np.repeat(y[few], n)
         pairs = (a[np.repeat((i - x)[few], n) + k // wide] << 32 | b[np.repeat((j - y)[few], n) + k % wide]).tobytes()
-        a_raw, b_raw = (b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_tokens, a), (self.b_tokens, b)))
+        a_raw, b_raw = (b"".join(t[ids].tolist()) for t, ids in zip(self.bytes_of, (a, b), strict=True))
         same = a_raw == b_raw
         ends, both, groups = a_bytes[a_upto].tolist(), (a_upto + b_upto).tolist(), np.diff(upto).tolist()
         at = 0
@@ -179,48 +238,40 @@ class Aligner:
     """Aligns texts by two tokenizer files: a byte-level one, which gets a space before the text, and a piece model, which adds its own."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = encoder(a_path, plain=True), Pieces(b_path)
-        self.a.limit = WORDS
-        tokens = byte_level_tokens(a_path), self.b.tokens
-        self.spaced = [np.array([t[:1] == b" " for t in ts]) for ts in tokens]
-        self.windows = Windows(*tokens)
-        self.size = self.windows.sizes
+        self.tokens = Tokens(a_path, b_path)
+        self.spaced = [np.array([t[:1] == b" " for t in ts]) for ts in self.tokens.bytes_of]
+        self.windows = Windows(*self.tokens.bytes_of)
 
     def __call__(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text (n_a, n_b, n_groups, n_links, groups_sha256); and of all texts: number of distinct pairs each, pairs, times linked."""
         w = self.windows
         if w.held > HELD:
-            w.clear()
-        raw = [(" " + t).encode() if t else b"" for t in texts]
-        a_ids, b_ids = self.a([" " + t if t else "" for t in texts]), self.b(texts)
+            w.forget()
+        raw, ids = [(" " + t).encode() if t else b"" for t in texts], self.tokens(texts)
         while True:
-            (a, a_last, a_ends), (b, b_last, b_ends) = self._laid(0, a_ids), self._laid(1, b_ids)
+            a, b, a_last, b_last = apart(ids)
+            a_ends, b_ends = (np.concatenate([[0], np.cumsum(size[x])]) for size, x in zip(w.sizes, (a, b), strict=True))
             length = np.array(list(map(len, raw)))
             wrong = np.flatnonzero((np.diff(a_ends[a_last]) != length) | (np.diff(b_ends[b_last]) != length))
             if not len(wrong):
                 break
             for i in wrong.tolist():
-                raw[i] = a_ids[i] = b_ids[i] = b""
+                raw[i] = ids[i] = b""
         numbers, upto = self._windows(a, b, a_last, a_ends[1:], b_ends[1:])
         out, good = [], []
-        text, bytes_of = w.text.__getitem__, w.raw.__getitem__
+        text = w.text.__getitem__
+        every = list(map(w.raw.__getitem__, numbers))
+        right = None not in every and b"".join(every) == b"".join(raw)
         groups, links = (np.concatenate([[0], np.cumsum([x[i] for i in numbers], dtype=np.int64)]) for x in (w.groups, w.links))
+        n_a, n_b = np.diff(a_last).tolist(), np.diff(b_last).tolist()
         for d, (i, j) in enumerate(zip(upto[:-1], upto[1:], strict=True)):
-            here = numbers[i:j]
-            sides = list(map(bytes_of, here))
-            if here and None not in sides and b"".join(sides) == raw[d]:
+            if i < j and (right or None not in every[i:j] and b"".join(every[i:j]) == raw[d]):
                 good.append(d)
-                out.append((len(a_ids[d]) // 4, len(b_ids[d]) // 4, int(groups[j] - groups[i]), int(links[j] - links[i]), hashlib.sha256(";".join(map(text, here)).encode()).hexdigest()))
+                out.append((n_a[d], n_b[d], int(groups[j] - groups[i]), int(links[j] - links[i]), hashlib.sha256(";".join(map(text, numbers[i:j])).encode()).hexdigest()))
             else:
                 out.append((0, 0, 0, 0, ""))
         return out, *self._pairs(numbers, upto, good, len(texts))
 
-    def _laid(self, side: int, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's ids end among them (from 0), and where each id's bytes end (from 0)."""
-        every = np.frombuffer(b"".join(ids), "<u4")
-        last = np.cumsum([0, *(len(x) // 4 for x in ids)])
-        return every, last, np.concatenate([[0], np.cumsum(self.size[side][every])])
-
     def _windows(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int]]:
         """The number of each window, and how many windows there are up to the end of each text (from 0)."""
         if not len(a):
@@ -231,14 +282,19 @@ class Aligner:
         cut = ends[i] | (self.spaced[0][a[np.minimum(i, len(a) - 1)]] & self.spaced[1][b[np.minimum(j, len(b) - 1)]])
         i, j = i[cut], j[cut]
         upto = np.searchsorted(i, a_last, "right").tolist()
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        a_at, b_at = [0, *(4 * i).tolist()], [0, *(4 * j).tolist()]
-        keys = [(a_raw[p:q], b_raw[r:s]) for p, q, r, s in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
+        # a window's key: its ids of the first side, then those of the second
+        x, y = np.diff(i, prepend=0), np.diff(j, prepend=0)
+        every = np.empty(len(a) + len(b), np.uint32)
+        every[np.arange(len(a)) + np.repeat(j - y, x)] = a
+        every[np.arange(len(b)) + np.repeat(i, y)] = b.astype(np.uint32) | SECOND
+        laid, at = every.tobytes(), [0, *(4 * (i + j)).tolist()]
+        keys = [laid[p:q] for p, q in pairwise(at)]
         number = self.windows.number
-        new = list(dict.fromkeys([k for k in keys if k not in number]))
-        if new:
-            self.windows.learn(new)
-        return list(map(number.__getitem__, keys)), upto
+        found = list(map(number.get, keys))
+        if None in found:
+            self.windows.learn(list(dict.fromkeys([k for k, n in zip(keys, found, strict=True) if n is None])))
+            found = [number[k] if n is None else n for n, k in zip(found, keys, strict=True)]
+        return found, upto
 
     def _pairs(self, numbers: list[int], upto: list[int], good: list[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of distinct pairs of each text, and these pairs and how often they are linked, text by text."""
@@ -247,6 +303,7 @@ class Aligner:
         text = np.repeat(np.arange(n), np.diff(upto))
         some = keep[text]
         used, at = np.unique(np.array(numbers, np.int64)[some], return_inverse=True)
+        self.windows.used(used)
         if not len(used):
             return np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs = [self.windows.pairs[i] for i in used.tolist()]

@@ -111,18 +111,20 @@ def test_rows_without_ids_and_no_rows(spark, libraries):
     assert alignment.align_tokens(df.limit(0), A, B).collect() == []
 
 
-def test_pieces_equal_library(libraries):
+def test_tokens_equal_libraries(libraries):
     r = random.Random(4)
-    p = alignment.Pieces(B)
+    both = alignment.Tokens(A, B)
     texts = [t or "" for t in ODD] + ["".join(r.choice("ab \n\té日▁.") for _ in range(30)) for _ in range(300)]
-    for t, x in zip(texts, p(texts), strict=True):
-        assert memoryview(x).cast("I").tolist() == libraries[1].encode(t), t
+    for t, x in zip(texts, both(texts), strict=True):
+        a, b, _, _ = alignment.apart([x])
+        assert a.tolist() == (libraries[0].encode(" " + t, add_special_tokens=False).ids if t else []), t
+        assert b.tolist() == libraries[1].encode(t), t
 
 
 def test_windows_with_few_and_many_links():
     """Tokens that end apart are one group; windows on either side of the limit have the same links; sides that differ are told."""
     w = alignment.Windows([b"", b" a", b"bc", b"abc", b"x"], [b"", b" ", b"ab", b"c", b"a", b"bc", b"x", b"y"])
-    key = lambda a, b: (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes())
+    key = lambda a, b: np.array(a, "<u4").tobytes() + (np.array(b, "<u4") | alignment.SECOND).tobytes()
     many = alignment.FEW + 1
     w.learn([key([1, 2], [1, 2, 3]), key([1, 2], [1, 4, 5]), key([4] * 3, [6] * 3), key([1], [1, 4]), key([4], [7]), key([4, *[1, 2] * many], [6, *[1, 2, 3] * many])])
     assert w.text[:5] == ["1,2|1,2,3", "1|1,4;2|5", "4|6;4|6;4|6", "1|1,4", "4|7"]
