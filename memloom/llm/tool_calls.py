@@ -10,9 +10,11 @@ Arguments are checked against the tool's JSON schema.
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,6 @@ from .arrow import with_columns
 
 #: Dependencies of one conversation that one task orders at most; those of larger conversations are ordered by joins.
 TOGETHER = 20_000
-#: Arguments and schemas are nested so deeply at most; what is deeper counts as no JSON, whatever the interpreter could read.
-NESTED = 500
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None), "integer": int, "number": (int, float)}
 _NUMBERS = ("minimum", "maximum", "minLength", "maxLength")
 
@@ -38,61 +38,125 @@ def is_type(value: object, name: str) -> bool:
 
 def same(a: object, b: object) -> bool:
     """JSON equality: 1 is 1.0, but not true."""
-    if isinstance(a, list) and isinstance(b, list):
-        return len(a) == len(b) and all(map(same, a, b))
-    if isinstance(a, dict) and isinstance(b, dict):
-        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
-    return isinstance(a, bool) == isinstance(b, bool) and a == b
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if isinstance(a, list) and isinstance(b, list):
+            if len(a) != len(b):
+                return False
+            todo += zip(a, b, strict=True)
+        elif isinstance(a, dict) and isinstance(b, dict):
+            if a.keys() != b.keys():
+                return False
+            todo += ((a[k], b[k]) for k in a)
+        elif isinstance(a, (list, dict)) or isinstance(b, (list, dict)) or isinstance(a, bool) != isinstance(b, bool) or a != b:
+            return False
+    return True
 
 
 def is_schema(schema: object) -> bool:
     """Whether the keywords that ``violations`` reads have the types that they should."""
-    if not isinstance(schema, dict):
-        return False
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    return (
-        isinstance(kinds, list)
-        and all(isinstance(k, str) and k in _TYPES for k in kinds)
-        and isinstance(schema.get("enum", []), list)
-        and all(is_type(schema.get(k, 0), "number") for k in _NUMBERS)
-        and isinstance(schema.get("required", []), list)
-        and all(isinstance(k, str) for k in schema.get("required", []))
-        and isinstance(schema.get("properties", {}), dict)
-        and all(map(is_schema, schema.get("properties", {}).values()))
-        and ("items" not in schema or is_schema(schema["items"]))
-    )
-
-
-def violations(value: object, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema: type, enum, bounds, lengths, properties, required, additionalProperties and items."""
+    todo = [schema]
+    while todo:
+        schema = todo.pop()
+        if not isinstance(schema, dict):
+            return False
+        kinds = schema.get("type", [])
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        good = (
+            isinstance(kinds, list)
+            and all(isinstance(k, str) and k in _TYPES for k in kinds)
+            and isinstance(schema.get("enum", []), list)
+            and all(is_type(schema.get(k, 0), "number") for k in _NUMBERS)
+            and isinstance(schema.get("required", []), list)
+            and all(isinstance(k, str) for k in schema.get("required", []))
+            and isinstance(schema.get("properties", {}), dict)
+        )
+        if not good:
+            return False
+        todo += schema.get("properties", {}).values()
+        if "items" in schema:
+            todo.append(schema["items"])
+    return True
+
+
+def _place(at: tuple | None) -> str:
+    """A path from the links (link before, step)."""
+    steps = []
+    while at:
+        at, step = at
+        steps.append(step)
+    return "".join(["$", *reversed(steps)])
+
+
+def _own_violations(value: object, schema: dict) -> list[str]:
+    """What is wrong with a value itself, whatever it holds."""
     kinds = schema.get("type")
     if kinds and not any(is_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: type"]
+        return ["type"]
     out = []
     if "enum" in schema and not any(same(value, e) for e in schema["enum"]):
-        out.append(f"{at}: enum")
+        out.append("enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{at}: {k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
+        out += [k for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
     if isinstance(value, str):
-        out += [f"{at}: {k}" for k, bad in (("minLength", len(value) < schema.get("minLength", 0)), ("maxLength", len(value) > schema.get("maxLength", len(value)))) if bad]
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{i}]")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
+        out += [k for k, bad in (("minLength", len(value) < schema.get("minLength", 0)), ("maxLength", len(value) > schema.get("maxLength", len(value)))) if bad]
     return out
 
 
+def violations(value: object, schema: dict) -> list[str]:
+    """Where a value breaks a schema: type, enum, bounds, lengths, properties, required, additionalProperties and items; nested as deeply as it may be."""
+    out: list[str] = []
+    todo: list[tuple] = [(value, schema, None)]
+    while todo:
+        value, schema, at = todo.pop()
+        if schema is None:  # an error by now, in its place among those of the other properties
+            out.append(f"{_place(at)}: {value}")
+            continue
+        wrong = _own_violations(value, schema)
+        out += [f"{_place(at)}: {k}" for k in wrong]
+        if wrong == ["type"]:
+            continue
+        after: list[tuple] = []
+        if isinstance(value, list) and "items" in schema:
+            after = [(v, schema["items"], (at, f"[{i}]")) for i, v in enumerate(value)]
+        if isinstance(value, dict):
+            known = schema.get("properties", {})
+            out += [f"{_place((at, '.' + k))}: required" for k in schema.get("required", []) if k not in value]
+            for k in sorted(value):
+                if k in known:
+                    after.append((value[k], known[k], (at, f".{k}")))
+                elif schema.get("additionalProperties") is False:
+                    after.append(("unknown", None, (at, f".{k}")))
+        todo += reversed(after)
+    return out
+
+
+def _written_deep(value: object) -> str:
+    """As ``canonical``, for values that are nested too deeply for the library."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]  # (whether it is text by now, what)
+    while todo:
+        done, v = todo.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [x for i, k in enumerate(sorted(v)) for x in ((True, ("," if i else "") + json.dumps(k, ensure_ascii=False) + ":"), (False, v[k]))]
+            todo += [(True, "}"), *reversed(parts), (True, "{")]
+        elif isinstance(v, list):
+            parts = [x for i, e in enumerate(v) for x in ((True, "," if i else ""), (False, e))]
+            todo += [(True, "]"), *reversed(parts), (True, "[")]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False, allow_nan=False))
+    return "".join(out)
+
+
 def canonical(value: object) -> str:
     """Sorted keys, no spaces; ValueError for what is no JSON: numbers without a value, and halves of surrogate pairs."""
-    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        out = _written_deep(value)
     out.encode()
     return out
 
@@ -101,17 +165,72 @@ def _no_number(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def _parsed_deep(text: str) -> object:
+    """As the library's reader, for texts that are nested too deeply for it: open lists and objects wait on a stack."""
+
+    def skip(i: int) -> tuple[int, str]:
+        i = _SPACE.match(text, i).end()
+        return i, text[i : i + 1]
+
+    def key(i: int) -> tuple[str, int]:
+        i, c = skip(i)
+        if c != '"':
+            raise ValueError("no key")
+        name, i = scanstring(text, i + 1, True)
+        i, c = skip(i)
+        if c != ":":
+            raise ValueError("no colon")
+        return name, i + 1
+
+    waits: list[tuple[object, str | None]] = []
+    i = 0
+    while True:
+        i, c = skip(i)
+        if c in ("[", "{"):
+            value: object = [] if c == "[" else {}
+            j, end = skip(i + 1)
+            if end != ("]" if c == "[" else "}"):
+                name, i = (None, i + 1) if c == "[" else key(i + 1)
+                waits.append((value, name))
+                continue
+            i = j + 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        else:
+            m = _PLAIN.match(text, i)
+            if not m:
+                raise ValueError("no value")
+            value, i = json.loads(m[0]), m.end()
+        while waits:
+            inside, name = waits.pop()
+            if isinstance(inside, list):
+                inside.append(value)
+            else:
+                inside[name] = value
+            i, c = skip(i)
+            if c == ",":
+                name, i = (None, i + 1) if isinstance(inside, list) else key(i + 1)
+                waits.append((inside, name))
+                break
+            if c != ("]" if isinstance(inside, list) else "}"):
+                raise ValueError("no end")
+            value, i = inside, i + 1
+        else:
+            if skip(i)[1]:
+                raise ValueError("more than a value")
+            return value
+
+
 def parse(text: str) -> object:
-    """The value of a JSON text; ValueError if it is none, or nested too deeply to be read, checked and written."""
+    """The value of a JSON text, however deeply nested; ValueError if it is none."""
     try:
         value = json.loads(text, parse_constant=_no_number)
     except RecursionError:
-        raise ValueError("nested too deeply") from None
-    depth, level = 0, [value]
-    while level := [v for x in level if isinstance(x, (list, dict)) for v in (x.values() if isinstance(x, dict) else x)]:
-        depth += 1
-        if depth > NESTED:
-            raise ValueError("nested too deeply")
+        value = _parsed_deep(text)
     canonical(value)
     return value
 
@@ -122,7 +241,7 @@ def _schema(text: str) -> dict | None:
     try:
         schema = parse(text)
         return schema if is_schema(schema) else None
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
 
 
@@ -137,10 +256,7 @@ def argument_errors(text: str, schema: str | None) -> tuple[object, list[str]]:
     known = _schema(schema)
     if known is None:
         return args, ["schema"]
-    try:
-        return args, violations(args, known)
-    except RecursionError:
-        return None, ["json"]
+    return args, violations(args, known)
 
 
 def order(edges: list[tuple[str, str]]) -> dict[str, int]:
@@ -247,7 +363,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     each conversation's calls without id, and its results without id, are one row each.
     Dependencies on ids that are not there give the error "dependency", cycles
     the error "cycle" and no step. Arguments that are no JSON (NaN and infinite numbers and half
-    surrogate pairs are none, nor are texts nested too deeply to be read), unknown tools, schemas
+    surrogate pairs are none; texts may be nested as deeply as they are), unknown tools, schemas
     that are none and schema violations are errors too; valid means no errors. Null arguments count as {}.
     record is canonical JSON (sorted keys, no spaces) of the call, its result and step.
     Empty tables give an empty result. Duplicates are reduced before they are shuffled.
@@ -268,7 +384,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     behind = real.select(*key).distinct().join(step, key, "left").select(*key, F.coalesce("step", F.lit(-1)).alias("step"))
     joined = call.join(behind, key, "left").join(missing, key, "left").withColumn("step", F.coalesce("step", F.lit(0))).withColumn("called", F.lit(True))
     # ids are unique on either side by now, so the hash join has no hot key; null ids are one row a conversation and meet nothing
-    joined = joined.join(result.hint("shuffle_hash"), key, "full_outer").join(schemas.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
+    thin = result.drop("result").withColumn("answered", F.lit(True))
+    joined = joined.join(thin.hint("shuffle_hash"), key, "full_outer")
+    # contents, which may be long, are not held in memory by the hash join, but come by a sorted one
+    content = result.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), "result")
+    joined = joined.join(content, F.col("answered") & F.expr("conv_id <=> r_conv and call_id <=> r_call"), "left").drop("r_conv", "r_call")
+    joined = joined.join(schemas.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
     joined = joined.withColumn("status", F.expr("case when called is null then 'orphan' when result_turn is null and n_results is null then 'pending' else 'linked' end"))
     joined = joined.withColumn("step", F.expr("case when step >= 0 then step end")).withColumn("turn", F.coalesce("turn", "result_turn"))
     doc = F.to_json(F.struct("conv_id", "call_id", "turn", "name", "arguments", "result", "step", "status", "n_calls", "missing", "schema", "called"))

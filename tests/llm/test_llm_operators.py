@@ -807,7 +807,7 @@ def test_odd_arguments_and_schemas(spark):
     schema = '{"type":"object","properties":{"n":{"enum":[1,"a"]}}}'
     deep = "[" * 200_000
     cases = {
-        deep: ["json"], '{"n":' * 5000 + "1" + "}" * 5000: ["json"], '{"n":NaN}': ["json"], '{"n":1e999}': ["json"], '{"n":"\\ud800"}': ["json"], "": ["json"], "x": ["json"],
+        deep: ["json"], '{"n":' * 5000 + "1" + "}" * 5000: ["$.n: enum"], deep + "]" * 200_000: ["$: type"], '{"n":NaN}': ["json"], '{"n":1e999}': ["json"], '{"n":"\\ud800"}': ["json"], "": ["json"], "x": ["json"],
         '{"n":true}': ["$.n: enum"], '{"n":1.0}': [], '{"n":"a","m":"' + "y" * 300_000 + '"}': [], "[]": ["$: type"], '{"n":' + "9" * 5000 + "}": ["json"],
     }
     assert {k: tool_calls.argument_errors(k, schema)[1] for k in cases} == cases
@@ -823,6 +823,90 @@ def test_odd_arguments_and_schemas(spark):
     assert all("NaN" not in r["record"] for r in got.values())
 
 
+def test_deep_json():
+    """Texts of any depth are read, checked and written as shallow ones are."""
+    r = random.Random(8)
+
+    def made(depth):
+        kind = r.randrange(7) if depth else r.randrange(2, 7)
+        if kind == 0:
+            return [made(depth - 1) for _ in range(r.randrange(4))]
+        if kind == 1:
+            return {r.choice(["a", "é", 'q"', "\n", ""]): made(depth - 1) for _ in range(r.randrange(4))}
+        return [1, -2.5e9, True, None, 'x\u20ac"\\'][kind - 2]
+
+    for _ in range(300):
+        value = made(5)
+        text = json.dumps(value, indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5)
+        assert tool_calls._parsed_deep(text) == value and tool_calls._written_deep(value) == tool_calls.canonical(value)
+        for bad in (text[:-1] or "x", text + "1x", text.replace(":", ";") if ":" in text else "[,]", "[1,]", '{"a":1,}', "01", "[1 2]", ""):
+            try:
+                want = json.loads(bad)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    tool_calls._parsed_deep(bad)
+            else:
+                assert tool_calls._parsed_deep(bad) == want
+    n = 30_000
+    value, schema = tool_calls.parse('{"a":[' * n + "7" + "]}" * n), tool_calls.parse('{"properties":{"a":{"items":' * n + '{"maximum":6}' + "}}}" * n)
+    assert tool_calls.is_schema(schema) and tool_calls.violations(value, schema) == ["$" + ".a[0]" * n + ": maximum"]
+    assert tool_calls.canonical(value) == '{"a":[' * n + "7" + "]}" * n and tool_calls.same(value, tool_calls.parse('{"a": [' * n + "7.0" + "]}" * n))
+
+
+def test_tool_calls_by_brute_force(spark):
+    """Random conversations against a plain program: links, duplicates, orphans, steps, cycles, checks and records."""
+    r = random.Random(21)
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}, "required": ["n"]}, "g": {"type": "object"}}
+    calls, results = [], []
+    for conv in range(40):
+        ids = [f"c{i}" for i in range(r.randrange(1, 9))]
+        for turn, i in enumerate(ids + r.choices(ids, k=r.randrange(2))):
+            some = r.choice(['{"n":3}', '{"n":-1}', '{"m": [1, {"b":2,"a":1}]}', "{", None, '{"n":1.5}'])
+            back = r.choices([*ids, "gone"], k=r.randrange(3)) if r.random() < 0.3 else [j for j in r.choices(ids, k=2) if j < i]
+            calls.append((conv, i, turn, r.choice(["f", "g", "h"]), some, back))
+        for i in r.choices([*ids, "lost"], k=r.randrange(6)):
+            results.append((conv, i, r.randrange(20), r.choice(["ok", "no", None])))
+    got = {(x["conv_id"], x["call_id"]): x for x in tool_calls.link_tool_calls(
+        spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, depends array<string>"),
+        spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"),
+        spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.items()], "name string, schema string"),
+    ).collect()}
+    first_of = lambda rows: min(rows, key=lambda x: [(v is not None, v) for v in x[2:]])
+    keys = {x[:2] for x in calls} | {x[:2] for x in results}
+    assert got.keys() == keys
+    firsts = {k: first_of([x for x in calls if x[:2] == k]) for k in {x[:2] for x in calls}}
+
+    def step(k, above=()):
+        """The longest way down to calls that depend on none; None on a cycle or behind one."""
+        if k in above:
+            return None
+        below = [step((k[0], p), (*above, k)) for p in set(firsts[k][5]) if (k[0], p) in firsts]
+        return None if None in below else max((b + 1 for b in below), default=0)
+
+    for k in keys:
+        own, back = [x for x in calls if x[:2] == k], [x for x in results if x[:2] == k]
+        x = got[k]
+        assert (x["n_calls"], x["n_results"], x["status"]) == (len(own), len(back), "orphan" if not own else "linked" if back else "pending")
+        if not own:
+            continue
+        _, _, turn, name, text, depends = firsts[k]
+        errors = ["duplicate"] * (len(own) > 1) + ["dependency"] * any((k[0], p) not in firsts for p in depends) + ["cycle"] * (step(k) is None)
+        try:
+            args = json.loads("{}" if text is None else text)
+        except ValueError:
+            args = None
+        if args is None:
+            errors.append("json")
+        elif name not in schemas:
+            errors.append("unknown tool")
+        elif name == "f":
+            n = args.get("n")
+            errors += ["$.n: required"] if "n" not in args else ["$.n: type"] if n == 1.5 else ["$.n: minimum"] if n < 0 else []
+        assert (x["turn"], x["name"], x["step"], x["errors"], x["valid"]) == (turn, name, step(k), errors, not errors), k
+        record = {"conv_id": k[0], "call_id": k[1], "name": name, "arguments": args, "result": first_of(back)[3] if back else None, "step": step(k), "status": x["status"]}
+        assert x["record"] == json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_tool_calls_of_nothing(spark):
     calls = spark.createDataFrame([], "conv_id long, call_id string, turn long, name string, arguments string, depends array<string>")
     results = spark.createDataFrame([(1, "q", 3, "lost")], "conv_id long, call_id string, turn long, content string")
