@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,15 @@ def wikilinks(content: Column) -> Column:
     return F.concat(typed_links(content), plain_links(content))
 
 
+def replace_wikilinks(content: Column, replacement: Callable[[Column], Column]) -> Column:
+    """The content with every link's text, wherever it stands, replaced by ``replacement`` of the link; links from the last to the first."""
+    return F.aggregate(F.reverse(wikilinks(content)), content, lambda acc, x: F.replace(acc, x["raw"], replacement(x)))
+
+
 def wikilinks_to_markdown(content: Column) -> Column:
     """Each link as [alias or target](/notes/slug)."""
     slug = lambda x: F.replace(F.lower(x["target"]), F.lit(" "), F.lit("-"))
-    return F.aggregate(
-        F.reverse(wikilinks(content)), content, lambda acc, x: F.replace(acc, x["raw"], F.concat(F.lit("["), F.coalesce(x["alias"], x["target"]), F.lit("](/notes/"), slug(x), F.lit(")")))
-    )
+    return replace_wikilinks(content, lambda x: F.concat(F.lit("["), F.coalesce(x["alias"], x["target"]), F.lit("](/notes/"), slug(x), F.lit(")")))
 
 
 def tags(content: Column) -> Column:

@@ -18,6 +18,34 @@ def attach_claims(claims: DataFrame) -> DataFrame:
     return out.select(*claims.columns, F.round("score", 6).alias("score"), "method", "passed")
 
 
+def claim_spans(claims: DataFrame, notes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims (id, note_id, claim_start, claim_end, source_id, source_span_start, source_span_end) by byte offsets, checked: with score, method, status.
+
+    ``notes``: id, content; ``sources``: id, excerpt. The claim is the note's bytes from start to end and is held against the source's
+    span, or its whole excerpt where the span is missing or out of bounds; offsets within a character move to its nearest end
+    inside. status is accepted, or why a claim is refused: note, source (not there), bounds, or overlap (score under the
+    least). Claims of one note keep their own rows; a null note or source is not there.
+    """
+    c = claims.join(notes.select(F.col("id").alias("note_id"), F.coalesce("content", F.lit("")).alias("_note"), F.lit(True).alias("_has_note")), "note_id", "left")
+    c = c.join(sources.select(F.col("id").alias("source_id"), F.coalesce("excerpt", F.lit("")).alias("_source"), F.lit(True).alias("_has_source")), "source_id", "left")
+    start, end, s, e = (F.col(k) for k in ("claim_start", "claim_end", "source_span_start", "source_span_end"))
+    inside = F.coalesce((start >= 0) & (start < end) & (end <= F.octet_length("_note")), F.lit(False))
+    part = F.coalesce((s >= 0) & (e > s) & (e <= F.octet_length("_source")), F.lit(False))
+    text = F.when(inside, X.slice_bytes(F.col("_note"), start, end)).otherwise("")
+    source = F.when(part, X.slice_bytes(F.col("_source"), s, e)).otherwise(F.col("_source"))
+    keep = ["id", "note_id", "claim_start", "claim_end", "source_id", "source_span_start", "source_span_end"]
+    got = attach_claims(c.select(*keep, text.alias("claim"), source.alias("source_text"), "_has_note", "_has_source", inside.alias("_inside")))
+    status = F.when(F.col("_has_note").isNull(), "note").when(F.col("_has_source").isNull(), "source").when(~F.col("_inside"), "bounds").when(~F.col("passed"), "overlap").otherwise("accepted")
+    return got.select(*keep, "claim", "score", "method", status.alias("status"))
+
+
+def spans_of_notes(spans: DataFrame, sources: DataFrame) -> DataFrame:
+    """The accepted spans of each note in the order of their start (then id), numbered from 1, with uri and title of their sources (id, uri, title)."""
+    w = Window.partitionBy("note_id").orderBy("claim_start", "id")
+    out = spans.filter("status = 'accepted'").drop("status", "claim").withColumn("position", F.row_number().over(w))
+    return out.join(sources.select(F.col("id").alias("source_id"), "uri", F.col("title").alias("source_title")), "source_id")
+
+
 def new_sources(sources: DataFrame) -> DataFrame:
     """(uri, content_hash) once each, the first by id: what an upsert of sources keeps."""
     w = Window.partitionBy("uri", "content_hash").orderBy("id")
@@ -47,9 +75,11 @@ def event_hash(prev: Column) -> Column:
     return F.sha2(F.concat(F.col("id").cast("string"), F.col("event_type"), F.coalesce("payload", F.lit("")), F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), prev), 256)
 
 
-def chain(events: DataFrame, key: str = "stream") -> DataFrame:
+def chain(events: DataFrame, key: str = "stream", heads: DataFrame | None = None) -> DataFrame:
     """Events (id, stream, event_type, payload, event_time) with prev_hash and event_hash, one chain for each stream.
 
+    ``heads`` (stream, event_hash) are the last hashes of chains that are stored already; their streams go on from there.
+
     A chain is sequential, so each stream is folded in one task in Arrow batches, its hash
     carried on from row to row; streams are what spreads the work.
     """
@@ -61,17 +91,23 @@ def chain(events: DataFrame, key: str = "stream") -> DataFrame:
         last: dict = {}
         for b in batches:
             prev, own = [], []
-            for s, body in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for s, body, head in zip(b.column(at).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if s not in last:
-                    last = {s: ""}
+                    last = {s: head}
                 prev.append(last[s])
                 last[s] = hashlib.sha256((body + last[s]).encode()).hexdigest()
                 own.append(last[s])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*b.schema.names[:-1], "prev_hash", "event_hash"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*b.schema.names[:-2], "prev_hash", "event_hash"])
 
     at = events.columns.index(key)
     body = F.concat(F.col("id").cast("string"), F.col("event_type"), F.coalesce("payload", F.lit("")), F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    rows = events.withColumn("_body", body).repartition(key).sortWithinPartitions(key, "event_time", "id")
+    rows = events.withColumn("_body", body)
+    if heads is None:
+        rows = rows.withColumn("_head", F.lit(""))
+    else:
+        known = heads.select(key, F.col("event_hash").alias("_head"))
+        rows = rows.join(known, key, "left").select(*events.columns, "_body", F.coalesce("_head", F.lit("")).alias("_head"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "event_time", "id")
     schema = ", ".join(f"{n} {t}" for n, t in events.dtypes) + ", prev_hash string, event_hash string"
     return rows.mapInArrow(run, schema)
 
@@ -84,6 +120,46 @@ def check_chain(events: DataFrame, key: str = "stream") -> DataFrame:
     return e.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.sum("_broken").alias("broken_links"), F.sum("_wrong").alias("wrong_hashes"))
 
 
+def check_long_chain(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """(events, broken_links, wrong_hashes, head) of one chain of events, checked in many tasks.
+
+    Events (id, event_type, payload, event_time, prev_hash, event_hash) are dealt by ranges of (event_time, id). Each
+    task makes the hashes of its rows again and compares its links; the first and last row of each range are
+    compared with those of its neighbours, one small row a range. head is the last hash, from which ``chain`` goes on.
+    """
+    import pyarrow as pa
+
+    rows = events.select(F.unix_micros("event_time").alias("t"), "id", "prev_hash", "event_hash", (F.col("event_hash") != event_hash(F.col("prev_hash"))).alias("wrong"))
+    order = ("t", "id")
+    dealt = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+
+    def run(batches):
+        n = broken = wrong = 0
+        first = last = None
+        for b in batches:
+            if not len(b):
+                continue
+            prev, own = b.column(2).to_pylist(), b.column(3).to_pylist()
+            if first is None:
+                first = (b.column(0)[0].as_py(), b.column(1)[0].as_py(), prev[0])
+            else:
+                broken += prev[0] != last
+            broken += sum(p != o for p, o in zip(prev[1:], own, strict=False))
+            wrong += sum(w is not False for w in b.column(4).to_pylist())
+            n, last = n + len(b), own[-1]
+        if n:
+            cols = [[x] for x in (*first, last, n, broken, wrong)]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["t", "id", "prev", "last", "n", "broken", "wrong"])
+
+    ranges = dealt.mapInArrow(run, "t long, id long, prev string, last string, n long, broken long, wrong long")
+    # a row for each range from here on
+    before = F.coalesce(F.lag("last").over(Window.orderBy(*order)), F.lit(""))
+    met = ranges.withColumn("seam", (~F.col("prev").eqNullSafe(before)).cast("long"))
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.coalesce(F.sum(F.col("broken") + F.col("seam")), F.lit(0)).alias("broken_links"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong_hashes"), F.max_by("last", F.struct("t", "id")).alias("head"))
+    return total
+
+
 def dangling(notes: DataFrame, links: DataFrame, claims: DataFrame) -> DataFrame:
     """(kind, id, missing): link ends and claims that refer to notes that are not there."""
     ids = notes.select(F.col("id").alias("missing"))

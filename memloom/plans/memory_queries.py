@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cascade, consolidate as C, integrity as I, memory as M, transactions as T
-from ..session import materialize
+from ..operators.stores import AccessStore, VectorStore, search_accesses
+from ..session import materialize, shared_dir
 from ..sources import testdata as D
-from ..sources.testdata import with_views
-from .search_queries import _CLAIMS, _EVID, _JAC, _NORM, _TRI
+from ..sources.testdata import SQL, with_views
+from .search_queries import _CLAIMS, _EVID, _JAC, _NORM, _TRI, context_budget
+from .search_queries import O as SEARCH_SQL
 
 Q, O = {}, {}
 NOW = "timestamp '2024-01-31 00:00:00'"
@@ -94,6 +98,21 @@ def context_diversity(spark, sf):
     return C.context_diversity(D.access_log(spark, sf)).select("note_id", F.round("diversity", 6).alias("diversity"))
 
 
+_ORDERED = "o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM events), k AS (SELECT *, lag(n) OVER (ORDER BY n) AS b FROM o WHERE event_id % 250 <> 9)"
+
+
+@query(f"WITH {_ORDERED} SELECT count(*) AS events, count_if(coalesce(b, 0) <> n - 1) AS broken_links, count_if(event_id % 100 = 7) AS wrong_hashes FROM k")
+def long_chain_check(spark, sf):
+    """All events as one chain, which goes on from a stored head halfway; some are edited and some taken out, and the check by ranges finds them."""
+    events = _events(spark, sf).withColumn("stream", F.lit(0).cast("long"))
+    half = F.expr("timestamp '2024-01-15 00:00:00'")
+    first = materialize(I.chain(events.filter(F.col("event_time") < half)))
+    head = I.check_long_chain(first).select(F.lit(0).cast("long").alias("stream"), F.col("head").alias("event_hash"))
+    whole = first.unionByName(I.chain(events.filter(F.col("event_time") >= half), heads=head))
+    edited = F.when(F.col("id") % 100 == 7, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
+    return I.check_long_chain(whole.withColumn("payload", edited).filter("id % 250 <> 9")).drop("head")
+
+
 def _salience(spark, sf):
     return cascade.salience(D.access_log(spark, sf), F.expr(NOW))
 
@@ -125,6 +144,66 @@ def consolidation_pass(spark, sf):
     return C.consolidation_pass(scores, _salience(spark, sf), rejected, F.expr(NOW), flag_below=0.6)
 
 
+def _new_store(spark, kind, *more):
+    return kind(spark, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/{kind.__name__}", *more)
+
+
+@query("SELECT vec_id AS note_id, CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS model, CAST(len(embedding) AS INTEGER) AS dimensions, CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first_number FROM embeddings")
+def embedding_upsert(spark, sf):
+    """Vectors by note after a batch that replaces a third of them and is run twice, read from a compacted store."""
+    store = _new_store(spark, VectorStore, 16)
+    rows = D.vectors(spark, sf).select(F.col("id").alias("note_id"), "embedding", F.lit("first").alias("model"), F.expr(NOW).alias("created_at"))
+    store.put(rows, 0)
+    again = rows.filter("note_id % 3 = 0").withColumns({"embedding": F.transform("embedding", lambda x: -x), "model": F.lit("second")})
+    store.put(again, 1)
+    store.put(again, 1)
+    store.compact()
+    return store.current().select("note_id", "model", "dimensions", F.col("embedding")[0].cast("double").alias("first_number"))
+
+
+@query(f"{with_views('access_log')} SELECT note_id, count(*) AS access_count, epoch_us(max(accessed_at)) AS last_accessed_us FROM access_log GROUP BY note_id")
+def access_counters(spark, sf):
+    """Counters kept by three batches of accesses, one of which is run twice."""
+    store, log = _new_store(spark, AccessStore), D.access_log(spark, sf)
+    for batch in (0, 1, 1, 2):
+        store.record(log.filter(F.col("id") % 3 == batch), batch)
+    return store.counters().select("note_id", "access_count", F.unix_micros("last_accessed_at").alias("last_accessed_us"))
+
+
+_CONTEXT = SEARCH_SQL["context_budget"]
+
+
+@query(f"WITH ctx AS ({_CONTEXT}) SELECT ctx.id AS note_id, ctx.query_id, 'search_hit' AS access_kind, text AS query_context FROM ctx JOIN benchmark ON item_id = ctx.query_id")
+def context_accesses(spark, sf):
+    """The log rows that retrieving each benchmark item's context leaves, as they are read from the store."""
+    store = _new_store(spark, AccessStore)
+    item = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    store.record(search_accesses(context_budget(spark, sf), item, F.expr(NOW)), 0)
+    return store.log().join(item.select("query_id", F.col("query").alias("query_context")), "query_context").select("note_id", "query_id", "access_kind", "query_context")
+
+
+_LINES = """claims AS (SELECT id, note_id, source_id, claim_start, claim_start + strlen(claim) AS claim_end, claim, source_text FROM (
+SELECT a.doc_id * 4 AS id, a.doc_id AS note_id, a.doc_id AS source_id, 0 AS claim_start, split_part(a.text, chr(10), 1) AS claim, a.text AS source_text FROM documents a
+UNION ALL SELECT a.doc_id * 4 + 1, a.doc_id, a.doc_id, strlen(split_part(a.text, chr(10), 1)) + 1, split_part(a.text, chr(10), 2), split_part(a.text, chr(10), 2) FROM documents a WHERE contains(a.text, chr(10))
+UNION ALL SELECT a.doc_id * 4 + 2, a.doc_id, b.doc_id, 0, split_part(a.text, chr(10), 1), b.text FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) WHERE claim <> '')"""
+
+
+@query(f"WITH {_LINES}{_CLAIMS.split(SQL['claims'])[1]} SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY claim_start, id) AS position, id, claim_start, claim_end, source_id, score, method, 'doc/' || source_id AS uri FROM ov JOIN claims USING (id, note_id, source_id) WHERE passed")
+def claim_spans(spark, sf):
+    """First and second lines of the documents as claims by byte offsets, in order; claims out of bounds and on missing notes or sources are refused."""
+    d = D.table(spark, sf, "documents").select("doc_id", "text", F.split("text", "\n").alias("l"))
+    size = lambda x: F.octet_length(x).cast("long")
+    none, no = F.lit(None).cast("long"), F.lit(0).cast("long")
+    two = size(F.col("l")[0]) + 1
+    first = d.select((F.col("doc_id") * 4).alias("id"), F.col("doc_id").alias("note_id"), no.alias("claim_start"), size(F.col("l")[0]).alias("claim_end"), F.col("doc_id").alias("source_id"), none.alias("source_span_start"), none.alias("source_span_end"))
+    second = d.filter(F.size("l") > 1).select((F.col("doc_id") * 4 + 1).alias("id"), F.col("doc_id").alias("note_id"), two.alias("claim_start"), (two + size(F.get("l", F.lit(1)))).alias("claim_end"), F.col("doc_id").alias("source_id"), two.alias("source_span_start"), (two + size(F.get("l", F.lit(1)))).alias("source_span_end"))
+    other = first.withColumns({"id": F.col("id") + 2, "source_id": F.col("source_id") + 1})
+    bad = first.withColumns({"id": F.col("id") + 3, "claim_end": F.lit(2**40)}).unionByName(first.withColumns({"id": -F.col("id") - 1, "note_id": -F.col("note_id") - 1}))
+    sources = d.select(F.col("doc_id").alias("id"), F.col("text").alias("excerpt"), F.concat(F.lit("doc/"), "doc_id").alias("uri"), F.concat(F.lit("Doc "), "doc_id").alias("title"))
+    spans = I.claim_spans(first.unionByName(second).unionByName(other).unionByName(bad), d.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), sources)
+    return I.spans_of_notes(spans, sources).select("note_id", "position", "id", "claim_start", "claim_end", "source_id", "score", "method", "uri")
+
+
 LEAST = 0.35
 _SIM = f"""v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings),
 p AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.id < b.id), s AS (SELECT * FROM p WHERE similarity >= {LEAST})"""
