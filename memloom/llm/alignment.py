@@ -36,7 +36,7 @@ BLOCK = 4_000_000
 #: A worker forgets its words when it holds this many, and its windows when they take this many bytes (about).
 WORDS, HELD = 400_000, 100_000_000
 #: What a remembered window takes besides its strings.
-EACH = 400
+EACH = 320
 #: Up to so many links of a window are kept one by one, more of them by distinct pairs.
 FEW = 64
 
@@ -140,7 +140,7 @@ def _objects(values: list) -> np.ndarray:
 
 
 class Windows:
-    """What is known of windows, by number: bytes (None if the two sides differ), groups as text, their number, links, and the pairs of the links."""
+    """What is known of windows, by number: groups as text, their number, links, and the pairs of the links."""
 
     def __init__(self, a_tokens: list[bytes], b_tokens: list[bytes]):
         self.n_tokens = len(a_tokens), len(b_tokens)
@@ -153,7 +153,6 @@ class Windows:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.held = 0
-        self.raw: list[bytes | None] = []
         self.text: list[str] = []
         self.groups: list[int] = []
         self.links: list[int] = []
@@ -174,10 +173,10 @@ class Windows:
         n = len(self.number)
         uses = self.uses[:n]
         keep = np.flatnonzero(uses > np.median(uses)).tolist() if len(uses) == n else []
-        keys, old = list(self.number), (self.raw, self.text, self.groups, self.links, self.pairs)
+        keys, old = list(self.number), (self.text, self.groups, self.links, self.pairs)
         times, held, uses = self.times, self.held, uses[keep] if keep else None
         self.clear()
-        for new, was in zip((self.raw, self.text, self.groups, self.links, self.pairs), old, strict=True):
+        for new, was in zip((self.text, self.groups, self.links, self.pairs), old, strict=True):
             new += [was[i] for i in keep]
         self.number = {keys[i]: k for k, i in enumerate(keep)}
         self.times = {k: times[i] for k, i in enumerate(keep) if i in times}
@@ -208,13 +207,9 @@ class Windows:
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         wide = np.repeat(y[few], n)
         pairs = (a[np.repeat((i - x)[few], n) + k // wide] << 32 | b[np.repeat((j - y)[few], n) + k % wide]).tobytes()
-        a_raw, b_raw = (b"".join(t[ids].tolist()) for t, ids in zip(self.bytes_of, (a, b), strict=True))
-        same = a_raw == b_raw
-        ends, both, groups = a_bytes[a_upto].tolist(), (a_upto + b_upto).tolist(), np.diff(upto).tolist()
+        both, groups = (a_upto + b_upto).tolist(), np.diff(upto).tolist()
         at = 0
         for w, (key, m) in enumerate(zip(keys, of_window.tolist(), strict=True)):
-            p, q = ends[w], ends[w + 1]
-            self.raw.append(a_raw[p:q] if same or a_raw[p:q] == b_raw[p:q] else None)
             self.text.append("".join(written[both[w] : both[w + 1]])[:-1])
             if m <= FEW:
                 self.pairs.append(pairs[at : at + 8 * m])
@@ -231,7 +226,7 @@ class Windows:
             self.number[key] = len(self.number)
         self.groups += groups
         self.links += of_window.tolist()
-        self.held += EACH * len(keys) + 2 * 4 * len(code) + len(a_raw) + len(written) * 6 + 8 * min(int(links[-1]), 1 << 40)
+        self.held += EACH * len(keys) + 2 * 4 * len(code) + len(written) * 6 + 8 * min(int(links[-1]), 1 << 40)
 
 
 class Aligner:
@@ -260,12 +255,13 @@ class Aligner:
         numbers, upto = self._windows(a, b, a_last, a_ends[1:], b_ends[1:])
         out, good = [], []
         text = w.text.__getitem__
-        every = list(map(w.raw.__getitem__, numbers))
-        right = None not in every and b"".join(every) == b"".join(raw)
+        sides = (w.bytes_of[0], a, a_last.tolist()), (w.bytes_of[1], b, b_last.tolist())
+        every = b"".join(raw)
+        right = all(b"".join(t[x].tolist()) == every for t, x, _ in sides)
         groups, links = (np.concatenate([[0], np.cumsum([x[i] for i in numbers], dtype=np.int64)]) for x in (w.groups, w.links))
         n_a, n_b = np.diff(a_last).tolist(), np.diff(b_last).tolist()
         for d, (i, j) in enumerate(zip(upto[:-1], upto[1:], strict=True)):
-            if i < j and (right or None not in every[i:j] and b"".join(every[i:j]) == raw[d]):
+            if i < j and (right or all(b"".join(t[x[at[d] : at[d + 1]]].tolist()) == raw[d] for t, x, at in sides)):
                 good.append(d)
                 out.append((n_a[d], n_b[d], int(groups[j] - groups[i]), int(links[j] - links[i]), hashlib.sha256(";".join(map(text, numbers[i:j])).encode()).hexdigest()))
             else:

@@ -129,7 +129,6 @@ def test_windows_with_few_and_many_links():
     w.learn([key([1, 2], [1, 2, 3]), key([1, 2], [1, 4, 5]), key([4] * 3, [6] * 3), key([1], [1, 4]), key([4], [7]), key([4, *[1, 2] * many], [6, *[1, 2, 3] * many])])
     assert w.text[:5] == ["1,2|1,2,3", "1|1,4;2|5", "4|6;4|6;4|6", "1|1,4", "4|7"]
     assert w.groups == [1, 2, 3, 1, 1, 1 + many] and w.links == [6, 3, 3, 2, 1, 1 + 6 * many]
-    assert w.raw[:5] == [b" abc", b" abc", b"xxx", b" a", None]
     got = dict(zip(np.frombuffer(w.pairs[5], np.int64).tolist(), np.frombuffer(w.times[5], np.int64).tolist(), strict=True))
     assert got == {4 << 32 | 6: 1} | {a << 32 | b: many for a in (1, 2) for b in (1, 2, 3)}
     assert Counter(np.frombuffer(w.pairs[0], np.int64).tolist()) == Counter(a << 32 | b for a in (1, 2) for b in (1, 2, 3))
