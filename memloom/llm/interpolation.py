@@ -33,7 +33,7 @@ from ..session import Scratch
 from .arrow import ROWS, pieces
 
 #: Tokens of a block, and n-grams of a range of hashes (about).
-BLOCK, GROUP = 2_000_000, 2_000_000
+BLOCK, GROUP = 3_000_000, 2_000_000
 #: What a block's documents are for: counts, weights, or neither.
 RETAINED, TUNING, NEW = 0, 1, 2
 #: One training document in so many learns weights.
@@ -272,7 +272,7 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
 
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for contexts that never occur, else one more than the power of two below the frequency."""
-    return np.where(context > 0, np.minimum(np.frexp(np.maximum(context, 1).astype(float))[1], BUCKETS), 0)
+    return np.where(context > 0, np.minimum(np.frexp(np.maximum(context, 1).astype(float))[1], BUCKETS), 0).astype(np.int8)
 
 
 def mixed(found: Iterator[tuple[Grams, np.ndarray]], sizes: np.ndarray, n_tokens: int, known: int, weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -286,15 +286,17 @@ def mixed(found: Iterator[tuple[Grams, np.ndarray]], sizes: np.ndarray, n_tokens
         own = counts[g.of_token]
         if context is None:
             begins, p = counts[BEGIN], np.full(len(own), 1 / (known + 1))
-            b, estimate = np.full(len(own), int(n_tokens > 0)), own / max(n_tokens, 1)
+            b, estimate = np.full(len(own), int(n_tokens > 0), np.int8), own / max(n_tokens, 1)
         else:
             b, estimate = bucket(context), own / np.maximum(context, 1)
+        context = np.empty(len(own), np.int64)
+        context[1:] = own[:-1]
+        context[first] = begins
+        del own
         yield b, estimate, p
         if k < len(weights):
             w = weights[k][b]
             p = w * estimate + (1 - w) * p
-        context = np.concatenate([[0], own[:-1]])
-        context[first] = begins
     yield np.zeros(0), np.zeros(0), p
 
 
