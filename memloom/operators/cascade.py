@@ -99,7 +99,8 @@ def salience(accesses: DataFrame, now: Column, config: Cascade = Cascade()) -> D
             if not ids:
                 continue
             now_ = b.column(2)[0].as_py()
-            left = config.fading(np.diff(t, prepend=at) / 1e6, values)
+            # the first row of a task follows none, so its own time stands before it
+            left = config.fading(np.diff(t, prepend=at if note is not None else t[0]) / 1e6, values)
             out: list[tuple] = []
             for i, name in enumerate(ids):
                 if name != note:

@@ -30,7 +30,8 @@ def listing(notes: DataFrame, tags: DataFrame, sort: str = "updated_desc", limit
     if tag is not None:
         notes = notes.join(tags.filter(F.col("tag") == tag).select("id").distinct(), "id", "left_semi")
     page = notes.orderBy(F.col(col).asc() if up else F.col(col).desc(), "id").offset(offset).limit(limit)
-    n = tags.groupBy("id").agg(F.countDistinct("tag").alias("tag_count"))
+    # only the tags of the page are counted
+    n = tags.join(page.select("id"), "id", "left_semi").groupBy("id").agg(F.countDistinct("tag").alias("tag_count"))
     return page.join(n, "id", "left").select("id", "title", X.preview(F.col("content")).alias("preview"), F.coalesce("tag_count", F.lit(0)).alias("tag_count"))
 
 
