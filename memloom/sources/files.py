@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,3 +102,79 @@ def sync_actions(local: DataFrame, remote: DataFrame) -> DataFrame:
     b = remote.select("id", F.col("hash").alias("there"))
     action = F.when(F.col("there").isNull(), "push").when(F.col("here").isNull(), "pull").when(F.col("here") != F.col("there"), "update").otherwise("same")
     return a.join(b, "id", "full_outer").select("id", action.alias("action"))
+
+
+def note_file(notes: DataFrame, device: str) -> DataFrame:
+    """(file, text): the file that stands for each note (id, title, content, tags, created_at, updated_at): a header and the content."""
+    at = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    text = F.concat(
+        F.lit("---\nid: "), F.col("id").cast("string"), F.lit("\ntags: ["), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", "), F.lit("]\ncreated: "), F.coalesce(at("created_at"), F.lit("")),
+        F.lit("\nupdated: "), F.coalesce(at("updated_at"), F.lit("")), F.lit(f"\ndevice: {device}\n---\n"), F.coalesce("content", F.lit("")),
+    )
+    return notes.select(F.concat(X.sanitize_filename(F.col("title")), F.lit(".md")).alias("file"), text.alias("text"))
+
+
+def folder_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the .md files directly in a folder; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return spark.createDataFrame([], "file string, text string")
+    raw = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return raw.select(F.url_decode(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\+", "%2B")).alias("file"), F.col("value").alias("text"))
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it; a local one without its checksum files, which others' edits would break."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), at
+
+
+def push_folder(notes: DataFrame, path: str, device: str = "device") -> int:
+    """Write the file of every note that is not there as it should be (its text and a newline); how many were written.
+
+    Of notes with one file name the last by updated_at, then id, is written; notes without a title have none. Tasks write to a
+    folder beside the target under Spark's commit protocol, so a lost task leaves nothing behind; whole files are then moved
+    into place, one rename a changed file. A push that stopped halfway is simply run again. The manifest of all notes
+    is written last, to ``_manifest``.
+    """
+    spark = notes.sparkSession
+    w = Window.partitionBy(X.sanitize_filename(F.col("title"))).orderBy(F.desc("updated_at"), F.desc("id"))
+    once = notes.filter("title is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    there = folder_files(spark, path).select("file", F.sha2("text", 256).alias("there"))
+    wanted = F.sha2(F.concat("text", F.lit("\n")), 256)
+    todo = note_file(once, device).join(there, "file", "left").filter(F.col("there").isNull() | (F.col("there") != wanted))
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    todo.select("file", "text").repartition("file").write.option("lineSep", "\n").partitionBy("file").text(staging)
+    fs, folder = _folder(spark, path)
+    _, made = _folder(spark, staging)
+    fs.mkdirs(folder)
+    n = 0
+    for d in fs.listStatus(made):
+        for part in fs.listStatus(d.getPath()) if d.isDirectory() else ():
+            if part.getPath().getName().startswith("part-"):
+                target = spark._jvm.org.apache.hadoop.fs.Path(folder, unquote(d.getPath().getName().removeprefix("file=")))
+                fs.delete(target, False)
+                fs.rename(part.getPath(), target)
+                n += 1
+    fs.delete(made, True)
+    manifest(notes).write.mode("overwrite").json(f"{path}/_manifest")
+    return n
+
+
+def pull_folder(notes: DataFrame, path: str) -> DataFrame:
+    """(op, id, title, content, tags): what the folder's files change in the notes (id, title, content).
+
+    A file belongs to the note with its name as title, else as sanitised title, the last by id of several; where its body (without header and one last
+    newline) differs from the content it is an update, with null tags, as they stay; a file of no note is a create with a null
+    id and the body's inline tags.
+    """
+    files = folder_files(notes.sparkSession, path).select("file", F.regexp_replace(X.body(F.col("text")), r"\n\z", "").alias("body"))
+    titled = notes.filter("title is not null").select("id", "title", "content", F.array(F.struct(F.lit(True).alias("exact"), F.col("title").alias("stem")), F.struct(F.lit(False).alias("exact"), X.sanitize_filename(F.col("title")).alias("stem"))).alias("names"))
+    named = titled.select("id", "title", "content", F.inline("names")).groupBy(F.concat("stem", F.lit(".md")).alias("file"))
+    mine = named.agg(F.max_by(F.struct("id", "title", "content"), F.struct("exact", "id")).alias("s"))
+    both = files.join(mine, "file", "left").select("file", "body", "s.*")
+    changed = both.filter(F.col("id").isNull() | (F.sha2(F.coalesce("content", F.lit("")), 256) != F.sha2("body", 256)))
+    made = F.col("id").isNull()
+    title = F.coalesce("title", F.regexp_replace("file", r"\.md$", ""))
+    return changed.select(F.when(made, "create").otherwise("update").alias("op"), "id", title.alias("title"), F.col("body").alias("content"), F.when(made, F.array_distinct(X.tags(F.col("body")))).alias("tags"))

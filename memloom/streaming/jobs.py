@@ -34,6 +34,39 @@ def current_entries(writes: DataFrame) -> DataFrame:
     return writes.groupBy("agent_id", "namespace", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
+def live_entries(writes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(agent_id, namespace, key, value, seq, op) of a stream of writes: set with the newest value of each batch, expired once its time is over.
+
+    A write with ``ttl_seconds`` ends that long after ``written_at``, one without never. The entry's timer fires when the watermark
+    (``late`` behind the newest write of all) has passed its end; then the key leaves the state. Writes that are older
+    than the one held, by seq, change nothing.
+    """
+    names = ["agent_id", "namespace", "key"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        def row(value: float | None, seq: int, op: str) -> pd.DataFrame:
+            return pd.DataFrame({**{n: [k] for n, k in zip(names, key, strict=True)}, "value": [value], "seq": [seq], "op": [op]})
+
+        if state.hasTimedOut:
+            value, seq, _ = state.get
+            state.remove()
+            yield row(value, seq, "expired")
+            return
+        value, seq, end = state.get if state.exists else (None, -1, -1)
+        new = max((r for f in frames for r in f[["seq", "value", "end"]].itertuples(index=False, name=None)), default=None)
+        if new is not None and new[0] > seq:
+            seq, value, end = int(new[0]), new[1], int(new[2])
+            yield row(value, seq, "set")
+        state.update((None if value is None or value != value else float(value), seq, end))
+        if end >= 0:
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    end = F.coalesce(F.unix_millis("written_at") + F.col("ttl_seconds").cast("long") * 1000, F.lit(-1))
+    rows = writes.withColumn("written_at", F.col("written_at").cast("timestamp")).withWatermark("written_at", late).select(*names, F.col("value").cast("double"), F.col("seq").cast("long"), end.alias("end"), "written_at")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    return rows.groupBy(*names).applyInPandasWithState(step, f"{kinds}, value double, seq long, op string", "value double, seq long, end long", "append", "EventTimeTimeout")
+
+
 def embedding_queue(notes: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, batch_files: int = 32) -> StreamingQuery:
     """Embeds new notes batch by batch and appends the vectors; a batch that is run again replaces its own folder."""
 
