@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade, consolidate as C, integrity as I, memory as M, transactions as T
 from ..operators.stores import AccessStore, VectorStore, search_accesses
-from ..session import materialize, shared_dir
+from ..session import materialize, run_dir
 from ..sources import testdata as D
 from ..sources.testdata import SQL, with_views
 from .search_queries import _CLAIMS, _EVID, _JAC, _NORM, _TRI, context_budget
@@ -145,7 +145,7 @@ def consolidation_pass(spark, sf):
 
 
 def _new_store(spark, kind, *more):
-    return kind(spark, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/{kind.__name__}", *more)
+    return kind(spark, f"{run_dir(spark)}/{uuid.uuid4().hex}/{kind.__name__}", *more)
 
 
 @query("SELECT vec_id AS note_id, CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS model, CAST(len(embedding) AS INTEGER) AS dimensions, CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first_number FROM embeddings")

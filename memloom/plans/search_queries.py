@@ -12,7 +12,7 @@ from ..operators import pairs as P
 from ..operators import search as S
 from ..operators.text_index import TextIndex
 from ..operators.vectors import VectorIndex
-from ..session import shared_dir
+from ..session import run_dir
 from ..sources import testdata as D
 from ..sources.testdata import SQL, with_views
 
@@ -64,7 +64,7 @@ def fts_bm25(spark, sf):
 def _text_index(spark, sf):
     """An index of the documents, whose texts then change: of ids that five divides they are put before themselves again, those that seven divides go."""
     notes = _plain(spark, sf)
-    index = TextIndex.build(notes, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/text_index", buckets=16)
+    index = TextIndex.build(notes, f"{run_dir(spark)}/{uuid.uuid4().hex}/text_index", buckets=16)
     changed = notes.filter("id % 5 = 0 or id % 7 = 0").withColumns({"content": F.concat("content", F.lit(" "), "content"), "deleted": F.expr("id % 7 = 0")})
     index.apply(changed, 1)
     return index
@@ -96,7 +96,7 @@ def knn_l2(spark, sf):
 @query(f"WITH {_KNN.format('a.id % 100 = 0')} SELECT query_id, id, score, rank FROM knn WHERE rank <= 10")
 def knn_index(spark, sf):
     """The same by a stored index, which is built of all vectors first and then read by the cells that the queries reach."""
-    index = VectorIndex.build(D.vectors(spark, sf), f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}/vector_index", size=256)
+    index = VectorIndex.build(D.vectors(spark, sf), f"{run_dir(spark)}/{uuid.uuid4().hex}/vector_index", size=256)
     return index.search(_query_vectors(spark, sf), 10)
 
 

@@ -57,11 +57,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: The folder of this program's tables within the shared one.
+RUN = uuid.uuid4().hex
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where this program writes its tables."""
+    return f"{shared_dir(spark)}/memloom/{RUN}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this program has written; DataFrames that read them can't run any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Written files outlive lost executors, and the read knows its true size, so
-    adaptive execution can pick a broadcast only where the rows are really few.
+    adaptive execution can pick a broadcast only where the rows are really few. The table
+    stays until ``release``.
     """
     return Scratch(df.sparkSession).write(df, "table")
 
@@ -70,7 +86,7 @@ class Scratch:
     """Named tables that a job writes to the shared folder and drops when nothing reads them any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.at = spark, f"{run_dir(spark)}/{uuid.uuid4().hex}", {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a written table. An older table of that name goes once the new one is there."""

@@ -93,3 +93,17 @@ def test_streams(spark, tmp_path):
     q = jobs.embedding_queue(stream, lambda d: d.select("user_id"), str(tmp_path / "out"), str(tmp_path / "c4"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_tables_are_released(spark, monkeypatch):
+    """What a program wrote goes at once; another program's tables stay."""
+    import os
+
+    from memloom import session
+
+    other = session.materialize(spark.range(3))
+    monkeypatch.setattr(session, "RUN", "another")
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and os.path.isdir(session.run_dir(spark))
+    session.release(spark)
+    assert not os.path.isdir(session.run_dir(spark)) and other.count() == 3
