@@ -9,10 +9,12 @@ nearest ones vote, weighted by similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,8 +98,8 @@ def fold() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """A model from labelled documents outside the held-out fold; ``rows`` of each label at most.
 
-    Only ids and labels choose the sample. What comes to the driver is 2 * ``rows`` sparse
-    vectors of DIMS + 2 at most, as Arrow arrays. Rows without text, id or label are left out; of
+    Only ids and labels choose the sample: 2 * ``rows`` sparse vectors of DIMS + 2 at most, which one task
+    turns into the model; that model is what comes to the driver. Rows without text, id or label are left out; of
     repeated ids the one with the least vector counts. Texts without evidence get the smoothed share of
     label 1 among the NEIGHBOURS shortest of these texts. Without any labelled row every score is 0.5.
     """
@@ -117,7 +119,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         return out
 
     fields = [("at", T.ArrayType(T.IntegerType())), ("x", T.ArrayType(T.FloatType())), ("bytes", T.LongType())]
-    got = with_columns(some, "text", fields, lambda: sparse, drop=True).toArrow().combine_chunks()
+    sample = with_columns(some, "text", fields, lambda: sparse, drop=True).select("doc_id", "y", "at", "x", "bytes")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = from_sample(pa.Table.from_batches([*batches], schema=_SAMPLE))
+        cols = [pa.array([a.tobytes()], pa.binary()) for a in (m.idf, m.axes, m.vectors, m.labels)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([m.prior])], names=["idf", "axes", "vectors", "labels", "prior"])
+
+    # the sample is bounded, so one task fits the model, and the driver gets the model alone
+    r = sample.repartition(1).mapInArrow(learn, "idf binary, axes binary, vectors binary, labels binary, prior double").first()
+    if r is None:
+        return from_sample(_SAMPLE.empty_table())
+    labels_, axes = np.frombuffer(r["labels"]), np.frombuffer(r["axes"], np.float32).reshape(DIMS + 2, -1)
+    return Model(np.frombuffer(r["idf"], np.float32), axes, np.frombuffer(r["vectors"], np.float32).reshape(len(labels_), axes.shape[1]), labels_, r["prior"])
+
+
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32())), ("bytes", pa.int64())])
+
+
+def from_sample(rows: pa.Table) -> Model:
+    """The model of sparse vectors (doc_id, y, at, x, bytes), in the order of their ids; of repeated ids the one with the least vector counts."""
+    got = rows.combine_chunks()
     ends, at, value = (got["at"].chunk(0).offsets.to_numpy(), got["at"].chunk(0).values.to_numpy(), got["x"].chunk(0).values.to_numpy()) if len(got) else (np.zeros(1, int), *[np.zeros(0)] * 2)
     vectors = {}
     for i, d in enumerate(got["doc_id"].to_pylist()):
