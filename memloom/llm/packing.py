@@ -69,7 +69,7 @@ def encoder(path: str, plain: bool = False) -> ChunkEncoder:
             at = c
         return out
 
-    return ChunkEncoder(lambda texts: apart(texts) if texts else [], whole)
+    return ChunkEncoder(lambda texts: apart(texts) if texts else [], whole, lines=True, limit=600_000)
 
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])

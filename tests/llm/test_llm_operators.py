@@ -203,6 +203,35 @@ def test_inverses_and_plans_without_blas(tmp_path):
     assert len(found) == 1
 
 
+def test_words_across_line_ends_are_asked_for_once():
+    asked = []
+
+    def ask(texts):
+        asked.extend(texts)
+        return [t.encode() for t in texts]
+
+    enc = chunks.ChunkEncoder(ask, ask, lines=True)
+    texts = ["a one.\nTwo two%%%", "a two.\nTwo one", "a one\nTwo, two.", "a\t\nTwo b", "a b\n\nTwo"]
+    assert enc(texts) == [t.encode() for t in texts]
+    assert not any("\n" in t[1:] for t in asked if "a" not in t and "b" not in t)
+    assert sorted(t for t in asked if "wo" in t and "a" not in t and "b" not in t) == ["\nTwo", " two"]
+
+
+def test_chunks_of_lines_equal_library():
+    from tokenizers import Tokenizer
+
+    path, r = P.path("byte_bpe_50k.json"), random.Random(3)
+    bits = ["\n"] * 6 + [" "] * 10 + ["the", "The", "\u00df", "'s", "don't", "'", '"', ",", ".", "%%%", "12", "4a", "<|endoftext|>", "<|", "|>", "\t", "\r\n", "\n\n", " \n", "\u00a0", "\u3000", "\u6f22", "\u00b2", "\x1c"]
+    for plain in (False, True):
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = plain
+        texts = ["".join(r.choices(bits, k=r.randrange(14))) for _ in range(20_000)]
+        enc = packing.encoder(path, plain)
+        for i in range(0, len(texts), 500):
+            part = texts[i : i + 500]
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc(part)] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+
+
 def test_packing_after_rules(spark):
     """Packing ends after another operator ran in the same session."""
     entries.op4_ngram_likelihood(spark, SF).count()
