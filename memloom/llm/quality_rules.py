@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def mean_ratio(b: str, half: Column, models: list[Column]) -> Column:
     return F.when(half == 0, mean(models[0])).otherwise(mean(models[1]))
 
 
+def counts(keys: DataFrame, n: int) -> np.ndarray:
+    """How often each of the keys (b) below ``n`` occurs."""
+    got = keys.groupBy("b").count().toArrow()
+    out = np.zeros(n, np.int64)
+    out[got["b"].to_numpy()] = got["count"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> tuple[list[Column], float]:
     """The ``n`` weights for each fold's documents, as constant arrays, and the threshold.
 
@@ -73,27 +82,26 @@ def fit(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: in
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     counted = docs.select(F.transform(words(text), lambda x: F.xxhash64(x)).alias("g")).select(F.explode(buckets("g", n)).alias("b"))
-    raw = dict(map(tuple, counted.groupBy("b").count().collect()))
-    total = sum(raw.values()) + n
+    raw = counts(counted, n)
+    share = (raw + 1) / (raw.sum() + n)
     # always by shuffle: the trusted ids grow with the corpus, so a broadcast that works on small tables is none here
     ids = trusted.select(F.col("doc_id").cast("long").alias("id")).distinct().hint("shuffle_hash")
     hashed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), fold(text).alias("f"), F.transform(words(text), lambda x: F.xxhash64(x)).alias("g"))
     # buckets travel in two bytes each
     small = hashed.select("id", "f", F.transform(buckets("g", n), lambda x: (x - n // 2).cast("short" if n <= 1 << 16 else "int")).alias("b"))
     good = scratch.write(small.join(ids, "id", "left_semi").select("f", F.transform("b", lambda x: x.cast("int") + n // 2).alias("b")), "good")
-    half: dict[int, dict[int, int]] = {k: {} for k in range(FOLDS)}
-    for r in good.select("f", F.explode("b").alias("b")).groupBy("f", "b").count().collect():
-        half[r["f"]][r["b"]] = r["count"]
-    share = [(raw.get(b, 0) + 1) / total for b in range(n)]
+    half = counts(good.select(F.explode(F.transform("b", lambda x: x + F.col("f") * n)).alias("b")), FOLDS * n).reshape(FOLDS, n)
     models = []
     for k in range(FOLDS):
-        seen = [sum(half[j].get(b, 0) for j in range(FOLDS) if j != k) for b in range(n)]
-        size = sum(seen) + PRIOR
-        ratio = [round(math.log((c + PRIOR * p) / size / p), 4) for c, p in zip(seen, share, strict=True)]
+        seen = sum(half[j] for j in range(FOLDS) if j != k)
+        size = int(seen.sum()) + PRIOR
+        ratio = [round(math.log(x), 4) for x in ((seen + PRIOR * share) / size / share).tolist()]
         # a JSON text folds into one array constant; a column of that many values would be copied with every row
         models.append(F.from_json(F.lit(json.dumps(ratio)), "array<double>"))
-    steps = good.filter("size(b) > 0").groupBy(F.round(mean_ratio("b", F.col("f"), models), 3).alias("s")).count().orderBy("s").collect()
-    scratch.drop("good")
+    # the driver keeps descriptions of each plan that holds the constants, again after each of its stages: so this one has a single stage
+    scores = scratch.write(good.filter("size(b) > 0").select(F.round(mean_ratio("b", F.col("f"), models), 3).alias("s")), "scores")
+    steps = scores.groupBy("s").count().orderBy("s").collect()
+    scratch.drop("good", "scores")
     under = sum(r["count"] for r in steps) // TRUSTED_UNDER
     for r in steps:
         under -= r["count"]

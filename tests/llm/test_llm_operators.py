@@ -578,6 +578,18 @@ def _hash(data, seed=42):
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def test_the_threshold_needs_one_plan_of_one_stage_with_the_constants(spark, texts):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    quality_rules.fit(rows(spark, texts), spark.createDataFrame([(i,) for i in range(0, len(texts), 2)], "doc_id long"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    told = store.executionsList(int(before), 1000)
+    plans = [told.apply(i).physicalPlanDescription() for i in range(told.size())]
+    assert len(plans) > 3
+    large = [p for p in plans if len(p) > 100_000]
+    assert len(large) == 1 and "Exchange" not in large[0]
+
+
 def test_log_ratios_by_brute_force(spark, texts):
     every = [*texts, texts[1], texts[1], "x", "", None]
     trusted = list(range(0, len(texts), 3))
