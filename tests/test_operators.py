@@ -230,3 +230,22 @@ def test_markdown_folder(spark, tmp_path):
     (tmp_path / "in" / "deep" / "My note.md").write_text("---\ntags: [p]\n---\nHello #q")
     r = files.import_markdown(spark, str(tmp_path / "in")).first()
     assert (r["title"], r["tags"]) == ("My note", ["p", "q"])
+
+
+@pytest.mark.parametrize(("threshold", "strict"), [(0.15, True), (0.35, False), (0.7, False)])
+def test_pairs_in_blocks(spark, monkeypatch, threshold, strict):
+    """In blocks of a few sets, with copies of one size dealt in parts and few common tokens, every pair is found once; a null id, a null token and copied tokens count for nothing."""
+    for name, value in (("COMMON", 5), ("BLOCK_TOKENS", 60), ("BLOCK_SETS", 9)):
+        monkeypatch.setattr(P, name, value)
+    rng = np.random.default_rng(4)
+    sets = [{f"t{x}" for x in rng.zipf(1.5, rng.integers(0, 25)) if x < 200} for _ in range(150)] + [{"t1", "a", "b", "c" * 99}] * 30
+    rows = [(int(i), [*s, *sorted(s)[:1], None]) for i, s in zip(rng.permutation(len(sets)) * 10, sets, strict=True)] + [(None, ["a", "t1"])]
+    want = {}
+    for k, (a, _) in enumerate(rows[:-1]):
+        for m in range(k):
+            x, y = sets[k], sets[m]
+            j = len(x & y) / len(x | y) if x | y else 0
+            if x and y and (j > threshold if strict else j >= threshold):
+                want[min(a, rows[m][0]), max(a, rows[m][0])] = j
+    got = P.jaccard_pairs(spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3), threshold, strict).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
