@@ -249,3 +249,15 @@ def test_pairs_in_blocks(spark, monkeypatch, threshold, strict):
                 want[min(a, rows[m][0]), max(a, rows[m][0])] = j
     got = P.jaccard_pairs(spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3), threshold, strict).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_sure_pairs_are_the_surest_of_all(spark):
+    """Asking for sure links gives what a filter over all of them gives, also where the least confidence is only reached by rounding."""
+    text = lambda *parts: " ".join(f"word{x}" for part in parts for x in part)
+    rows = [(0, text(range(10))), (1, text(range(7))), (2, text(range(10), [99])), (3, text(range(5), range(20, 25))), (4, text(range(9))), (5, "no")]
+    notes = spark.createDataFrame(rows, "id long, content string")
+    links = spark.createDataFrame([(4, 0)], "src long, dst long")
+    for sure in (0.0, 0.7, 0.85, 0.636364, 0.9):
+        every = P.keyword_pairs(notes, links).filter(F.col("confidence") >= sure).collect()
+        assert sorted(map(tuple, P.keyword_pairs(notes, links, sure=sure).collect())) == sorted(map(tuple, every)) and bool(every) == (sure < 0.9)
+    assert {(r["src"], r["dst"]) for r in P.auto_links(P.keyword_pairs(notes, links, sure=0.7)).collect()} == {(0, 1), (0, 2), (2, 4), (1, 4)}
