@@ -261,3 +261,18 @@ def test_sure_pairs_are_the_surest_of_all(spark):
         every = P.keyword_pairs(notes, links).filter(F.col("confidence") >= sure).collect()
         assert sorted(map(tuple, P.keyword_pairs(notes, links, sure=sure).collect())) == sorted(map(tuple, every)) and bool(every) == (sure < 0.9)
     assert {(r["src"], r["dst"]) for r in P.auto_links(P.keyword_pairs(notes, links, sure=0.7)).collect()} == {(0, 1), (0, 2), (2, 4), (1, 4)}
+
+
+def test_mentions_in_blocks(spark, monkeypatch):
+    """Titles in blocks, contents in short parts: against a plain search, with titles within titles, other cases and scripts, links, copies of titles, and rows without a title or content."""
+    for name, value in (("BLOCK_TITLES", 7), ("CONTENT", 60), ("MEETINGS", 5)):
+        monkeypatch.setattr(P, name, value)
+    rng = np.random.default_rng(2)
+    titles = ["Doc 1", "Doc 12", "doc 12", "aaaa", "aaaaa", "Été 5", "abc", "中文", "中", "Doc 123", "ab ab ab", None, "Doc 12", "x" * 70]
+    words = ["DOC 12", "doc 123", "[[Doc 12]]", "[[doc 123]]", "aaaaaa", "ÉTÉ 5", "abc", "中文中", "ab ab ab ab", "zz", "", "[[aaaa]]", "x" * 75]
+    rows = [(i, titles[i % len(titles)], " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(60)] + [(60, "lone", None), (None, "Doc 1", "doc 12")]
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2))}
+    want = sorted((a, b) for a, _, c in rows for b, t, _ in rows if None not in (a, b, c, t) and a != b and len(t.encode()) > 3 and t.lower() in c.lower() and f"[[{t}]]" not in c and (a, b) not in links)
+    notes = spark.createDataFrame(rows, "id long, title string, content string").repartition(2)
+    got = P.title_mentions(notes, spark.createDataFrame(sorted(links), "src long, dst long")).collect()
+    assert sorted((r["source"], r["target"]) for r in got) == want and len(want) > 300
