@@ -98,3 +98,23 @@ def test_grouped_vectors_need_few_probes(spark, tmp_path):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "id long, embedding array<float>")
     assert V.nearest_neighbours(none, None).collect() == [] == V.pairs_within(none, 0.5).collect()
+
+
+@pytest.mark.parametrize("kind", ["array<double>", "array<float>"])
+def test_pairs_in_blocks(spark, monkeypatch, kind):
+    """Blocks of a few cells, a cell of copies dealt in parts: every pair once, and nothing is shuffled to make them."""
+    monkeypatch.setattr(V, "CELL", 20)
+    monkeypatch.setattr(V, "BLOCK_NUMBERS", 400)
+    df, x = made(spark, 400, 9, 0.3)
+    df = df.select("id", F.col("embedding").cast(kind).alias("embedding"))
+    if kind == "array<float>":
+        x = x.astype(np.float32).astype(float)
+    n = np.linalg.norm(x, axis=1)
+    s = np.divide(x @ x.T, n[:, None] * n, out=np.zeros((400, 400)), where=n[:, None] * n > 0).clip(-1, 1).round(6)
+    want = {(i, j): s[i, j] for i in range(400) for j in range(i + 1, 400) if s[i, j] >= 0.35}
+    pairs = V.pairs_within(df, 0.35, size=20)
+    rows = pairs.collect()
+    assert len(rows) == len(want) and all(abs(r["similarity"] - want[r["a"], r["b"]]) < 2e-6 for r in rows)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    twice = V.pairs_within(df.union(df.filter("id < 9")), 0.35, size=20).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, rows))
