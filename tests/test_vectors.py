@@ -118,3 +118,26 @@ def test_pairs_in_blocks(spark, monkeypatch, kind):
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
     twice = V.pairs_within(df.union(df.filter("id < 9")), 0.35, size=20).collect()
     assert sorted(map(tuple, twice)) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("tree", [4_000_000, 60, 8])
+def test_components_and_their_similarity(spark, monkeypatch, tree):
+    """By forests of tasks that hold all pairs, few, or too few for one task to end with; sums by node give the same means as joining the pairs."""
+    from memloom.operators import consolidate as C
+    from memloom.operators import pairs as P
+
+    monkeypatch.setattr(P, "TREE", tree)
+    rng = np.random.default_rng(7)
+    ends = rng.permutation(500)[rng.integers(0, 500, (230, 2))].tolist() + [[600 + i, 601 + i] for i in range(40)]
+    rows = [(min(e), max(e), float(round(x, 6))) for e, x in zip(ends, rng.uniform(0.35, 1, len(ends)), strict=True) if e[0] != e[1]]
+    label = {i: i for r in rows for i in r[:2]}
+    for _ in rows:
+        for a, b, _s in rows:
+            label[a] = label[b] = min(label[a], label[b])
+    pairs = spark.createDataFrame(rows, "a long, b long, similarity double").repartition(12)
+    assert sorted(map(tuple, P.components(pairs).collect())) == sorted(label.items())
+    members, similarity = C.clusters_with_similarity(pairs)
+    assert sorted(map(tuple, members.collect())) == sorted(map(tuple, C.clusters(pairs).collect()))
+    assert sorted(map(tuple, similarity.collect())) == sorted(map(tuple, C.mean_similarity(members, pairs).collect()))
+    forest = pairs.coalesce(1).mapInArrow(P._forest, P.FOREST).filter("b is not null").count()
+    assert tree < 100 or forest == len(label) - len(set(label.values()))
