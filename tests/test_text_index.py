@@ -51,3 +51,20 @@ def test_searches_read_only_their_buckets(spark, tmp_path):
     assert 0 < p.select("bucket").distinct().count() <= 2
     got = index.phrase_search(spark.createDataFrame([(1, "word7 next7")], "query_id long, phrase string"), stem=False).collect()
     assert [r["id"] for r in got] == [7]
+
+
+def test_best_of_each_task_are_the_best_of_all(spark, monkeypatch):
+    """Any number of terms: tasks that keep their best give what joining all occurrences gives, with ties, copies, empty queries and notes; what is shuffled are the best only."""
+    import numpy as np
+
+    monkeypatch.setattr(S, "SCORES", 40)
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in rng.zipf(1.3, n) if x < 400) + " xx é中文"
+    made = [(i, f"Title w{i % 7}", text(rng.integers(0, 30))) for i in range(300)] + [(300 + i, "w1", "www w12 w12") for i in range(20)] + [(400, None, None), (401, "", "")]
+    notes = spark.createDataFrame(made, "id long, title string, content string").repartition(5)
+    asked = spark.createDataFrame([(i, text(6)) for i in range(15)] + [(20, ""), (21, "w1"), (22, None), (23, "www w12 WWW")], "query_id long, question string")
+    got = S.any_term_search(notes, asked, 4, least_bytes=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "WANTED", 3)
+    assert rows(got) == rows(S.any_term_search(notes, asked, 4, least_bytes=2)) and len(rows(got)) > 40
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
